@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, media, mixing, simhash, token_output, toxicity
+from loomgraph.llm import chat, decontamination, media, mixing, simhash, token_output, toxicity
 from loomgraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severities(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = r"\### Assistant: </turn> ok"
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], turns.schema)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.conversation_digests(*chat.prefix_tree(turns.union(extra), path), path)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -42,7 +50,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op3_source_mixing, op5_toxicity, op7_decontamination, op8_simhash, op10_media_columns)}
+    return {f.__name__: f for f in (op1_token_output, op3_source_mixing, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
