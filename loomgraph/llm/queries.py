@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontamination, media, mixing, simhash, token_output, toxicity
+from loomgraph.llm import chat, decontamination, html_extract, media, mixing, simhash, token_output, toxicity
 from loomgraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.main_texts(pages, html_extract.fit(pages))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op3_source_mixing, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op10_media_columns)}
+    return {f.__name__: f for f in (op1_token_output, op3_source_mixing, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op9_html_extraction, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
