@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontamination, html_extract, media, mixing, simhash, token_output, toxicity
+from loomgraph.llm import chat, decontamination, html_extract, media, mixing, pii, simhash, token_output, toxicity
 from loomgraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf_dir, "documents"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.with_surrogates(docs, pii.safe_key(docs))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.severities(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -55,7 +60,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op3_source_mixing, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op9_html_extraction, op10_media_columns)}
+    return {f.__name__: f for f in (op1_token_output, op3_source_mixing, op4_pii_surrogates, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op9_html_extraction, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
