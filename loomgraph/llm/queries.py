@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontamination, html_extract, media, mixing, pii, simhash, token_output, toxicity
+from loomgraph.llm import chat, decontamination, html_extract, media, mixing, pii, simhash, substring_dedup, token_output, toxicity
 from loomgraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op3_source_mixing, op4_pii_surrogates, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op9_html_extraction, op10_media_columns)}
+    return {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_source_mixing, op4_pii_surrogates, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op9_html_extraction, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
