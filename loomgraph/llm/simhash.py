@@ -199,3 +199,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def fingerprint_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
+    """The rows of docs that stand for their group of near duplicates: the least doc_id's, one of its repeated rows.
+
+    Rows with null ids stay. All columns are kept.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius, width)
+    winners = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "winners")
+
+    def rows_of(chosen: str) -> DataFrame:
+        ids = winners.where(chosen).select(F.col("doc_id").alias("winner"))
+        return docs.join(ids, F.col(id_col) == F.col("winner"), "left_semi")
+
+    kept = rows_of("n = 1").union(docs.where(F.col(id_col).isNull()))
+    if not winners.where("n > 1").isEmpty():
+        kept = kept.union(rows_of("n > 1").dropDuplicates([id_col]))
+    return kept
