@@ -7,21 +7,13 @@ adaptive execution splits where they are skewed, and sums are combined before th
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from it."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
-    return df.checkpoint()
+from loomgraph.functions.lineage import checkpointed
 
 
 def build(edges: DataFrame, source: str, target: str, weight: str | None = None, aggregate: bool = True, min_weight: float | None = None, directed: bool = True) -> DataFrame:

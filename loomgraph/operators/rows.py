@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import blank_as_null, free_name, natural_key, widened
+from loomgraph.functions.lineage import checkpointed
 from loomgraph.functions.predicates import all_rows, condition, is_text
 
 
@@ -66,8 +67,9 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str = "row_at") -> Dat
     """
     keys = [F.col(c) for c in order]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    # The partition and the place in it are read off the same evaluation of the ranged plan.
-    inside = ranged.select("*", F.monotonically_increasing_id().alias("_id")).persist()
+    # Checkpointed, because a second evaluation could cut the ranges elsewhere.
+    inside = ranged.select("*", F.monotonically_increasing_id().alias("_id"))
+    inside = checkpointed(inside)
     part = F.shiftright("_id", 33)
     sizes = inside.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
