@@ -32,7 +32,7 @@ BLOCK = 512
 SHARD_IDS = 32_000_000
 #: Ids held for one step of the decoder; longer documents are held alone.
 BATCH_IDS = 1_000_000
-CACHED_WORDS = 600_000
+CACHED_WORDS = 2_000_000
 
 
 class Encoder:
@@ -52,7 +52,6 @@ class Encoder:
         self.by_word = self.drops_white_space(config)
         self.added = tuple(t["content"] for t in config.get("added_tokens", []))
         self.end_id = end_id
-        self.pieces: dict[str, list[int]] = {}
         if self.by_word:
             import regex
 
@@ -79,8 +78,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
+        self.pieces: dict[str, int] = {}
         self.starts, self.lengths, self.ids = array("q"), array("q"), array("I")
-        self.pieces.clear()
         if self.end_id is not None:
             self.keep([self.end_id])
 
@@ -90,18 +89,22 @@ class Encoder:
         self.ids.extend(ids)
         return len(self.starts) - 1
 
-    def word_ids(self, word: str) -> list[int]:
+    def place(self, word: str) -> int:
+        """Where the word's ids are kept. A word of one piece shares the piece's place."""
         # Beyond Latin letters, case rules differ between languages' libraries; the tokenizer itself decides there.
         if max(word) > "ɏ" or "İ" in word or any(t in word for t in self.added):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        found: list[int] = []
+            return self.keep(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        places = []
         for piece in self.split(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
+            at = self.pieces.get(piece)
+            if at is None:
                 spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-                ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(spelt)]
-            found += ids
-        return found
+                at = self.pieces[piece] = self.keep([t.id for t in self.tokenizer.model.tokenize(spelt)])
+            places.append(at)
+        if len(places) == 1:
+            return places[0]
+        ids, starts, lengths = self.ids, self.starts, self.lengths
+        return self.keep([i for at in places for i in ids[starts[at] : starts[at] + lengths[at]]])
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
@@ -121,17 +124,17 @@ class Encoder:
                         w = words[i]
                         k = known.get(w, -1)
                         if k < 0:
-                            k = known[w] = self.keep(self.word_ids(w.decode()))
+                            k = known[w] = self.place(w.decode())
                         at[i] = k
             if self.end_id is not None:
                 at.append(0)
             of.extend(at)
             ends.append(len(of))
         index = np.frombuffer(of, dtype=np.int64) if len(of) else np.zeros(0, np.int64)
-        starts, lengths = np.array(self.starts, dtype=np.int64)[index], np.array(self.lengths, dtype=np.int64)[index]
+        starts, lengths = np.frombuffer(self.starts, np.int64)[index], np.frombuffer(self.lengths, np.int64)[index]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         picks = np.repeat(starts - upto[:-1], lengths) + np.arange(upto[-1])
-        return np.array(self.ids, dtype=np.uint32)[picks], upto[np.array(ends, dtype=np.int64)]
+        return np.frombuffer(self.ids, np.uint32)[picks], upto[np.array(ends, dtype=np.int64)]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -329,13 +332,13 @@ def write_encoded(tokens: DataFrame, path: str) -> dict[int, int]:
 
     kind = dict(tokens.dtypes)["doc_id"]
     coded = tokens.mapInArrow(encode, f"shard int, doc_id {kind}, n_tokens long, checkpoints binary, payload binary")
-    placed = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "payload")
+    placed = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", F.crc32("payload"))
     placed.write.option("compression", "none").parquet(f"{path}/shards")
     return lengths
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """shard, doc_id, n_tokens, ids_crc32 from the ids that the files decode to."""
+    """shard, doc_id, n_tokens, ids_crc32, payload_crc32 from the ids that the files decode to."""
     lengths = {r.id: r.bits for r in spark.read.parquet(f"{path}/code").collect()}
     shared = spark.sparkContext.broadcast(lengths)
 
@@ -348,11 +351,13 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 ids = code.decode(batch.column("payload").to_pylist(), points, n_ids).astype("<u4")
                 ends = np.cumsum(n_ids)
                 sums = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends, n_ids)]
-                yield pa.record_batch([batch.column("shard"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(sums, pa.int64())], names=["shard", "doc_id", "n_tokens", "ids_crc32"])
+                stored_sums = [zlib.crc32(b) for b in batch.column("payload").to_pylist()]
+                columns = [batch.column("shard"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(sums, pa.int64()), pa.array(stored_sums, pa.int64())]
+                yield pa.record_batch(columns, names=["shard", "doc_id", "n_tokens", "ids_crc32", "payload_crc32"])
 
     files = spark.read.parquet(f"{path}/shards")
     kind = dict(files.dtypes)["doc_id"]
-    return files.mapInArrow(digest, f"shard int, doc_id {kind}, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(digest, f"shard int, doc_id {kind}, n_tokens long, ids_crc32 long, payload_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,7 +371,7 @@ def token_output(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     path = path or new_path(spark, "token-output")
     write_encoded(stored(tokenized(docs, tokenizer_path, end_id, id_col, text_col), "token-ids"), path)
     read = stored(read_digests(spark, path), "token-digests")
-    within = W.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("shard").orderBy("doc_id", "n_tokens", "payload_crc32").rowsBetween(W.unboundedPreceding, -1)
     starts = part_starts(read, "shard", F.col("n_tokens"))  # a row a shard
     placed = read.withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(F.broadcast(starts), "shard")
     return placed.select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
