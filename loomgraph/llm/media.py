@@ -178,7 +178,9 @@ class ArchiveReader(DataSourceReader):
             ranges += [ByteRange(archive, at, at + self.range_bytes) for at in range(0, n, self.range_bytes)]
         return ranges
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archives, no ranges
+            return
         where, path = filesystem(partition.archive)
 
         def again(action):
