@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import charting, graphs, likeness, tables
+from loomgraph.plans import charting, graphs, likeness, spaces, tables
 
-MODULES = (tables, charting, graphs, likeness)
+MODULES = (tables, charting, graphs, likeness, spaces)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,3 +328,68 @@ def motif(edges: DataFrame, pattern: list[tuple[str, str]], absent: list[tuple[s
     for a, b in absent:
         found = found.join(arcs.toDF(a, b), [a, b], "left_anti")
     return found.select(*names)
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 50) -> DataFrame:
+    """(id, betweenness) from shortest paths of the given sources, undirected and unweighted, scaled up to all nodes.
+
+    One row a source and reached node. Path counts go out hop by hop; what depends on a node comes back hop by hop.
+    """
+    pairs = simple(edges)
+    both = checkpointed(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")).union(pairs.select("b", "a")))
+    ids = checkpointed(both.select(F.col("source").alias("id")).distinct())
+    start = ids.join(sources.select("id").distinct(), "id", "left_semi")
+    rings = [checkpointed(start.select(F.col("id").alias("src"), "id", F.lit(1.0).alias("paths")))]
+    seen = rings[0].select("src", "id")
+    for _ in range(max_hops):
+        following = rings[-1].join(both, rings[-1]["id"] == both["source"]).groupBy("src", F.col("target").alias("id")).agg(F.sum("paths").alias("paths"))
+        ring = checkpointed(following.join(seen, ["src", "id"], "left_anti"))
+        if ring.isEmpty():
+            break
+        rings.append(ring)
+        seen = seen.union(ring.select("src", "id"))
+    gained = None
+    found = []
+    for ring in reversed(rings):
+        if gained is None:
+            here = ring.withColumn("gain", F.lit(0.0))
+        else:
+            back = gained.join(both, gained["id"] == both["source"]).select("src", F.col("target").alias("id"), ((1 + F.col("gain")) / F.col("paths")).alias("part"))
+            sums = back.groupBy("src", "id").agg(F.sum("part").alias("part"))
+            here = ring.join(sums, ["src", "id"], "left").select("src", "id", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("gain"))
+        gained = checkpointed(here)
+        found.append(gained.where("src <> id").select("id", "gain"))
+    n, k = ids.count(), max(1, start.count())
+    every = reduce(lambda a, b: a.union(b), found).groupBy("id").agg(F.sum("gain").alias("gain"))
+    return ids.join(every, "id", "left").select("id", (F.coalesce("gain", F.lit(0.0)) * (n / k / 2)).alias("betweenness"))
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, seed: int = 1) -> DataFrame:
+    """(id, community): nodes move to the neighbouring community of greatest modularity gain until none gains.
+
+    In each round a seeded half of the nodes may move, seeing the others where they are; ties go to the least community. A
+    community is named by one of its first members.
+    """
+    arcs = edges.where("source <> target").select("source", "target", F.col("weight").cast("double").alias("w"))
+    both = checkpointed(arcs.union(arcs.select("target", "source", "w")).groupBy("source", "target").agg(F.sum("w").alias("w")))
+    strength = checkpointed(both.groupBy(F.col("source").alias("id")).agg(F.sum("w").alias("k")))
+    total = strength.agg(F.sum("k")).first()[0] or 1.0
+    at = checkpointed(strength.select("id", "k", F.col("id").alias("c")))
+    still = 0
+    for r in range(rounds):
+        sizes = at.groupBy("c").agg(F.sum("k").alias("size"))
+        links = both.join(at.select(F.col("id").alias("target"), F.col("c").alias("to")), "target").groupBy(F.col("source").alias("id"), "to").agg(F.sum("w").alias("w"))
+        own = at.select("id", "k", "c")
+        options = links.join(own, "id").join(sizes.withColumnRenamed("c", "to"), "to")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total
+        scored = options.select("id", "to", gain.alias("gain"))
+        stay = at.join(links.select("id", F.col("to").alias("c"), "w"), ["id", "c"], "left").join(sizes, "c")
+        stay = stay.select("id", F.col("c").alias("to"), (F.coalesce("w", F.lit(0.0)) - resolution * F.col("k") * (F.col("size") - F.col("k")) / total + 1e-12).alias("gain"))
+        best = scored.union(stay).groupBy("id").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"))
+        turn = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r // 2)), F.lit(2)) == r % 2
+        after = checkpointed(at.join(best, "id").select("id", "k", F.when(turn, F.col("to")).otherwise(F.col("c")).alias("c"), (turn & (F.col("to") != F.col("c"))).alias("moved")))
+        still = still + 1 if after.where("moved").isEmpty() else 0
+        at = after.select("id", "k", "c")
+        if still >= 2:
+            break
+    return at.select("id", F.col("c").alias("community"))
