@@ -22,10 +22,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("id"), F.col("vec_id").alias("at"), *xyz)
 
 
-@R.add(f"""SELECT "at", round(2 * y + 1, 4) AS x, round(10 - x, 4) AS y, round(z * 0.5 + x, 4) AS z FROM ({_POINTS})""")
+@R.add(f"""SELECT "at", round(2 * y + 1, 6) AS x, round(10 - x, 6) AS y, round(z * 0.5 + x, 6) AS z FROM ({_POINTS})""")
 def transform_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = geometry.affine(geometry.mirrored(points(spark, sf_dir), "x", 5.0), [[0, 2, 0, 1], [1, 0, 0, 0], [-1, 0, 0.5, 10]])
-    return moved.select("at", *[F.round(c, 4).alias(c) for c in geometry.AXES])
+    return moved.select("at", *[F.round(c, 6).alias(c) for c in geometry.AXES])
 
 
 @R.add(f"""
