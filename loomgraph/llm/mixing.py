@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import WORD, in_order, part_starts, stored
 
 #: Documents of a source are first summed in so many ranges of their hash.
-BUCKET_BITS = 12
+DRAW_BITS, BUCKET_BITS = 60, 12
 #: So many sources at most are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -28,7 +28,10 @@ def word_count(text: Column) -> Column:
 
 
 def seeded_hash(identity: list[Column], seed: int) -> Column:
-    return F.xxhash64(*identity, F.lit(seed))
+    """The first DRAW_BITS bits of an MD5 digest, which SQL engines share."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in identity]
+    digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def water_filling(sources: DataFrame, max_epochs: float, total: float | None = None) -> DataFrame:
@@ -99,7 +102,7 @@ def mixture(
         seeded_hash([F.col(id_col), F.col(text_col)], seed).alias("draw"),
     )
     sized = stored(sized, "sizes")
-    bucket = F.shiftright("draw", 64 - BUCKET_BITS)
+    bucket = F.shiftright("draw", DRAW_BITS - BUCKET_BITS)
     sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     sums = stored(sums, "bucket-sums")
     sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))

@@ -67,5 +67,23 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_source_mixing, op4_pii_surrogates, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op9_html_extraction, op10_media_columns)}
 
 
+#: The same water-filling and sampling over the same draws, in windows over whole sources.
+MIXING_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '') || '|17'), 1, 15) AS BIGINT) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] :: DOUBLE AS w FROM d GROUP BY source),
+r(k, level) AS (SELECT 0, CAST(-1 AS DOUBLE) UNION ALL SELECT k + 1, (SELECT (sum(s.source_size) - coalesce(sum(3.0 * s.source_size) FILTER (r.level * w > 3.0 * s.source_size), 0)) / sum(w) FILTER (NOT r.level * w > 3.0 * s.source_size) FROM s) FROM r WHERE k < 40 AND level IS NOT NULL),
+t AS (SELECT s.*, least(3.0 * source_size, (SELECT max(level) FROM r) * w) :: DOUBLE AS target FROM s),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+q AS (SELECT *, CAST(round(target - whole * source_size) AS BIGINT) AS part FROM p),
+g AS (SELECT source, draw, sum(size) AS words, count(*) AS tied FROM d GROUP BY ALL),
+u AS (SELECT g.*, sum(words) OVER (PARTITION BY source ORDER BY draw) AS upto FROM g),
+c AS (SELECT u.source, u.draw AS cut, CAST(floor((part - upto + words) / tied) AS BIGINT) AS cut_words FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source WHERE upto > part AND upto - words <= part AND words > 0)
+SELECT doc_id, size, d.source, source_size, target, CAST(size * (whole + CASE WHEN part >= source_size AND source_size > 0 THEN 1 ELSE 0 END)
+  + CASE WHEN part >= source_size THEN 0 WHEN draw < cut THEN size WHEN draw = cut THEN least(cut_words, size) ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": MIXING_SQL}
