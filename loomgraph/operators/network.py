@@ -68,6 +68,12 @@ def triangles(edges: DataFrame) -> DataFrame:
     return out.withColumn("clustering", F.when(F.col("degree") >= 2, F.col("triangles") / possible))
 
 
+def digest(df: DataFrame, *columns: str) -> tuple:
+    """Number of rows, sum and exclusive or of their hashes: equal for equal contents, in one pass."""
+    h = F.xxhash64(*columns)
+    return tuple(df.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+
+
 def components(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(id, component, size): component counts from 1, largest first, ties by least id.
 
@@ -75,6 +81,7 @@ def components(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
     of the longest chain.
     """
     pairs = checkpointed(simple(edges))
+    state = digest(pairs, "a", "b")
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -82,9 +89,8 @@ def components(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("a", "b", "m")
         after = checkpointed(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-        same = pairs.exceptAll(after).isEmpty() and after.exceptAll(pairs).isEmpty()
-        pairs = after
-        if same:
+        pairs, before, state = after, state, digest(after, "a", "b")
+        if state == before:
             break
     ids = members if members is not None else nodes(edges)
     root = pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
@@ -393,3 +399,24 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, see
         if still >= 2:
             break
     return at.select("id", F.col("c").alias("community"))
+
+
+def match_types(labelled: DataFrame, datasets: int) -> tuple[DataFrame, DataFrame]:
+    """(labels, report) from (dataset, id, label): types that the datasets call alike.
+
+    A neuron may carry several labels; neurons and labels are the two sides of a graph whose components are the shared types. A component
+    that holds neurons of all the datasets is matched. labels: dataset, id, type (the component's least label), matched.
+    report: type, dataset, n_neurons, matched, suspicious (its datasets differ more than fivefold in neurons).
+    """
+    held = labelled.where(F.trim("label") != "").select("dataset", "id", "label").distinct()
+    node = F.concat_ws("\x00", F.lit("n"), "dataset", F.col("id").cast("string"))
+    edges = held.select(node.alias("source"), F.concat_ws("\x00", F.lit("l"), "label").alias("target"), F.lit(1).alias("weight"))
+    found = components(edges).select("id", "component")
+    typed = held.withColumn("node", node).join(found.withColumnRenamed("id", "node"), "node")
+    names = typed.groupBy("component").agg(F.min("label").alias("type"), F.count_distinct("dataset").alias("_datasets"))
+    sizes = typed.groupBy("component", "dataset").agg(F.count_distinct("id").alias("n_neurons"))
+    spread = sizes.groupBy("component").agg((F.max("n_neurons") > 5 * F.min("n_neurons")).alias("suspicious"))
+    names = names.join(spread, "component").withColumn("matched", F.col("_datasets") == datasets)
+    labels = typed.select("dataset", "id", "component").distinct().join(names, "component").select("dataset", "id", "type", "matched")
+    report = sizes.join(names, "component").select("type", "dataset", "n_neurons", "matched", (F.col("suspicious") & F.col("matched")).alias("suspicious"))
+    return labels, report

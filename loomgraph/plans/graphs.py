@@ -258,3 +258,16 @@ SELECT id, partner_type, weight, partners, round(share, 9) AS share, rank FROM r
 def neuron_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + BEYOND).alias("id"), F.concat(F.lit("N"), "s_nationkey").alias("label"))
     return aggregates.profile(edges(spark, sf_dir).toDF("pre", "post", "weight"), labels, 3).withColumn("share", F.round("share", 9))
+
+
+@R.add("""
+WITH h AS (SELECT DISTINCT o_orderstatus AS dataset, o_custkey AS id, c_mktsegment AS label FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND c_mktsegment <> 'BUILDING'
+  UNION SELECT 'F', c_custkey, 'B-only' FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT label AS type, dataset, count(DISTINCT id) AS n_neurons, label <> 'B-only' AS matched, false AS suspicious FROM h GROUP BY 1, 2
+""")
+def match_types_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    seen = table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')").join(customers, F.col("o_custkey") == F.col("c_custkey")).where("c_mktsegment <> 'BUILDING'")
+    seen = seen.select(F.col("o_orderstatus").alias("dataset"), F.col("o_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
+    alone = customers.where("c_mktsegment = 'BUILDING'").select(F.lit("F"), "c_custkey", F.lit("B-only"))
+    return network.match_types(seen.union(alone), 2)[1]

@@ -121,3 +121,10 @@ def test_queries_agree_with_their_sql(spark, name):
     order = [d[0] for d in held.description]
     wanted = sorted(json.dumps([dict(zip(order, r))[c] for c in names], default=str) for r in held.fetchall())
     assert sorted(json.dumps([r[c] for c in names], default=str) for r in df.collect()) == wanted
+
+
+def test_types_are_matched_across_datasets(spark):
+    rows = [("a", 1, "LC4"), ("b", 7, "LC4"), ("b", 8, "lc-four"), ("b", 7, "lc-four"), ("a", 2, "X"), ("a", 3, " ")]
+    labels, report = network.match_types(spark.createDataFrame(rows, "dataset string, id long, label string"), 2)
+    assert {(r.dataset, r.id): (r.type, r.matched) for r in labels.collect()} == {("a", 1): ("LC4", True), ("b", 7): ("LC4", True), ("b", 8): ("LC4", True), ("a", 2): ("X", False)}
+    assert {(r.type, r.dataset): r.n_neurons for r in report.collect()} == {("LC4", "a"): 1, ("LC4", "b"): 2, ("X", "a"): 1}
