@@ -1,10 +1,12 @@
-"""Cutting lineage so that it survives lost executors."""
+"""Cutting lineage so that it survives lost executors, and running sums over all rows without one task for them."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -14,3 +16,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
     return df.checkpoint()
+
+
+def running(df: DataFrame, keys: list[Column], sums: dict[str, Column] | None = None, name: str = "row_at") -> DataFrame:
+    """df with row_at = 0, 1, 2, ... in the order of keys, and for each of sums the sum over all rows up to this one.
+
+    Rows are ranged over partitions, numbered and summed within each, and shifted by what the partitions before hold. The ranged rows are
+    checkpointed, because a second evaluation could cut the ranges elsewhere.
+    """
+    sums = sums or {}
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    inside = checkpointed(ranged.withColumns({"_id": F.monotonically_increasing_id(), **{f"_{n}": c for n, c in sums.items()}}))
+    inside = inside.withColumn("_part", F.shiftright("_id", 33))
+    totals = inside.groupBy("_part").agg(F.count("*").alias("_rows"), *[F.sum(f"_{n}").alias(f"_{n}_all") for n in sums])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    start = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = totals.select("_part", start("_rows").alias("_at"), *[start(f"_{n}_all").alias(f"_{n}_start") for n in sums])
+    out = inside.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    if sums:
+        w = W.partitionBy("_part").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
+        out = out.withColumns({n: F.col(f"_{n}_start") + F.coalesce(F.sum(f"_{n}").over(w), F.lit(0)) for n in sums})
+    return out.select(*df.columns, name, *sums)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import quartiles
+from loomgraph.functions.lineage import running
 
 OTHER, NONE = "Other", "(none)"
 MOST_BINS = 200
@@ -88,7 +89,14 @@ def density(df: DataFrame, value: str, group: str, points: int = 64) -> DataFram
 def rank_share(df: DataFrame, value: str, ties: tuple[str, ...], by: tuple[str, ...] = (), descending: bool = True, flag: Column | None = None) -> DataFrame:
     """rank within by, and the running share of the value, which rows with the flag do not enter. No share where a value is negative or all are 0."""
     c = F.col(value)
-    w = W.partitionBy(*by).orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *ties)
+    first = c.desc_nulls_last() if descending else c.asc_nulls_last()
+    if not by:
+        counted = F.when(~F.coalesce(flag, F.lit(False)), c) if flag is not None else c
+        ranked = running(df, [first, *[F.col(t) for t in ties]], {"_upto": counted})
+        all_of = F.broadcast(df.agg(F.sum(counted).alias("_total"), F.min(counted).alias("_least")))  # one row
+        share = F.when((F.col("_least") >= 0) & (F.col("_total") > 0), F.col("_upto").cast("double") / F.col("_total").cast("double"))
+        return ranked.crossJoin(all_of).select(*df.columns, (F.col("row_at") + 1).alias("rank"), share.alias("share"))
+    w = W.partitionBy(*by).orderBy(first, *ties)
     whole = W.partitionBy(*by)
     counted = F.when(~F.coalesce(flag, F.lit(False)), c) if flag is not None else c
     total = F.sum(counted).over(whole)
@@ -96,12 +104,17 @@ def rank_share(df: DataFrame, value: str, ties: tuple[str, ...], by: tuple[str,
     return df.withColumns({"rank": F.row_number().over(w), "share": share})
 
 
-def folded(sums: DataFrame, label: str, amount: str, most: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """The most - 1 largest labels and Other for the rest, if there are more than most."""
-    w = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
-    ranked = sums.withColumns({"_rank": F.row_number().over(w.orderBy(F.col(amount).desc(), label)), "_n": F.count("*").over(w)})
-    name = F.when((F.col("_n") <= most) | (F.col("_rank") < most), F.col(label)).otherwise(F.lit(OTHER))
-    return ranked.groupBy(*within, name.alias(label)).agg(F.sum(amount).alias(amount))
+def folded(sums: DataFrame, label: str, amount: str, most: int) -> DataFrame:
+    """The most - 1 largest labels and Other for the rest, if there are more than most.
+
+    Only the most + 1 largest rows are ranked; the others need no order.
+    """
+    top = sums.orderBy(F.col(amount).desc(), label).limit(most + 1)
+    w = W.partitionBy(F.lit(0))  # most + 1 rows
+    ranked = top.withColumns({"_rank": F.row_number().over(w.orderBy(F.col(amount).desc(), label)), "_n": F.count("*").over(w)})
+    kept = ranked.where((F.col("_n") <= most) | (F.col("_rank") < most)).select(F.col(label).alias("_kept"))
+    named = sums.join(F.broadcast(kept), F.col(label).eqNullSafe(F.col("_kept")), "left")
+    return named.groupBy(F.coalesce("_kept", F.lit(OTHER)).alias(label)).agg(F.sum(amount).alias(amount))
 
 
 def pie(df: DataFrame, category: str, value: str | None = None, most: int = 8) -> DataFrame:
@@ -119,10 +132,12 @@ def bars(df: DataFrame, category: str, value: str, series: str | None = None, mo
         return df.groupBy(category).agg(F.sum(value).alias("total"))
     sums = df.groupBy(category, F.coalesce(F.col(series).cast("string"), F.lit(NONE)).alias(series)).agg(F.sum(value).alias("total"))
     by_series = sums.groupBy(series).agg(F.sum("total").alias("_whole"))
-    w = W.partitionBy(F.lit(0))
-    kept = by_series.withColumns({"_rank": F.row_number().over(w.orderBy(F.col("_whole").desc(), series)), "_n": F.count("*").over(w)})
-    kept = kept.select(series, F.when((F.col("_n") <= most_series) | (F.col("_rank") < most_series), F.col(series)).otherwise(F.lit(OTHER)).alias("_name"))
-    return sums.join(kept, series).groupBy(category, F.col("_name").alias(series)).agg(F.sum("total").alias("total"))
+    top = by_series.orderBy(F.col("_whole").desc(), series).limit(most_series + 1)
+    w = W.partitionBy(F.lit(0))  # most_series + 1 rows
+    ranked = top.withColumns({"_rank": F.row_number().over(w.orderBy(F.col("_whole").desc(), series)), "_n": F.count("*").over(w)})
+    kept = ranked.where((F.col("_n") <= most_series) | (F.col("_rank") < most_series)).select(series, F.col(series).alias("_name"))
+    named = sums.join(F.broadcast(kept), series, "left")
+    return named.groupBy(category, F.coalesce("_name", F.lit(OTHER)).alias(series)).agg(F.sum("total").alias("total"))
 
 
 def trend(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import blank_as_null, free_name, natural_key, widened
-from loomgraph.functions.lineage import checkpointed
+from loomgraph.functions.lineage import running
 from loomgraph.functions.predicates import all_rows, condition, is_text
 
 
@@ -61,21 +61,8 @@ def sort(df: DataFrame, column: str, descending: bool = False, limit: int = 0, o
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], name: str = "row_at") -> DataFrame:
-    """df with row_at = 0, 1, 2, ... in the order of the key columns, without sorting all rows in one task.
-
-    Rows are ranged over partitions, numbered within each, and shifted by the sizes of the partitions before.
-    """
-    keys = [F.col(c) for c in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    # Checkpointed, because a second evaluation could cut the ranges elsewhere.
-    inside = ranged.select("*", F.monotonically_increasing_id().alias("_id"))
-    inside = checkpointed(inside)
-    part = F.shiftright("_id", 33)
-    sizes = inside.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_part", before.alias("_start")))
-    at = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return inside.withColumn("_part", part).join(starts, "_part").withColumn(name, at).drop("_part", "_start", "_id")
+    """df with row_at = 0, 1, 2, ... in the order of the key columns."""
+    return running(df, [F.col(c) for c in order], name=name)
 
 
 def sample(df: DataFrame, mode: str, order: tuple[str, ...], count: int = 100, step: int = 10, seed: int = 1) -> DataFrame:

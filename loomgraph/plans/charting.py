@@ -135,3 +135,13 @@ def pooled_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value")
     out = traces.pooled(held, 3600.0, 1704412800.0, 1705017600.0)
     return out.select("series", F.col("t").cast("double").alias("t"), F.round("value", 6).alias("value"), "n")
+
+
+@R.add("""
+SELECT o_orderkey, row_number() OVER w AS rank, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER () AS DOUBLE), 9) AS share
+FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey)
+""")
+def rank_share_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    out = charts.rank_share(orders, "p", ("o_orderkey",))
+    return out.select("o_orderkey", "rank", F.round(F.col("share").cast("double"), 9).alias("share"))
