@@ -98,7 +98,7 @@ class Encoder:
         for piece in self.split(word.lower()):
             at = self.pieces.get(piece)
             if at is None:
-                spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+                spelt = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
                 at = self.pieces[piece] = self.keep([t.id for t in self.tokenizer.model.tokenize(spelt)])
             places.append(at)
         if len(places) == 1:

@@ -524,3 +524,13 @@ def test_members_are_read_again_by_offset(spark, odd, tmp_path, monkeypatch):
     failures["left"] = 99
     with pytest.raises(OSError):
         list(reader.read(parts[0]))
+
+
+def test_words_are_encoded_as_the_tokenizer_encodes_texts():
+    tokenizer, encode, draw = Tokenizer.from_file(PATH), token_output.Encoder(PATH, 2), random.Random(1)
+    assert encode.by_word
+    pool = [chr(i) for i in range(0x250)] + ["'s", "'re", "'ll", "'T", "<|", "|>", "startoftext", "́", "ﬁ", "Σ", "ς", "İ", "K", " ", "​", "漢", "🙂", "ẞ", "ͅ"]
+    texts = ["".join(draw.choice(pool) for _ in range(draw.randint(0, 9))) for _ in range(5000)]
+    ids, ends = encode(texts)
+    wanted = [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 2]]
+    assert ids.tolist() == wanted and len(ends) == len(texts)
