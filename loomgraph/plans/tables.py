@@ -359,3 +359,23 @@ SELECT o.o_orderkey, coalesce(m.new, o.o_custkey) AS o_custkey FROM orders o LEF
 def update_ids_by_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("old"), F.col("l_suppkey").alias("new"))
     return joins.update_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), votes, "o_custkey")
+
+
+@R.add(f"SELECT row AS label, row_number() OVER (ORDER BY t DESC, row) - 1 AS place FROM (SELECT row, sum(value) AS t FROM {_MATRIX} GROUP BY 1)")
+def heatmap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.operators import flow
+
+    return flow.ordered_lines(_matrix(spark, sf_dir), "total")
+
+
+@R.add("""
+WITH o AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS r, o_totalprice FROM orders),
+f AS (SELECT o_orderpriority, min(r) AS first FROM o GROUP BY 1), p AS (SELECT o_orderpriority, row_number() OVER (ORDER BY first) - 1 AS pass_at FROM f)
+SELECT pass_at, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o JOIN p USING (o_orderpriority) WHERE pass_at < 4 GROUP BY 1
+""")
+def for_each_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.operators import flow
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    total = lambda d: d.groupBy("pass_at").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return flow.for_each(orders, ("o_orderkey",), total, group="o_orderpriority", limit=4)
