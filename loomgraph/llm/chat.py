@@ -123,7 +123,7 @@ def key(path: str = "path") -> Column:
 def prefix_tree(
     conversations: DataFrame, tokenizer_path: str, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """(stream, leaves), both stored.
+    """(stream, leaves), both read from stored tables.
 
     stream, a row a node in depth-first order: node, depth, start, n_tokens, ids, loss, position (of its first
     token), ancestors (array of structs start, end: their intervals in the stream, root first). leaves, a row a
@@ -133,24 +133,28 @@ def prefix_tree(
     are turns of their own. An empty table gives two empty ones. Other columns are not looked at.
     """
     turn_rows = stored(turn_paths(conversations, id_col, turn_col, role_col, text_col), "turns")
-    # Copies of a turn are merged by its digest before anything else is done with it.
-    nodes = turn_rows.groupBy(key().alias("node")).agg(F.first(F.struct("role", "text", "path", "depth")).alias("n")).select("n.*")
-    ordered = in_order(encoded_nodes(nodes, tokenizer_path), [F.col("path")], "nodes")
+    # Copies of a turn are merged by its digest before anything else is done with it; one conversation stands for each node.
+    own = F.struct("role", "text", "path", "depth")
+    nodes = turn_rows.groupBy(key().alias("node")).agg(F.first(own).alias("n"), F.min("conv").alias("owner"))
+    owners = stored(nodes.select("node", "owner"), "owners")
+    ordered = in_order(encoded_nodes(nodes.select("n.*"), tokenizer_path), [F.col("path")], "nodes")
     before = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("part_row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = ordered.withColumn("before", before).join(F.broadcast(part_starts(ordered, "part", F.col("n_tokens"))), "part")
-    placed = stored(placed.select("path", "depth", "n_tokens", "ids", "loss", (F.col("part_start") + F.col("before")).alias("start")), "placed")
-    # A node's ancestors are the other members of its path; the root of many nodes is a hot key, which the join may split.
-    spots = placed.select(key().alias("member"), F.col("start").alias("s"), F.col("n_tokens").alias("n"))
-    links = placed.select(key().alias("node"), F.posexplode("path").alias("at", "member"))
-    line = links.join(spots, "member").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "s", "n"))).alias("line"))
-    line = line.select("node", F.transform("line", lambda x: F.struct(x["s"].alias("start"), (x["s"] + x["n"]).alias("end"))).alias("intervals"))
-    line = stored(line, "lines")
-    stream = placed.withColumn("node", key()).join(line, "node")
-    ancestors = F.slice("intervals", F.lit(1), F.size("intervals") - 1)
+    spots = ordered.select("part", "part_row", "n_tokens", "path").withColumn("before", before).join(F.broadcast(part_starts(ordered, "part", F.col("n_tokens"))), "part")
+    spots = stored(spots.select("part", "part_row", key().alias("node"), "n_tokens", (F.col("part_start") + F.col("before")).alias("start")), "spots")
+    # Each turn's interval, by conversation; a node of very many conversations is a hot key that the join may split.
+    where = spots.join(owners, "node").select("node", "owner", "start", (F.col("start") + F.col("n_tokens")).alias("end"))
+    placed = turn_rows.select("conv", "depth", key().alias("node")).join(where, "node")
+    lines = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "end", "node", "owner"))).alias("line"))
+    lines = stored(lines, "lines")
+    spans = F.transform("line", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    each = lines.select("conv", spans.alias("intervals"), F.posexplode("line").alias("at", "turn"))
+    each = each.where(F.col("turn.owner").eqNullSafe(F.col("conv")))
+    ancestors = F.slice("intervals", F.lit(1), F.col("at"))
     position = F.aggregate(ancestors, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    stream = stream.select("node", "depth", "start", "n_tokens", "ids", "loss", position.alias("position"), ancestors.alias("ancestors"))
-    last = turn_rows.groupBy("conv").agg(F.max(F.struct("depth", key().alias("node"))).alias("leaf")).select("conv", "leaf.node")
-    return stored(stream, "stream"), stored(last.join(line, "node").select("conv", "intervals"), "leaves")
+    above = each.select(F.col("turn.node").alias("node"), F.col("turn.start").alias("start"), position.alias("position"), ancestors.alias("ancestors"))
+    stream = ordered.withColumn("node", key()).drop("path", "part", "part_row").join(above, "node")
+    stream = stream.select("node", "depth", "start", "n_tokens", "ids", "loss", "position", "ancestors")
+    return stored(stream, "stream"), lines.select("conv", spans.alias("intervals"))
 
 
 def conversation_digests(stream: DataFrame, leaves: DataFrame, tokenizer_path: str) -> DataFrame:
