@@ -32,7 +32,7 @@ BLOCK = 512
 SHARD_IDS = 32_000_000
 #: Ids held for one step of the decoder; longer documents are held alone.
 BATCH_IDS = 1_000_000
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 1_000_000
 
 
 class Encoder:
