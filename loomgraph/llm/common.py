@@ -72,6 +72,22 @@ def part_starts(df: DataFrame, part: str, amount: Column) -> DataFrame:
     return sums.select(part, F.coalesce(before, F.lit(0)).alias("part_start"))
 
 
+def least_hashed(df: DataFrame, keys: list[str], k: int, seed: int) -> DataFrame:
+    """The k rows of df whose seeded hash of keys is least, by hash and keys.
+
+    Rows that cannot be among them are left out before anything is sorted, so a task hands on a few rows and not k.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*keys, F.lit(seed)))
+    n = df.count()
+    if n > 4 * k:
+        # Of n even draws about 2 k lie below this bound; with fewer than k, all rows are sorted after all.
+        bound = -(1 << 63) + int((1 << 64) * 2 * k / n)
+        below = hashed.where(F.col("_hash") < bound)
+        if below.count() >= k:
+            hashed = below
+    return hashed.orderBy("_hash", *keys).limit(k).drop("_hash")
+
+
 def connected_components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the least node that can be reached.
 

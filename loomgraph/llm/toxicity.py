@@ -19,18 +19,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import least_hashed, stored
 
 #: The bound of the labelled sample, and of the features that are fitted.
 SAMPLE, FEATURES = 8_000, 6_000
 PREFIXES = (4, 5, 6)
-#: A feature counts as telling from so many standard errors of its log odds on, in so many documents at least.
-LEAST_Z, LEAST_DOCS = 3.5, 3
+#: A feature counts as telling from log odds of LEAST_ODDS on, LEAST_Z standard errors of them, in LEAST_DOCS documents at
+#: least. Words that only differ in how common they are in one language or the other stay below.
+LEAST_ODDS, LEAST_Z, LEAST_DOCS = 1.5, 3.5, 5
 #: Documents of this expected severity or more are rejected.
-REJECT = 0.5
+REJECT = 0.25
 _WORD = re.compile(r"[^\W\d_]+")
 _STEP = 1 << 20
 
@@ -121,9 +123,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """(id, toxic, text) of at most sample labelled documents. Rows with null ids, labels or texts teach nothing."""
     marks = labels.where(F.col(label_id_col).isNotNull() & F.col(label_col).isNotNull())
     marks = marks.groupBy(F.col(label_id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
+    chosen = least_hashed(marks, ["id"], sample, seed)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return stored(texts.join(F.broadcast(chosen), "id"), "labelled")
+    sampled = texts.join(F.broadcast(chosen), "id")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [least_shingle(t.as_py()) for t in batch.column("text")]
+            yield pa.record_batch([*(batch.column(c) for c in ("id", "toxic", "text")), pa.array(least, pa.int64())], names=["id", "toxic", "text", "sketch"])
+
+    sketched = sampled.select("id", "toxic", "text").mapInArrow(sketch, f"id {dict(sampled.dtypes)['id']}, toxic int, text string, sketch long")
+    # Copies and most near copies of a text are no further evidence: they count once a label.
+    return stored(sketched.dropDuplicates(["toxic", "sketch"]).drop("sketch"), "labelled")
+
+
+def least_shingle(text: str) -> int:
+    """The least hash of text's three-word shingles, which near copies mostly share."""
+    words = text.lower().split()
+    hashes = (xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+    return min(hashes) - (1 << 63)
 
 
 def telling_features(sampled: DataFrame, most: int) -> list[tuple[str, float]]:
@@ -145,9 +163,7 @@ def telling_features(sampled: DataFrame, most: int) -> list[tuple[str, float]]:
     odds = F.log((F.col("t") + 0.5) / (n1 - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (n0 - F.col("c") + 0.5))
     spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     ranked = sums.where(F.col("c") + F.col("t") >= LEAST_DOCS).select("feature", (odds / spread).alias("z"), odds.alias("odds"), "t", "c")
-    # Rare features need not reach LEAST_Z if every document that has them is toxic.
-    pure = (F.col("c") == 0) & (F.col("t") >= LEAST_DOCS)
-    ranked = ranked.where((F.abs("z") >= LEAST_Z) | pure)
+    ranked = ranked.where((F.abs("odds") >= LEAST_ODDS) & (F.abs("z") >= LEAST_Z))
     return [(r.feature, r.z) for r in ranked.orderBy(F.abs("z").desc(), "feature").limit(most).collect()]
 
 
@@ -157,8 +173,8 @@ def fit(
 ) -> SeverityModel:
     """Fits the grades 0 (not toxic), 1 and 2 from a 0/1 label.
 
-    The label says only whether a document is toxic. Among toxic ones, those with telling words at more than
-    their median rate are grade 2. Without both labels in the sample nothing can be told, and every document's
+    The label says only whether a document is toxic. Among toxic ones, those with more telling
+    words than their median are grade 2. Without both labels in the sample nothing can be told, and every document's
     severity is 0.
     """
     sampled = labelled_sample(docs, labels, id_col, text_col, label_id_col, label_col, sample, seed)
@@ -174,23 +190,25 @@ def fit(
             for i, toxic, text in zip(batch.column("id"), batch.column("toxic").to_pylist(), batch.column("text")):
                 counts = word_counts(text.as_py())
                 found = {f: n for f, n in features(counts).items() if f in index}
-                rate = sum(n for f, n in found.items() if f in positive) / max(1, sum(counts.values()))
-                rows.append((i.as_py(), toxic, rate, [index[f] for f in found], [math.log2(1 + n) for n in found.values()]))
-            kinds = [batch.schema.field("id").type, pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["id", "toxic", "rate", "at", "value"])
+                mentions = sum(n for f, n in found.items() if f in positive)
+                rows.append((i.as_py(), toxic, mentions, [index[f] for f in found], [math.log2(1 + n) for n in found.values()]))
+            kinds = [batch.schema.field("id").type, pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["id", "toxic", "mentions", "at", "value"])
 
     kind = dict(sampled.dtypes)["id"]
-    made = sampled.mapInArrow(vectors, f"id {kind}, toxic int, rate double, at array<int>, value array<double>")
-    examples = sorted(made.collect(), key=lambda r: (r.id, r.rate))  # bounded by sample
+    made = sampled.mapInArrow(vectors, f"id {kind}, toxic int, mentions long, at array<int>, value array<double>")
+    examples = sorted(made.collect(), key=lambda r: (r.id, r.mentions))  # bounded by sample
     toxic = np.array([r.toxic for r in examples])
-    rate = np.array([r.rate for r in examples])
-    grades = np.where(toxic > 0, 1 + (rate > np.median(rate[toxic > 0])), 0)
+    mentions = np.array([r.mentions for r in examples])
+    grades = np.where(toxic > 0, 1 + (mentions > np.median(mentions[toxic > 0])), 0)
     grades = np.unique(grades, return_inverse=True)[1]
     rows = np.repeat(np.arange(len(examples)), [len(r.at) for r in examples])
     columns = np.array([i for r in examples for i in r.at], dtype=np.int64)
     values = np.array([v for r in examples for v in r.value])
-    weights, thresholds = fit_cumulative_link(rows, columns, values, grades, len(index))
-    return SeverityModel({f: float(weights[i]) for f, i in index.items()}, thresholds.tolist())
+    # Features enter in proportion to how sure they are, so that the penalty weighs on chance ones.
+    scale = np.array([(z / LEAST_Z) ** 2 for _, z in chosen])
+    weights, thresholds = fit_cumulative_link(rows, columns, values * scale[columns], grades, len(index))
+    return SeverityModel({f: float(weights[i] * scale[i]) for f, i in index.items()}, thresholds.tolist())
 
 
 def severities(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
