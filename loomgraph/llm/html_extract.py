@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import least_hashed
+
 SAMPLE = 400
 #: Pages with more characters are not used for fitting.
 SAMPLE_CHARS = 200_000
@@ -393,7 +395,7 @@ def made_page(words: list[str], draw: random.Random) -> str:
 def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, seed: int = 9) -> BoostedTrees:
     """Fits the trees on at most sample pages, by the least seeded hash, and as many made ones."""
     texts = pages.where(F.length(html_col).between(1, SAMPLE_CHARS)).select(F.col(html_col).alias("html"))
-    rows = texts.orderBy(F.xxhash64("html", F.lit(seed)), "html").limit(sample).collect()  # bounded by sample
+    rows = least_hashed(texts, ["html"], sample, seed).collect()  # bounded by sample
     examples, words = [], []
     for r in rows:
         tree = Tree(r.html)
