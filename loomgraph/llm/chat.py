@@ -75,6 +75,13 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows: a tokenizer's answers are many times larger than its texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def turn_paths(conversations: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """(conv, role, text, depth, path): path holds a digest for each turn from the first to this one.
 
@@ -102,7 +109,7 @@ def encoded_nodes(nodes: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in in_slices(batches):
             written = [parts(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
             found = tok.encode_batch([p for three in written for p in three], add_special_tokens=False)
             ids, loss, counts = [], [], []
@@ -162,7 +169,7 @@ def conversation_digests(stream: DataFrame, leaves: DataFrame, tokenizer_path: s
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = [np.frombuffer(b, "<u4") for b in batch.column("ids").to_pylist()]
             loss = [np.frombuffer(b, np.uint8) for b in batch.column("loss").to_pylist()]
             text = tok.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
