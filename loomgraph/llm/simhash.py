@@ -29,6 +29,8 @@ WIDTH = 4
 RADIUS = 4
 #: Members of one chunk of a large bucket.
 CHUNK = 1024
+#: Bits of the filter that is broadcast to tell rows that surely stay.
+FILTER_BITS = 1 << 23
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = 1 << 16
 
@@ -204,16 +206,24 @@ def fingerprint_text(fp: Column) -> Column:
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """The rows of docs that stand for their group of near duplicates: the least doc_id's, one of its repeated rows.
 
-    Rows with null ids stay. All columns are kept.
+    Rows with null ids stay. All columns are kept. A bit filter of fixed size lets most rows that stay pass where they are; only
+    those that it cannot tell are joined with the ids in question. However full it is, the result is the same.
     """
+    columns = [F.col(c) for c in docs.columns]
     found = near_duplicates(docs, id_col, text_col, radius, width)
-    winners = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "winners")
-
-    def rows_of(chosen: str) -> DataFrame:
-        ids = winners.where(chosen).select(F.col("doc_id").alias("winner"))
-        return docs.join(ids, F.col(id_col) == F.col("winner"), "left_semi")
-
-    kept = rows_of("n = 1").union(docs.where(F.col(id_col).isNull()))
-    if not winners.where("n > 1").isEmpty():
-        kept = kept.union(rows_of("n > 1").dropDuplicates([id_col]))
-    return kept
+    # Ids that go, and ids whose rows must be counted: all others stay without being moved.
+    asked = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.expr("max(cast(doc_id <> component_id AS int))").alias("goes"))
+    asked = stored(asked.where("n > 1 or goes = 1"), "asked")
+    bit = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
+    words = asked.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("_bit"))
+    words = words.groupBy(F.shiftright("_bit", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("__bits"))
+    # At most FILTER_BITS / 64 rows, whatever the corpus.
+    held = docs.withColumn("__at", bit).join(F.broadcast(words), F.shiftright("__at", 6) == F.col("__word"), "left")
+    hit = F.coalesce(F.expr("shiftright(__bits, cast(__at % 64 as int)) & 1L") == 1, F.lit(False))
+    free = held.where(~hit).select(*columns)
+    suspects = held.where(hit).select(*columns)
+    kept = suspects.join(asked.select(F.col("doc_id").alias("__asked")), F.col(id_col) == F.col("__asked"), "left_anti")
+    once = asked.where("goes = 0").select(F.col("doc_id").alias("__asked"))
+    if not once.isEmpty():
+        kept = kept.union(suspects.join(once, F.col(id_col) == F.col("__asked"), "left_semi").dropDuplicates([id_col]))
+    return free.union(kept)
