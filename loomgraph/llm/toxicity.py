@@ -134,7 +134,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     sketched = sampled.select("id", "toxic", "text").mapInArrow(sketch, f"id {dict(sampled.dtypes)['id']}, toxic int, text string, sketch long")
     # Copies and most near copies of a text are no further evidence: they count once a label.
-    return stored(sketched.dropDuplicates(["toxic", "sketch"]).drop("sketch"), "labelled")
+    first = sketched.groupBy("toxic", "sketch").agg(F.min(F.struct("id", "text")).alias("r"))  # the same on every run
+    return stored(first.select("r.id", "toxic", "r.text"), "labelled")
 
 
 def least_shingle(text: str) -> int:
