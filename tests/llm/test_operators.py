@@ -133,6 +133,29 @@ def test_repeated_passages_are_found_whole(spark):
     assert by[2][0].partner_id == 3 and by[2][0].n_words >= 195 and by[3][0].similarity > 0.9
 
 
+def misled():
+    """A passage of 60 words, and one that has a part of it and all its minima."""
+    seeds = substring_dedup.mixed(np.arange(1, substring_dedup.HASHES + 1, dtype=np.uint64))
+    for seed in range(10_000):
+        whole = words(seed, 60)
+        part = " ".join(whole.split()[:34]) + " " + words(seed + 20_000, 26)
+        a, b = map(substring_dedup.Shingler(), (whole, part))
+        least = [[int(substring_dedup.mixed(x ^ s).argmin()) for s in seeds] for x in (a, b)]
+        if least[0] == least[1] and all(10 <= c < 30 for c in least[0]):
+            return whole, part
+
+
+@pytest.mark.parametrize("chunk", [4096, 1])
+def test_passages_meet_past_a_first_document_that_has_a_part(spark, monkeypatch, chunk):
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    whole, part = misled()
+    # The last document misleads too, as the first one does.
+    docs = make(spark, [(1, part, "s"), (2, whole, "s"), (3, words(7, 9) + " " + whole, "s"), (4, part.replace(part.split()[-1], "zzz"), "s"), (5, " ".join(part.split()[:34]) + " " + words(8, 30), "s")])
+    got = {(r.doc_id, r.partner_id, r.n_words) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert {(2, 3, 60), (3, 2, 60)} <= got
+    assert {d for d, _, _ in got} == {1, 2, 3, 4}
+
+
 def test_no_passages_in_nothing(none):
     assert substring_dedup.repeated_passages(none).count() == 0
 
