@@ -156,6 +156,27 @@ def test_passages_meet_past_a_first_document_that_has_a_part(spark, monkeypatch,
     assert {d for d, _, _ in got} == {1, 2, 3, 4}
 
 
+def test_short_stretches_against_brute_force():
+    draw, spell = random.Random(3), substring_dedup.Shingler()
+    seen = set()
+    for n in [*range(50, 131, 2)] * 5:
+        own = words(n, n).split()
+        other = own[:]
+        for at in draw.sample(range(n), draw.randint(1, 3)):
+            other[at] = "zzz"
+        x, y = spell(" ".join(own)), spell(" ".join(other))
+        upto = np.concatenate([[0], np.cumsum(np.isin(x, y))])
+        best = max((upto[b] - upto[a]) / (2 * (b - a) - upto[b] + upto[a]) for a in range(len(x)) for b in range(a + 46, len(x) + 1))
+        got = substring_dedup.shared_stretches(x, y, 46, 0.8)
+        assert bool(got) == (best >= 0.8)
+        assert all(b - a >= 45 and s >= 0.8 and s == round((upto[b + 1] - upto[a]) / (2 * (b - a + 1) - upto[b + 1] + upto[a]), 4) for a, b, s in got)
+        seen.add(bool(got))
+    assert seen == {True, False}
+    middle = words(1, 50).split()
+    edited = middle[:24] + ["zzz"] + middle[25:]
+    assert substring_dedup.shared_stretches(spell(" ".join(middle)), spell(" ".join(edited)), 46, 0.8) == [(0, 45, 0.8039)]
+
+
 def test_no_passages_in_nothing(none):
     assert substring_dedup.repeated_passages(none).count() == 0
 
