@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from loomgraph.llm.common import stored
 KEY = b"loomgraph surrogates"
 EPOCHS = 16
 ROUNDS = 8
+#: Letters that are permuted as one number; longer strings go in blocks of so many, in linear time.
+BLOCK = 256
 
 GIVEN = {
     ("latin", "f"): "Anna Maria Julia Laura Clara Emma Sofia Elena Marta Paula Nina Lucia Alice Sarah Hannah Ruth Helen Grace Rose Jane Mary Susan Karen Linda Sophie Marie Claire Julie Camille Carmen".split(),
@@ -66,7 +69,16 @@ def permuted(x: int, n: int, key: bytes, tweak: str) -> int:
 
 
 def respelt(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lambda s: True, alphabet: str | None = None) -> str:
-    """The image of text among the strings of its shape: each letter in its class, all else as it is."""
+    """The image of text among the strings of its shape: each letter in its class, all else as it is.
+
+    Of a long text, the first block is permuted under a digest of the others, and these under the first one's image.
+    """
+    if len(text) > BLOCK:
+        blocks = [text[at : at + BLOCK] for at in range(BLOCK, len(text), BLOCK)]
+        rest = hashlib.blake2b("".join(blocks).encode(), key=key[:64]).hexdigest()
+        first = respelt(text[:BLOCK], key, f"{tweak}|first|{len(text)}|{rest}", fits, alphabet)
+        lead = hashlib.blake2b(first.encode(), key=key[:64]).hexdigest()
+        return first + "".join(respelt(b, key, f"{tweak}|{i}|{lead}", fits, alphabet) for i, b in enumerate(blocks))
     classes = [alphabet if alphabet and c in alphabet else OF_CLASS.get(c) for c in text]
     shape = "".join(str(CLASSES.index(c)) if c in CLASSES else "x" if c else t for c, t in zip(classes, text))
     x, n = 0, 1
@@ -124,8 +136,8 @@ KNOWN_SECRETS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 #: Kind, pattern, and what a text must hold for the pattern to be worth trying: one of these, or for None a digit.
 _PATTERNS = [
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"), ("@",)),
-    ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{6,200}[A-Za-z0-9+/_-])"), ("=", ":")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"), KNOWN_SECRETS),
+    ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{6,}[A-Za-z0-9+/_-])"), ("=", ":")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"), KNOWN_SECRETS),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), None),
     ("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"), None),
     ("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)"), None),
@@ -172,17 +184,15 @@ def entities(text: str | None) -> list[Entity]:
         if len(words) == 2:
             found.append(Entity(f"given-{gender}", words[0], m.start(2), m.start(2) + len(words[0])))
         found.append(Entity("family", words[-1], m.end(2) - len(words[-1]), m.end(2)))
-    taken: list[Entity] = []
-    reach = 0
     order = {k: i for i, (k, _, _) in reversed(list(enumerate(_PATTERNS)))}
-    free: list[Entity] = []
-    for e in sorted(found, key=lambda e: (order.get(e.kind, 99), e.start)):
-        if not any(e.start < t.end and t.start < e.end for t in free[-50:] if t.start <= e.end):
-            free.append(e)
-    for e in sorted(free, key=lambda e: (e.start, -e.end)):
-        if e.start >= reach:
-            taken.append(e)
-            reach = e.end
+    # Entities that are taken do not overlap, so only the two beside a place can.
+    taken: list[Entity] = []
+    starts: list[int] = []
+    for e in sorted(found, key=lambda e: (order.get(e.kind, 99), e.start, -e.end)):
+        at = bisect(starts, e.start)
+        if (at == 0 or taken[at - 1].end <= e.start) and (at == len(taken) or e.end <= starts[at]):
+            taken.insert(at, e)
+            starts.insert(at, e.start)
     return taken
 
 
