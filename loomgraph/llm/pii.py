@@ -3,8 +3,8 @@
 Detected entities are replaced by keyed surrogates of the same kind, shape, script and, for names, gender. A surrogate is
 the entity's image under a keyed permutation of all strings of its kind and shape (a Feistel network over mixed radices,
 walked until the image is one the format allows), so one entity has one surrogate wherever it stands
-and in whatever layout, and distinct entities have distinct ones; nothing is looked up. An entity
-that the permutation leaves as it is goes through a second one. A check over all distinct entities counts what
+and in whatever layout, and distinct entities have distinct ones; nothing is looked up. The permutation
+is one cycle, so it leaves none of two or more strings as it is. A check over all distinct entities counts what
 stayed unchanged and what met in one surrogate, and while there is any, all is drawn again under the next key.
 """
 
@@ -50,24 +50,31 @@ OF_CLASS = {letter: c for c in CLASSES for letter in c}
 HEX = "0123456789abcdef"
 
 
-def permuted(x: int, n: int, key: bytes, tweak: str) -> int:
-    """The image of x under a keyed permutation of 0 .. n - 1."""
+def permuted(x: int, n: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """The image of x under a keyed permutation of 0 .. n - 1, or what has x as its image."""
     if n < 2:
         return x
     half = max(1, (n - 1).bit_length() + 1) // 2
     mask, size = (1 << half) - 1, half // 8 + 1
     while True:
         left, right = x >> half, x & mask
-        for r in range(ROUNDS):
+        if back:
+            left, right = right, left
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
             seen = hashlib.blake2b(b"%d|%d|" % (r, right) + tweak.encode(), key=key[:64], digest_size=min(64, size)).digest()
             if size > 64:
                 seen = hashlib.shake_256(seen).digest(size)
             left, right = right, left ^ (int.from_bytes(seen) & mask)
-        x = left << half | right
+        x = right << half | left if back else left << half | right
         if x < n:
             return x
 
 
+def moved(x: int, n: int, key: bytes, tweak: str) -> int:
+    """The image of x under a keyed permutation of 0 .. n - 1 that is one cycle, so that none of two or more stays."""
+    return permuted((permuted(x, n, key, tweak) + 1) % n, n, key, tweak, back=True)
+
+
 def respelt(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lambda s: True, alphabet: str | None = None) -> str:
     """The image of text among the strings of its shape: each letter in its class, all else as it is.
 
@@ -85,8 +92,9 @@ def respelt(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lam
     for c, letter in zip(classes, text):
         if c:
             x, n = x * len(c) + c.index(letter), n * len(c)
-    for _ in range(10_000):
-        x = permuted(x, n, key, f"{tweak}|{shape}")
+    # text fits too, so the cycle ends there at last.
+    while True:
+        x = moved(x, n, key, f"{tweak}|{shape}")
         rest, out = x, []
         for c, letter in zip(reversed(classes), reversed(text)):
             if c:
@@ -95,9 +103,8 @@ def respelt(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lam
             else:
                 out.append(letter)
         found = "".join(reversed(out))
-        if fits(found):
+        if fits(found) or found == text:
             return found
-    return found
 
 
 def luhn(digits: str) -> int:
@@ -215,7 +222,7 @@ def _surrogate(kind: str, name: str, key: bytes) -> str:
         own = private(name)
         x = int.from_bytes(bytes(map(int, name.split("."))))
         while True:
-            x = permuted(x, 1 << 32, key, "ip")
+            x = moved(x, 1 << 32, key, "ip")
             found = ".".join(map(str, x.to_bytes(4)))
             if private(found) == own:
                 return found
@@ -226,17 +233,19 @@ def _surrogate(kind: str, name: str, key: bytes) -> str:
             return body + str(-luhn(body + "0") % 10)
         return name[0] + respelt(name[1:], key, "number" + name[0], fits=lambda s: luhn(name[0] + s) != 0)
     if kind == "phone":
-        allowed = (lambda s: s[0] not in "01" and s[3] not in "01") if len(name) == 10 and name[0] not in "01" and name[3] not in "01" else lambda s: s[0] != "0" or name[0] == "0"
-        return respelt(name, key, "phone", fits=allowed)
+        # Numbers that can be dialled stay so, and others others: each sort has its own cycle.
+        sort = lambda s: (len(s) == 10 and s[0] not in "01" and s[3] not in "01", s[0] == "0")
+        return respelt(name, key, "phone", fits=lambda s: sort(s) == sort(name))
     if kind == "ssn":
-        return respelt(name, key, "ssn", fits=lambda s: s[:3] not in ("000", "666") and s[0] != "9" or name[:3] in ("000", "666") or name[0] == "9")
+        unused = lambda s: s[:3] in ("000", "666") or s[0] == "9"
+        return respelt(name, key, "ssn", fits=lambda s: unused(s) == unused(name))
     if kind == "iban":
         rest = respelt(name[4:], key, "iban" + name[:2])
         return name[:2] + iban_check(name[:2], rest) + rest
     if kind.startswith("given-"):
         for (script, gender), names in GIVEN.items():
-            if name in names and kind[-1] in (gender, "u"):
-                return names[permuted(names.index(name), len(names), key, script + gender)]
+            if name in names:
+                return names[moved(names.index(name), len(names), key, script + gender)]
         lists = {n for names in GIVEN.values() for n in names}
         return respelt(name[:-1], key, "given" + name[-1], fits=lambda s: s + name[-1] not in lists) + name[-1]
     return respelt(name, key, "family")

@@ -294,6 +294,23 @@ def test_permutations_are_one_to_one(n):
     assert sorted(pii.permuted(x, n, b"key", "t") for x in range(n)) == list(range(n))
 
 
+@pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
+def test_cycles_leave_nothing_where_it_is(n):
+    images = [pii.moved(x, n, b"k", "t") for x in range(n)]
+    assert sorted(images) == list(range(n)) and all(x != y for x, y in enumerate(images))
+
+
+def test_shapes_that_are_used_up_have_surrogates_under_any_key():
+    for key in (b"1", b"2", b"3", b"4"):
+        for names in pii.GIVEN.values():
+            for kind in ("given-u", "given-f", "given-m"):
+                images = [pii.surrogate(kind, n, key) for n in names]
+                assert sorted(images) == sorted(names) and all(a != b for a, b in zip(names, images))
+        for kind, forms in [("family", [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]), ("ssn", [f"{a:03d}{b:06d}" for a in (0, 1, 666, 900) for b in range(40)])]:
+            images = [pii.surrogate(kind, n, key) for n in forms]
+            assert len(set(images)) == len(forms) and all(a != b for a, b in zip(forms, images))
+
+
 def test_no_entities_in_nothing(none):
     assert pii.with_surrogates(none, pii.safe_key(none)).count() == 0
 
