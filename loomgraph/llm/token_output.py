@@ -13,11 +13,11 @@ from __future__ import annotations
 import bisect
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,14 +32,20 @@ BLOCK = 512
 SHARD_IDS = 32_000_000
 #: Ids held for one step of the decoder; longer documents are held alone.
 BATCH_IDS = 1_000_000
+#: Words whose ids a worker keeps: half in use, half of the generation before.
 CACHED_WORDS = 1_000_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 4 << 20
+#: Marks that stand alone after letters.
+ENDS = frozenset(".,;:!?")
 
 
 class Encoder:
-    """A tokenizers file as a function from texts to one array of ids and the end of each text in it.
+    """A tokenizers file as a function from a column of texts to one array of ids and the end of each text in it.
 
-    Where the tokenizer drops white space and splits at it (word_bpe_49k does), a text's ids are those of its
-    words one after another, so each word is encoded once and kept.
+    Where the tokenizer drops white space and splits at it (word_bpe_49k does), a text's ids are those of its words one after
+    another, so each distinct word of a slice is looked up once. Words that two generations of looked-up words lack are encoded
+    together, in one library call.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -51,16 +57,24 @@ class Encoder:
         config = json.loads(self.tokenizer.to_str())
         self.by_word = self.drops_white_space(config)
         self.added = tuple(t["content"] for t in config.get("added_tokens", []))
-        self.end_id = end_id
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16 or (end_id or 0) >> 16 > 0
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.end = [] if end_id is None else [end_id]
         if self.by_word:
             import regex
 
-            first = config["pre_tokenizer"]["pretokenizers"][0]
-            self.split = regex.compile(first["pattern"]["Regex"]).findall
+            steps = config["pre_tokenizer"]["pretokenizers"]
+            self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            others = [b for b in range(256) if b not in printable]
-            self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.clear()
+            self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+            # The same merges over pieces that are cut and spelt already; a piece's last id is one that ends a word.
+            self.merges = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            suffix = config["model"]["end_of_word_suffix"]
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.closes[i] = token.endswith(suffix)
+        self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     @staticmethod
     def drops_white_space(config: dict) -> bool:
@@ -74,67 +88,88 @@ class Encoder:
             and not steps[1]["add_prefix_space"]
             and not steps[1]["use_regex"]
             and config["model"]["type"] == "BPE"
+            and bool(config["model"].get("end_of_word_suffix"))
         )
 
-    def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = {}
-        self.starts, self.lengths, self.ids = array("q"), array("q"), array("I")
-        if self.end_id is not None:
-            self.keep([self.end_id])
-
-    def keep(self, ids: list[int]) -> int:
-        self.starts.append(len(self.ids))
-        self.lengths.append(len(ids))
-        self.ids.extend(ids)
-        return len(self.starts) - 1
-
-    def place(self, word: str) -> int:
-        """Where the word's ids are kept. A word of one piece shares the piece's place."""
-        # Beyond Latin letters, case rules differ between languages' libraries; the tokenizer itself decides there.
-        if max(word) > "ɏ" or "İ" in word or any(t in word for t in self.added):
-            return self.keep(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        places = []
-        for piece in self.split(word.lower()):
-            at = self.pieces.get(piece)
-            if at is None:
-                spelt = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
-                at = self.pieces[piece] = self.keep([t.id for t in self.tokenizer.model.tokenize(spelt)])
-            places.append(at)
-        if len(places) == 1:
-            return places[0]
-        ids, starts, lengths = self.ids, self.starts, self.lengths
-        return self.keep([i for at in places for i in ids[starts[at] : starts[at] + lengths[at]]])
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def spelt(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        out: list[bytes] = [b""] * len(words)
+        joined = b"\n".join(words).decode()
+        special = [t for t in self.added if t in joined]
+        pieces: list[str] = []
+        upto, plain, others = [0], [], []
+        for i, (word, lower) in enumerate(zip(joined.split("\n"), joined.lower().split("\n"))):
+            # Beyond Latin letters, case rules differ between languages' libraries; the tokenizer itself decides there.
+            if (not word.isascii() and (max(word) > "ɏ" or "İ" in word)) or (special and any(t in word for t in special)):
+                others.append(i)
+                continue
+            mark = lower[-1:] if lower[-1:] in ENDS else ""
+            if (lone := lower[:-1] if mark else lower).isalpha():
+                pieces.append(lone if lone.isascii() else self.spelt(lone))
+                if mark:
+                    pieces.append(mark)
+            else:
+                pieces += [self.spelt(p) for p in self.split(lower)]
+            plain.append(i)
+            upto.append(len(pieces))
+        width = self.kind.itemsize
+        if pieces:
+            ids = np.array(self.merges.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])
+            if len(ends) != len(pieces) + 1:
+                raise ValueError("some piece has no id that ends it")
+            cuts, blob = (ends[upto] * width).tolist(), ids.tobytes()
+            for i, a, b in zip(plain, cuts, cuts[1:]):
+                out[i] = blob[a:b]
+        if others:
+            for i, found in zip(others, self.tokenizer.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)):
+                out[i] = np.array(found.ids, self.kind).tobytes()
+        return out
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        if len(self.words) > CACHED_WORDS // 2:
+            self.words, self.before = {}, self.words
+        new, old = self.words, self.before
+        found = list(map(new.get, words))
+        missing = [i for i, f in enumerate(found) if f is None]
+        for i in missing:
+            if (f := old.get(words[i])) is not None:
+                found[i] = new[words[i]] = f
+        missing = [i for i in missing if found[i] is None]
+        for i, f in zip(missing, self.encoded([words[i] for i in missing])):
+            found[i] = new[words[i]] = f
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.fill_null("")
         if not self.by_word:
-            found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
-            end = [] if self.end_id is None else [self.end_id]
-            each = [f.ids + end for f in found]
-            return np.array([i for ids in each for i in ids], dtype=np.uint32), np.cumsum([len(ids) for ids in each])
-        if len(self.words) > CACHED_WORDS:
-            self.clear()
-        of, ends, known = array("q"), [], self.words
-        for text in texts:
-            words = (text or "").encode().split()
-            at = [known.get(w, -1) for w in words]
-            if -1 in at:
-                for i, k in enumerate(at):
-                    if k < 0:
-                        w = words[i]
-                        k = known.get(w, -1)
-                        if k < 0:
-                            k = known[w] = self.place(w.decode())
-                        at[i] = k
-            if self.end_id is not None:
-                at.append(0)
-            of.extend(at)
-            ends.append(len(of))
-        index = np.frombuffer(of, dtype=np.int64) if len(of) else np.zeros(0, np.int64)
-        starts, lengths = np.frombuffer(self.starts, np.int64)[index], np.frombuffer(self.lengths, np.int64)[index]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        picks = np.repeat(starts - upto[:-1], lengths) + np.arange(upto[-1])
-        return np.frombuffer(self.ids, np.uint32)[picks], upto[np.array(ends, dtype=np.int64)]
+            each = [np.array(f.ids + self.end, self.kind) for f in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(each or [np.zeros(0, self.kind)]), np.cumsum([len(e) for e in each])
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        found = self.known(values(coded.dictionary))
+        found.append(np.array(self.end, self.kind).tobytes())
+        table = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        places = np.cumsum(sizes) - sizes
+        # Each text's words, then the end id.
+        n_words = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        index = np.insert(coded.indices.to_numpy(), np.cumsum(n_words), len(found) - 1)
+        lengths = sizes[index]
+        upto = np.cumsum(lengths)
+        picks = np.repeat(places[index] - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)
+        return table[picks], upto[np.cumsum(n_words + 1) - 1]
+
+
+def values(column: pa.Array) -> list[bytes]:
+    """The bytes of a string column without nulls."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    blob = data.to_pybytes() if data else b""
+    return [blob[a:b] for a, b in zip(ends, ends[1:])]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -172,11 +207,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = None, id_col: str
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end_id)
-        wide = encode.tokenizer.get_vocab_size() > 1 << 16 or (end_id or 0) >> 16
         for whole in batches:
-            for batch in sliced(whole, 256, "text"):
-                ids, ends = encode(batch.column("text").to_pylist())
-                ids = ids.astype("<u4" if wide else "<u2")
+            for batch in sliced(whole, 4096, "text", SLICE_BYTES):
+                ids, ends = encode(batch.column("text"))
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 blobs = [ids[a:b].tobytes() for a, b in zip(starts, ends)]
                 yield pa.record_batch([batch.column("doc_id"), pa.array(ends - starts, pa.int64()), binary(blobs)], names=["doc_id", "n_tokens", "ids"])

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def test_token_output_of_nothing(none):
 def test_other_tokenizers_are_encoded_whole(spark):
     encode = token_output.Encoder(BYTE_PATH, None)
     assert not encode.by_word
-    ids, ends = encode(["a b", None, " c"])
+    ids, ends = encode(pa.array(["a b", None, " c"]))
     assert Tokenizer.from_file(BYTE_PATH).decode(ids[ends[1] :].tolist()) == " c" and ends[0] == ends[1]
 
 
@@ -607,11 +608,18 @@ def test_members_are_read_again_by_offset(spark, odd, tmp_path, monkeypatch):
         list(reader.read(parts[0]))
 
 
-def test_words_are_encoded_as_the_tokenizer_encodes_texts():
+def test_words_are_encoded_as_the_tokenizer_encodes_texts(monkeypatch):
     tokenizer, encode, draw = Tokenizer.from_file(PATH), token_output.Encoder(PATH, 2), random.Random(1)
     assert encode.by_word
     pool = [chr(i) for i in range(0x250)] + ["'s", "'re", "'ll", "'T", "<|", "|>", "startoftext", "́", "ﬁ", "Σ", "ς", "İ", "K", " ", "​", "漢", "🙂", "ẞ", "ͅ"]
     texts = ["".join(draw.choice(pool) for _ in range(draw.randint(0, 9))) for _ in range(5000)]
-    ids, ends = encode(texts)
-    wanted = [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 2]]
-    assert ids.tolist() == wanted and len(ends) == len(texts)
+    texts += [w + mark for w in ("word", "ïß", "o'clock", "it's", "a1") for mark in [*".,;:!?'", "..", "!?"]]
+    wanted = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    ids, ends = encode(pa.array(texts))
+    assert ids.tolist() == [i for w in wanted for i in w] and ends.tolist() == np.cumsum([len(w) for w in wanted]).tolist()
+    # Again from words that are kept, across generations, and from a slice of a larger column with nulls.
+    monkeypatch.setattr(token_output, "CACHED_WORDS", 40)
+    for at in range(0, 600, 7):
+        part = pa.array(["x", None, *texts])[at : at + 9]
+        ids, _ = encode(part)
+        assert ids.tolist() == [i for t in part.to_pylist() for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
