@@ -3,7 +3,8 @@
 Items and documents are compared in lower case with one space for everything that is neither letter nor digit. An item of n characters
 may be up to n // CHARS_PER_EDIT edits away. Cut into one piece more than that, it leaves at least one piece
 untouched in any passage so close to it, so an Aho-Corasick automaton over all pieces finds every
-candidate in one pass over the text, and Myers' bit-parallel distance decides around each.
+candidate in one pass over the text, and Myers' bit-parallel distance decides around each. Items of less than
+MIN_CHARS characters are one piece and must stand in the text as whole words, without an edit.
 
 The automaton covers a block of items of BLOCK_CHARS characters in all, which bounds what is broadcast; a larger benchmark takes
 further passes.
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 16
-#: Items with fewer characters prove no leak and are left out.
+#: Items with fewer characters are matched exactly, at word limits.
 MIN_CHARS = 20
 BLOCK_CHARS = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -31,8 +33,8 @@ def normalised(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
-def budget(n_chars: int, chars_per_edit: int = CHARS_PER_EDIT) -> int:
-    return n_chars // chars_per_edit
+def budget(n_chars: int, chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS) -> int:
+    return n_chars // chars_per_edit if n_chars >= min_chars else 0
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -79,10 +81,11 @@ def closest(masks: dict[str, int], n: int, text: str, most: int) -> tuple[int, i
 class Matcher:
     """All items of one block."""
 
-    def __init__(self, items: list[tuple[object, str]], chars_per_edit: int = CHARS_PER_EDIT):
+    def __init__(self, items: list[tuple[object, str]], chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items = [(i, t, budget(len(t), chars_per_edit), letter_masks(t)) for i, t in items]
+        self.items = [(i, t, budget(len(t), chars_per_edit, min_chars), letter_masks(t)) for i, t in items]
+        self.short = [len(t) < min_chars for _, t in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text, edits, _) in enumerate(self.items):
             for at, piece in pieces(text, edits):
@@ -95,10 +98,15 @@ class Matcher:
     def leaks(self, text: str) -> list[tuple[object, int, int]]:
         """(item, distance, end in the normalised text), the closest stretch for each item within its budget."""
         starts: dict[int, set[int]] = defaultdict(set)
+        words: dict[int, int] = {}
         for end, where in self.automaton.iter(text):
             for k, inside in where:
-                starts[k].add(end + 1 - inside)  # where the item would begin
-        found = []
+                begin = end + 1 - inside  # where the item would begin
+                if not self.short[k]:
+                    starts[k].add(begin)
+                elif k not in words and text[begin - 1 : begin] in ("", " ") and text[end + 1 : end + 2] in ("", " "):
+                    words[k] = end + 1
+        found = [(self.items[k][0], 0, at) for k, at in words.items()]
         for k, begins in starts.items():
             item, pattern, edits, masks = self.items[k]
             n, best, at = len(pattern), edits + 1, -1
@@ -124,14 +132,14 @@ class Matcher:
         return found
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int, chars_per_edit: int, min_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The items, normalised, in blocks of about block_chars characters. Null, empty and short items are left out."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """The items, normalised, in blocks of about block_chars characters. Items without a letter or digit say nothing and are left out."""
     held = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
     total = held.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars) or 1
     for block in range(n):
         rows = held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block).distinct().collect()  # bounded: one block
-        yield [(r.item, t) for r in rows if len(t := normalised(r.text)) >= min_chars]
+        yield [(r.item, t) for r in rows if (t := normalised(r.text))]
 
 
 def leaks(
@@ -140,21 +148,22 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, distance, end: a row for each item that a document holds within the item's budget.
 
-    end counts characters of the normalised text. Null and empty texts hold nothing; null ids are kept as
-    they are; each of repeated rows gives its own. Among equally close stretches the first counts. Empty
+    end counts characters of the normalised text. Null and empty texts hold nothing; null ids, of documents and of items, are
+    kept as they are; items' ids may have any type; each of repeated rows gives its own. Among equally close stretches the first counts. Empty
     tables give an empty one. Other columns are not looked at.
     """
     spark = docs.sparkSession
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = f"doc_id {dict(held.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)[item_col]}, distance int, end long"
     found = None
-    for items in blocks(benchmark, item_col, item_text_col, block_chars, chars_per_edit, min_chars):
+    item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
+    for items in blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast(items)
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, chars_per_edit)
+            matcher = Matcher(shared.value, chars_per_edit, min_chars)
             for batch in batches:
-                schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("item_id", pa.int64() if all(isinstance(i, int) for i, _ in shared.value) else pa.string()), ("distance", pa.int32()), ("end", pa.int64())])
+                schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("item_id", item_kind), ("distance", pa.int32()), ("end", pa.int64())])
                 rows = [(i.as_py(), *leak) for i, t in zip(batch.column("doc_id"), batch.column("text")) for leak in (matcher.leaks(normalised(t.as_py())) if shared.value else [])]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, schema)], schema=schema)
 
@@ -167,16 +176,16 @@ def decontaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """The rows of docs that hold no item, whole and with all their columns. Null and empty texts stay."""
+    """The rows of docs that hold no item, whole and with all their columns. Null and empty texts stay, and all do where there are no items."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for items in blocks(benchmark, item_col, item_text_col, block_chars, chars_per_edit, min_chars):
+    for items in blocks(benchmark, item_col, item_text_col, block_chars):
         if not items:
             continue
         shared = spark.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, chars_per_edit)
+            matcher = Matcher(shared.value, chars_per_edit, min_chars)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.leaks(normalised(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
