@@ -1,13 +1,14 @@
 """Main text of web pages by gradient-boosted trees over the nodes of the document tree.
 
 Every block element is a node with features of its subtree (text, links, punctuation, density), of its tag and
-attribute tokens, of its depth and of its place among its siblings. Boosted trees give each node the log odds that
+attribute tokens, of its depth and of its place among its siblings. Text that stands directly in the page's body, between its
+blocks, forms nodes of its own. Boosted trees give each node the log odds that
 it belongs to the article. Decoding is hierarchical: nothing is kept under a node that is dropped,
 dropping a node under a kept one costs SWITCH, and the best choice for the whole tree is found from
 the leaves up, so no node contradicts its ancestors or descendants.
 
 The trees are fitted on SAMPLE pages at most, labelled by their own semantic elements, and on as many made layouts
-(which have no such elements, other attribute tokens, sidebars, notices, forms and comments), whose words come from those pages.
+(which have no such elements or no wrapper at all, other attribute tokens, layout tables, sidebars, notices, forms and comments), whose words come from those pages.
 """
 
 from __future__ import annotations
@@ -57,6 +58,9 @@ GROUPS = {t: i for i, words in enumerate(TOKENS.values()) for t in words}
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 _ENDS = re.compile(r"[.,;:!?]")
+#: The tag of a node for text that stands directly in the body.
+RUN = "#run"
+_ANY_BLOCK = "#block"
 
 
 @dataclass
@@ -84,44 +88,63 @@ class Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("html", -1, 0, ())]
-        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.stack: list[tuple[str, int]] = []
+        #: Where on the stack the open elements of each tag are, so that no tag makes the parser walk through it.
+        self.open: dict[str, list[int]] = {}
+        self.push("html", 0)
         self.pieces: list[tuple[int, str | None]] = []
-        self.hidden = self.linked = 0
+        self.run = -1
         self.feed(html)
         self.close()
 
+    def push(self, tag: str, at: int) -> None:
+        for name in (tag, _ANY_BLOCK) if tag in BLOCKS else (tag, "#unseen") if tag in UNSEEN else (tag,):
+            self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append((tag, at))
+
+    def last(self, tag: str) -> int:
+        places = self.open.get(tag)
+        return places[-1] if places else -1
+
+    def edge(self, at: int) -> None:
+        """Between two blocks; text in the body after it is another run."""
+        self.pieces.append((at, None))
+        self.run = -1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("html", "body") and len(self.stack) > (tag == "body"):
-            if tag == "html" or any(t == "body" for t, _ in self.stack):
-                return
-        if tag == "br" or tag == "hr":
-            self.pieces.append((self.stack[-1][1], " " if tag == "br" else None))
-        if tag in BLOCKS and any(t == "p" for t, _ in self.stack):
+        if tag in ("html", "body") and self.last(tag) >= 0:
+            return
+        if tag == "hr":
+            self.edge(self.stack[-1][1])
+        elif tag == "br":
+            self.pieces.append((self.run if self.run >= 0 else self.stack[-1][1], " "))
+        if tag in BLOCKS:
             self.pop("p", {"table", "td", "th", "li"})
         if tag in CLOSES:
             for t in CLOSES[tag][0]:
                 self.pop(t, CLOSES[tag][1])
-        node = self.nodes[self.stack[-1][1]]
+        at = self.stack[-1][1]
+        node = self.nodes[at]
         if tag in ("input", "button", "select", "textarea", "label"):
             node.controls += 1
         if tag in VOID:
             return
-        at = self.stack[-1][1]
         if tag in BLOCKS:
             values = dict(attrs)
             words = _SPLIT.split(" ".join(values.get(k) or "" for k in ("class", "id", "role", "aria-label")).lower())
             groups = tuple(sorted({GROUPS[w] for w in words if w in GROUPS}))
-            self.nodes.append(Node(tag, at, node.depth + 1, groups, values.get("data-truth")))
-            at = len(self.nodes) - 1
-            self.nodes[self.stack[-1][1]].children.append(at)
-            self.pieces.append((at, None))
+            at = self.grown(tag, at, groups, values.get("data-truth"))
+            self.edge(at)
             if "hidden" in values or "display:none" in (values.get("style") or "").replace(" ", ""):
                 self.nodes[at].controls += 5
         else:
             node.elements += 1
-        self.hidden += tag in UNSEEN
-        self.linked += tag == "a"
-        self.stack.append((tag, at))
+        self.push(tag, at)
+
+    def grown(self, tag: str, parent: int, groups: tuple[int, ...] = (), truth: str | None = None) -> int:
+        self.nodes.append(Node(tag, parent, self.nodes[parent].depth + 1, groups, truth))
+        self.nodes[parent].children.append(len(self.nodes) - 1)
+        return len(self.nodes) - 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,37 +152,40 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self, tag: str, bounds: set[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                return self.cut(i)
-            if self.stack[i][0] in bounds:
-                return None
-        return None
+        at = self.last(tag)
+        if at > 0 and all(self.last(b) < at for b in bounds if b != tag):
+            self.cut(at)
 
     def cut(self, i: int) -> None:
-        for tag, at in self.stack[i:]:
-            self.hidden -= tag in UNSEEN
-            self.linked -= tag == "a"
+        for tag, at in reversed(self.stack[i:]):
+            for name in (tag, _ANY_BLOCK) if tag in BLOCKS else (tag, "#unseen") if tag in UNSEEN else (tag,):
+                self.open[name].pop()
             if tag in BLOCKS:
-                self.pieces.append((self.nodes[at].parent, None))
+                self.edge(self.nodes[at].parent)
         del self.stack[i:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        self.pop(tag, set() if tag in BLOCKS or tag in UNSEEN else BLOCKS)
+        self.pop(tag, set() if tag in BLOCKS or tag in UNSEEN else {_ANY_BLOCK})
 
     def handle_data(self, data: str) -> None:
-        if self.hidden:
+        if self.open.get("#unseen"):
             return
         at = self.stack[-1][1]
-        self.pieces.append((at, data))
         n = len(data.strip())
+        if self.nodes[at].tag in ("html", "body"):
+            if self.run < 0 and n:
+                self.run = self.grown(RUN, at)
+            if self.run < 0:
+                return
+            at = self.run
+        self.pieces.append((at, data))
         if n:
             node = self.nodes[at]
             node.own += n
             node.texts += 1
-            node.links += n if self.linked else 0
+            node.links += n if self.open.get("a") else 0
             node.marks += len(_ENDS.findall(data))
 
     def features(self) -> np.ndarray:
@@ -168,14 +194,16 @@ class Tree(HTMLParser):
         total = [v.own for v in nodes]
         links, marks, elements, controls = [v.links for v in nodes], [v.marks for v in nodes], [v.elements for v in nodes], [v.controls for v in nodes]
         heads, items = [int(v.tag in HEADINGS) for v in nodes], [int(v.tag == "li") for v in nodes]
-        inside = [v.own if v.tag in ("p", "pre", "blockquote") else 0 for v in nodes]
+        inside = [v.own if v.tag in ("p", "pre", "blockquote", RUN) else 0 for v in nodes]
         blocks = [1] * n
         for i in range(n - 1, 0, -1):
             p = nodes[i].parent
             for column in (total, links, marks, elements, controls, heads, items, inside, blocks):
                 column[p] += column[i]
-        out = np.zeros((n, 17 + len(TAGS) + 3 * len(TOKENS) + 5), np.float32)
+        out = np.zeros((n, 17 + len(TAGS) + 3 * len(TOKENS) + 7), np.float32)
         place, above = [0] * n, [frozenset()] * n
+        #: Whether the page names its article, by element.
+        named = any(v.tag in TAGS[0] for v in nodes)
         seen = 0
         page = max(1, total[0])
         begins = [0] * n
@@ -212,7 +240,7 @@ class Tree(HTMLParser):
                 for g in nodes[c].groups:
                     row[at + g] = 1
             at += len(TOKENS)
-            row[at : at + 5] = (-1 in above[i], -8 in above[i] or -10 in above[i], -11 in above[i] or -12 in above[i], -9 in above[i], len(v.groups) > 0)
+            row[at : at + 7] = (-1 in above[i], -8 in above[i] or -10 in above[i], -11 in above[i] or -12 in above[i], -9 in above[i], len(v.groups) > 0, v.tag == RUN, named)
         return out
 
     def decode(self, odds: np.ndarray) -> list[bool]:
@@ -238,7 +266,7 @@ class Tree(HTMLParser):
         for at, piece in self.pieces:
             if piece is None:
                 flush()
-            elif keep[at] and self.nodes[at].tag not in ("html", "body"):
+            elif keep[at]:
                 block.append(piece)
         flush()
         return " ".join(done)
@@ -328,9 +356,10 @@ def wrapped(tree: Tree, truth: list[int]) -> list[int]:
 
 
 def made_truth(tree: Tree) -> list[int]:
+    plain = all(v.tag in ("html", RUN) for v in tree.nodes)  # a page without any block
     truth = [0] * len(tree.nodes)
     for i, v in enumerate(tree.nodes):
-        truth[i] = int(v.truth == "1") if v.truth else truth[v.parent] if i else 0
+        truth[i] = int(v.truth == "1") if v.truth else truth[v.parent] if i else int(plain)
     return wrapped(tree, truth)
 
 
@@ -373,22 +402,58 @@ def made_page(words: list[str], draw: random.Random) -> str:
             return named("form", ["form", "form", "div"], f'<label>{some(1, 3)}</label><input type="text"><button>{some(1, 2)}</button>', 0)
         return named("share", ["div", "ul"], linked(draw.randint(2, 4)), 0)
 
+    def table() -> str:
+        rows = ["".join(f"<{cell}>{some(1, 4)}</{cell}>" for _ in range(draw.randint(2, 4))) for cell in ["th", *["td"] * draw.randint(1, 5)]]
+        return "<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>"
+
+    def bare() -> str:
+        """Text that no block holds."""
+        lines = [sentence(3, 24) if draw.random() < 0.8 else f"<{t}>{some(1, 6)}</{t}>" for t in draw.choices(["b", "span", "i", "font", "x-text"], k=draw.randint(1, 8))]
+        return draw.choice(["<br>", "<br><br>", " ", "\n"]).join(lines)
+
+    def part() -> str:
+        kind = draw.random()
+        if kind < 0.7:
+            return f"<p>{' '.join(sentence(1, 24) for _ in range(draw.randint(1, 6)))}</p>"
+        if kind < 0.77:
+            return f"<h{(level := draw.randint(2, 4))}>{some(1, 6)}</h{level}>"
+        if kind < 0.83:
+            return f"<ul><li>{sentence(2, 9)}</li><li>{sentence(2, 9)}</li></ul>"
+        if kind < 0.87:
+            return f"<blockquote>{sentence(5, 20)}</blockquote>"
+        if kind < 0.91:
+            return f"<div>{sentence(4, 24)}</div>"
+        if kind < 0.96:
+            return table()
+        return f"<pre>{some(4, 30)}</pre>" if kind < 0.98 else f"<dl><dt>{some(1, 3)}</dt><dd>{sentence(3, 12)}</dd></dl>"
+
+    layout = draw.random()
     body = "" if draw.random() < 0.15 else f"<h1>{some(2, 10)}</h1>"
     for _ in range(draw.randint(1, 14)):
-        kind = draw.random()
-        body += f"<p>{' '.join(sentence(1, 24) for _ in range(draw.randint(1, 6)))}</p>" if kind < 0.75 else f"<h2>{some(1, 6)}</h2>" if kind < 0.83 else f"<ul><li>{sentence(2, 9)}</li><li>{sentence(2, 9)}</li></ul>" if kind < 0.9 else f"<blockquote>{sentence(5, 20)}</blockquote>" if kind < 0.95 else f"<div>{sentence(4, 24)}</div>"
+        body += bare() if layout < 0.3 and draw.random() < 0.5 else part()
     if draw.random() < 0.3:
         body = body.replace("</p>", "</p>" + noise(draw.choice(["advert", "share", "side", "form"])), 1)
     if draw.random() < 0.2:
         body += noise("comment")
-    content = named("content", ["div", "div", "section", "article", "main"], body, 1)
     before = [noise(k) for k in ("header", "menu", "notice", "advert", "form") if draw.random() < 0.55]
     after = [noise(k) for k in ("share", "comment", "side", "advert", "notice", "footer", "form") if draw.random() < 0.5]
     draw.shuffle(before)
+    if layout < 0.04:
+        return bare()
+    if layout < 0.3:
+        # The article stands directly in the body.
+        return f'<html><head><title>{some(2, 6)}</title></head><body data-truth="1">{"".join(before)}{body}{"".join(after)}</body></html>'
+    if layout < 0.4:
+        cells = [f'<td data-truth="0">{"".join(before)}</td>', f'<td data-truth="1">{body}</td>', *([f'<td data-truth="0">{"".join(after)}</td>'] if draw.random() < 0.5 else [])]
+        content = f"<table><tr>{''.join(cells)}</tr></table>"
+        return f"<html><head><title>{some(2, 6)}</title></head><body>{content}</body></html>"
+    content = named("content", ["div", "div", "section", "article", "main"], body, 1)
     if draw.random() < 0.5:
         content = f"<div{draw.choice(['', ' class=wrapper', ' id=layout'])}>{''.join(before)}{content}{''.join(after)}</div>"
     else:
         content = "".join(before) + content + "".join(after)
+    if draw.random() < 0.2:
+        content = draw.choice([f'<a href="#">{some(1, 3)}</a>{content}', f"{content}&copy; {some(1, 4)}"])
     return f"<html><head><title>{some(2, 6)}</title></head><body>{content}</body></html>"
 
 
