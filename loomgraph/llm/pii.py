@@ -6,15 +6,24 @@ walked until the image is one the format allows), so one entity has one surrogat
 and in whatever layout, and distinct entities have distinct ones; nothing is looked up. The permutation
 is one cycle, so it leaves none of two or more strings as it is. A check over all distinct entities counts what
 stayed unchanged and what met in one surrogate, and while there is any, all is drawn again under the next key.
+
+Names are learnt where a title or a listed given name tells them, and then replaced wherever they stand in the document, each part of a
+hyphenated name by itself, in capitals or not. Where all strings of a shape are in use, a surrogate is some other entity's real form;
+as every entity is replaced, it names nobody.
+
+Who has the key can undo the permutations: it must be kept apart from the output, and no key is built in.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +31,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import stored
 
-KEY = b"loomgraph surrogates"
 EPOCHS = 16
 ROUNDS = 8
 #: Letters that are permuted as one number; longer strings go in blocks of so many, in linear time.
@@ -39,7 +47,11 @@ TITLES = {
     "f": "Mrs Ms Miss Madam Frau Madame Mademoiselle Señora Señorita Doña Госпожа".split(),
     "u": "Dr Prof Professor".split(),
 }
-GENDER = {t: g for g, titles in TITLES.items() for t in titles}
+GENDER = {form: g for g, titles in TITLES.items() for t in titles for form in (t, t.upper())}
+#: Small words between names.
+PARTICLES = "van von de der den di da del della du la le dos das ter ten bin al el zu".split()
+#: Where each listed name is, by its small letters.
+LISTED = {n.lower(): (group, i) for group, names in GIVEN.items() for i, n in enumerate(names)}
 #: Letters stand for letters of their own class, so that a surrogate can be spoken like its entity.
 CLASSES = [
     "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñß",
@@ -47,6 +59,21 @@ CLASSES = [
 ]
 CLASSES += [c.upper().replace("SS", "ẞ") for c in CLASSES[:-1]]
 OF_CLASS = {letter: c for c in CLASSES for letter in c}
+NUMBER = {c: str(i) for i, c in enumerate(CLASSES)}
+
+
+@lru_cache(maxsize=1 << 16)
+def letter_class(letter: str) -> str | None:
+    """The letters that may stand for letter: its class, or its like among the 64 code points around it."""
+    if letter in OF_CLASS:
+        return OF_CLASS[letter]
+    if not letter.isalpha():
+        return None
+    kind, first = unicodedata.category(letter), ord(letter) & ~63
+    like = "".join(c for c in map(chr, range(first, first + 64)) if unicodedata.category(c) == kind and c not in OF_CLASS and len(c.lower()) == len(c.upper()) == 1)
+    return like if letter in like and len(like) > 1 else None
+
+
 HEX = "0123456789abcdef"
 
 
@@ -86,8 +113,8 @@ def respelt(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lam
         first = respelt(text[:BLOCK], key, f"{tweak}|first|{len(text)}|{rest}", fits, alphabet)
         lead = hashlib.blake2b(first.encode(), key=key[:64]).hexdigest()
         return first + "".join(respelt(b, key, f"{tweak}|{i}|{lead}", fits, alphabet) for i, b in enumerate(blocks))
-    classes = [alphabet if alphabet and c in alphabet else OF_CLASS.get(c) for c in text]
-    shape = "".join(str(CLASSES.index(c)) if c in CLASSES else "x" if c else t for c, t in zip(classes, text))
+    classes = [alphabet if alphabet and c in alphabet else letter_class(c) for c in text]
+    shape = "".join((NUMBER.get(c) or ("x" if c == alphabet else f"<{c[0]}>")) if c else t for c, t in zip(classes, text))
     x, n = 0, 1
     for c, letter in zip(classes, text):
         if c:
@@ -137,7 +164,14 @@ class Entity:
 
 
 _DIGIT = re.compile(r"\d")
-_TITLE = re.compile(r"\b(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r")\.? ((?:[^\W\d_a-zа-яß-öø-ÿα-ω][^\W\d_]+)(?: [^\W\d_a-zа-яß-öø-ÿα-ω][^\W\d_]+)?)")
+#: A letter that isn't small.
+_HIGH = r"[^\W\d_a-zа-яß-öø-ÿα-ω]"
+#: A name, with its apostrophes and hyphens but without a possessive ending.
+_NAME = re.compile(_HIGH + r"(?:[^\W\d_]|[-'’](?!s\b)(?=[^\W\d_]))+")
+_FOLLOWING = rf"[ \u00a0](?:(?:{'|'.join(PARTICLES)})[ \u00a0])*{_NAME.pattern}"
+_FIRST = re.compile(rf"\b{_HIGH}[^\W\d_]*")
+_TITLED = re.compile(rf"[^\W\d_]+\.?[ \u00a0](?:{_HIGH}\.[ \u00a0]?){{0,3}}((?:(?:{'|'.join(PARTICLES)})[ \u00a0])*{_NAME.pattern}(?:{_FOLLOWING}){{0,2}})")
+_LISTED = re.compile(rf"({_NAME.pattern}(?:{_FOLLOWING}){{1,2}})")
 #: How some services' secrets begin.
 KNOWN_SECRETS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 #: Kind, pattern, and what a text must hold for the pattern to be worth trying: one of these, or for None a digit.
@@ -147,6 +181,7 @@ _PATTERNS = [
     ("secret", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"), KNOWN_SECRETS),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), None),
     ("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"), None),
+    ("ip6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d)"), (":",)),
     ("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)"), None),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"), None),
     ("phone", re.compile(r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,5}(?!\w)"), None),
@@ -161,6 +196,14 @@ def canonical(kind: str, found: str) -> str | None:
     if kind == "ip":
         parts = found.split(".")
         return found if all(int(p) < 256 and str(int(p)) == p for p in parts) else None
+    if kind == "ip6":
+        try:
+            ip = ipaddress.IPv6Address(found)
+        except ValueError:
+            return None
+        # Without a figure, two colons can be a name in a program.
+        plain = ip.is_loopback or ip.is_unspecified or (found.count(":") < 3 and not _DIGIT.search(found))
+        return None if plain else str(ip)
     if kind in ("card", "phone", "ssn"):
         digits = re.sub(r"\D", "", found)
         if kind == "phone":
@@ -172,6 +215,45 @@ def canonical(kind: str, found: str) -> str | None:
     return found
 
 
+def folded(name: str) -> str:
+    return "".join(low if len(low := c.lower()) == 1 else c for c in name)
+
+
+def name_parts(found: str, start: int, gender: str) -> Iterator[Entity]:
+    """The parts of one person's names, which stand at start: the last is the family's, the others, or a listed one, are given."""
+    names = list(_NAME.finditer(found))
+    for i, m in enumerate(names):
+        at = m.start()
+        for part in m[0].split("-"):
+            name = folded(part)
+            last = i == len(names) - 1 and not (len(names) == 1 and name in LISTED)
+            if len(name) > 1:
+                yield Entity("family" if last else f"given-{gender}", name, start + at, start + at + len(part))
+            at += len(part) + 1
+
+
+def names_in(text: str) -> list[Entity]:
+    """Names after a title, or that begin with a listed given name, and all other mentions of theirs."""
+    found: list[Entity] = []
+    for m in _FIRST.finditer(text):
+        if m[0] in GENDER:
+            if told := _TITLED.match(text, m.start()):
+                found += name_parts(told[1], told.start(1), GENDER[m[0]])
+        elif (low := m[0].lower()) in LISTED and (told := _LISTED.match(text, m.start())):
+            found += name_parts(told[1], told.start(1), LISTED[low][0][1])
+    if found:
+        learnt = {e.name: e.kind for e in reversed(found)}
+        for m in _NAME.finditer(text):
+            at = m.start()
+            for part in m[0].split("-"):
+                name = folded(part)
+                name = name if name in learnt else name[:-1] if name[-1:] == "s" else name
+                if name in learnt:
+                    found.append(Entity(learnt[name], name, at, at + len(name)))
+                at += len(part) + 1
+    return found
+
+
 def entities(text: str | None) -> list[Entity]:
     """All entities, by place; where kinds overlap, the kind that is listed first."""
     text = text or ""
@@ -185,12 +267,7 @@ def entities(text: str | None) -> list[Entity]:
             name = canonical(kind, m[group])
             if name is not None:
                 found.append(Entity(kind, name, m.start(group), m.end(group)))
-    for m in _TITLE.finditer(text) if any(t in text for t in GENDER) else ():
-        words = m[2].split(" ")
-        gender = GENDER[m[1]]
-        if len(words) == 2:
-            found.append(Entity(f"given-{gender}", words[0], m.start(2), m.start(2) + len(words[0])))
-        found.append(Entity("family", words[-1], m.end(2) - len(words[-1]), m.end(2)))
+    found += names_in(text)
     order = {k: i for i, (k, _, _) in reversed(list(enumerate(_PATTERNS)))}
     # Entities that are taken do not overlap, so only the two beside a place can.
     taken: list[Entity] = []
@@ -205,11 +282,6 @@ def entities(text: str | None) -> list[Entity]:
 
 def surrogate(kind: str, name: str, key: bytes) -> str:
     """The canonical surrogate of a canonical entity."""
-    found = _surrogate(kind, name, key)
-    return found if found != name else _surrogate(kind, name, hashlib.blake2b(key + b"second").digest())
-
-
-def _surrogate(kind: str, name: str, key: bytes) -> str:
     if kind == "email":
         local, _, domain = name.partition("@")
         labels, _, top = domain.rpartition(".")
@@ -226,6 +298,9 @@ def _surrogate(kind: str, name: str, key: bytes) -> str:
             found = ".".join(map(str, x.to_bytes(4)))
             if private(found) == own:
                 return found
+    if kind == "ip6":
+        x = int(ipaddress.IPv6Address(name))
+        return str(ipaddress.IPv6Address(x >> 112 << 112 | moved(x & ((1 << 112) - 1), 1 << 112, key, f"ip6|{x >> 112}")))
     if kind == "card":
         valid = luhn(name) == 0
         if valid:
@@ -243,11 +318,11 @@ def _surrogate(kind: str, name: str, key: bytes) -> str:
         rest = respelt(name[4:], key, "iban" + name[:2])
         return name[:2] + iban_check(name[:2], rest) + rest
     if kind.startswith("given-"):
-        for (script, gender), names in GIVEN.items():
-            if name in names:
-                return names[moved(names.index(name), len(names), key, script + gender)]
-        lists = {n for names in GIVEN.values() for n in names}
-        return respelt(name[:-1], key, "given" + name[-1], fits=lambda s: s + name[-1] not in lists) + name[-1]
+        if name in LISTED:
+            (script, gender), i = LISTED[name]
+            names = GIVEN[script, gender]
+            return names[moved(i, len(names), key, script + gender)].lower()
+        return respelt(name[:-1], key, "given" + name[-1], fits=lambda s: s + name[-1] not in LISTED) + name[-1]
     return respelt(name, key, "family")
 
 
@@ -259,8 +334,12 @@ def written(e: Entity, layout: str, new: str) -> str:
     if e.kind == "iban":
         left = iter(new)
         return "".join(next(left) if c != " " else c for c in layout)
-    if e.kind == "email" and layout.isupper():
+    if e.kind in ("email", "ip6") and layout.isupper():
         return new.upper()
+    if e.kind == "family" or e.kind.startswith("given-"):
+        if e.name in LISTED and e.kind != "family":
+            return new.upper() if layout.isupper() else new[:1].upper() + new[1:]
+        return "".join(up if old.isupper() and len(up := c.upper()) == 1 else c for c, old in zip(new, layout))
     return new
 
 
@@ -292,19 +371,21 @@ def key_of_epoch(key: bytes, epoch: int) -> bytes:
 
 
 def clashes(found: DataFrame, key: bytes) -> int:
-    """How many entities share a surrogate with another of their kind or kept their own form."""
+    """How many entities share a surrogate with another of their kind or kept their own form though a letter could change."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [surrogate(k, n, key) for k, n in zip(batch.column("kind").to_pylist(), batch.column("name").to_pylist())]
-            yield pa.record_batch([batch.column("kind"), batch.column("name"), pa.array(new, pa.string())], names=["kind", "name", "new"])
+            names = batch.column("name").to_pylist()
+            new = [surrogate(k, n, key) for k, n in zip(batch.column("kind").to_pylist(), names)]
+            same = [a == b and any(map(letter_class, a)) for a, b in zip(names, new)]
+            yield pa.record_batch([batch.column("kind"), pa.array(new, pa.string()), pa.array(same, pa.bool_())], names=["kind", "new", "same"])
 
-    made = found.mapInArrow(make, "kind string, name string, new string")
-    groups = made.groupBy("kind", "new").agg(F.count("*").alias("n"), F.sum((F.col("name") == F.col("new")).cast("long")).alias("same"))
+    made = found.mapInArrow(make, "kind string, new string, same boolean")
+    groups = made.groupBy("kind", "new").agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("same"))
     return groups.agg(F.sum(F.col("n") - 1 + F.col("same"))).first()[0] or 0
 
 
-def safe_key(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> bytes:
+def safe_key(docs: DataFrame, key: bytes, text_col: str = "text") -> bytes:
     """The first epoch's key under which no two entities of docs clash."""
     found = stored(distinct_entities(docs, text_col), "entities")
     for epoch in range(EPOCHS):

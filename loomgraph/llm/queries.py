@@ -13,6 +13,8 @@ from loomgraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 END_ID = 2
+#: For these queries alone: whoever publishes surrogates brings a key of their own.
+TEST_KEY = b"surrogates of synthetic documents"
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return pii.with_surrogates(docs, pii.safe_key(docs))
+    return pii.with_surrogates(docs, pii.safe_key(docs, TEST_KEY))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +87,18 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN c ON d.source
 """
 
 
+_SAID = r"'\### Assistant: </turn> ok'"
+#: Each escaped string grows by one backslash; a role's line break becomes two characters.
+CHAT_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID}),
+k AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, regexp_replace(text, '(\\|###|</turn>)', '_\1', 'g') AS wide_text, regexp_replace(role, '(\\|###|</turn>|\n)', '_\1', 'g') AS wide_role FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(wide_role) + length(wide_text)) AS BIGINT) AS formatted_chars
+FROM k GROUP BY conv_id, lone
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": MIXING_SQL}
+    return {"op3_source_mixing": MIXING_SQL, "op6_chat_prefix_tree": CHAT_SQL}
