@@ -117,39 +117,52 @@ def all_rows(df: DataFrame, rows: list[dict]) -> Column:
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
-_CLAUSE = re.compile(r"^(>=|<=|>|<|==|!=|~|!|-)?\s*(.*?)\s*$", re.S)
+_CLAUSE = re.compile(r"^(>=|<=|>|<|==|!=|~)?\s*(.*?)\s*$", re.S)
+
+
+def unquoted(value: str) -> str:
+    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
 
 
 def cell_filter(df: DataFrame, column: str, typed: str) -> Column:
-    """AND of the comma-separated clauses typed: ``>10 <=5 ==x !=x ~pattern !without -without text number``."""
+    """AND of the comma-separated clauses typed: ``>10 <=5 ==x !=x ~pattern text number``, each after ``!`` or ``-`` for its contrary.
+
+    A minus before a number of a numeric column is its sign. Values may stand in quotes; a clause without a value says nothing.
+    """
     c, numeric = F.col(column), is_number(df, column)
     text = F.lower(F.coalesce(c.cast("string"), F.lit("")))
     terms = []
-    for clause in typed.split(","):
-        sign, value = _CLAUSE.match(clause.strip()).groups()
+    for typed_clause in typed.split(","):
+        clause, negate = typed_clause.strip(), False
+        signed = numeric and clause.startswith("-") and re.fullmatch(r"-\s*(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", clause)
+        if len(clause) > 1 and clause[0] in "!-" and not clause.startswith("!=") and not signed:
+            negate, clause = True, clause[1:].strip()
+        sign, value = _CLAUSE.match(clause).groups()
+        value = unquoted(value)
         if not value:
             continue
         try:
-            as_number = float(value)
+            as_number = float(value.replace(" ", "")) if signed else float(value)
         except ValueError:
             as_number = None
         if sign in (">", ">=", "<", "<="):
-            if as_number is not None and numeric:
-                terms.append(ordered(c.cast("double"), {">": "gt", ">=": "ge", "<": "lt", "<=": "le"}[sign], F.lit(as_number)))
+            if as_number is None or not numeric:
+                continue
+            held = ordered(c.cast("double"), {">": "gt", ">=": "ge", "<": "lt", "<=": "le"}[sign], F.lit(as_number))
         elif sign == "~":
             try:
                 re.compile(value)
             except re.error:
                 continue
-            terms.append(F.coalesce(c.cast("string"), F.lit("")).rlike("(?i)" + value))
+            held = F.coalesce(c.cast("string"), F.lit("")).rlike("(?i)" + value)
         elif sign in ("==", "!="):
             same = (c.cast("double") == as_number) if numeric and as_number is not None else text == value.lower()
             same = F.coalesce(same, F.lit(False))
-            terms.append(same if sign == "==" else ~same)
-        elif sign in ("!", "-") and not (sign == "-" and numeric and as_number is not None):
-            terms.append(~F.contains(text, F.lit(value.lower())))
+            held = same if sign == "==" else ~same
         elif numeric and as_number is not None:
-            terms.append(F.coalesce(c.cast("double") == (-as_number if sign == "-" else as_number), F.lit(False)))
+            held = c.cast("double") == as_number
         else:
-            terms.append(F.contains(text, F.lit(value.lower())))
+            held = F.contains(text, F.lit(value.lower()))
+        held = F.coalesce(held, F.lit(False))
+        terms.append(~held if negate else held)
     return reduce(lambda a, b: a & b, terms, F.lit(True))

@@ -73,3 +73,21 @@ class Dataset:
         ends = F.array(F.struct(F.col("pre").alias("id"), F.col("weight").alias("pre"), F.lit(0).cast("long").alias("post")), F.struct(F.col("post").alias("id"), F.lit(0).cast("long").alias("pre"), F.col("weight").alias("post")))
         long = self.edges.select("region", F.explode(ends).alias("e")).select("e.id", "region", F.col("e.pre").alias("o"), F.col("e.post").alias("i"))
         return long.groupBy("id", "region").agg(F.sum("o").alias("pre"), F.sum("i").alias("post"))
+
+    def synapses_of(self, ids: DataFrame, polarity: str | None = None, region: str | None = None, least: float = 0.0, confidence: str = "confidence") -> DataFrame:
+        """The synapses of neurons (id) as points: neuron, partner, polarity and the synapse's other columns, a row a neuron's end.
+
+        polarity pre keeps outputs, post inputs. A synapse between two of ids is one point of each.
+        """
+        held = self.synapses
+        if region is not None:
+            held = held.where(F.col("region") == region)
+        if least > 0:
+            held = held.where(F.col(confidence) >= least)
+        sides = []
+        for name, own, other in (("pre", "pre", "post"), ("post", "post", "pre")):
+            if polarity in (None, name):
+                one = held.join(ids.select(F.col("id").alias(own)).distinct(), own, "left_semi")
+                rest = [c for c in self.synapses.columns if c not in ("pre", "post")]
+                sides.append(one.select(F.col(own).alias("neuron"), F.col(other).alias("partner"), F.lit(name).alias("polarity"), *rest))
+        return sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])

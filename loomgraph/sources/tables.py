@@ -7,33 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.columns import free_name
+from loomgraph.operators.aggregates import MOST_COLUMNS
 
 #: Integers beyond this lose digits in a double, and stay text.
 EXACT = 1 << 53
 
 
 def unique_header(names: list[str]) -> list[str]:
-    """Header cells as distinct column names; empty ones become column_<n>."""
+    """Header cells as distinct column names; empty ones become col_<n>."""
     taken: list[str] = []
     for i, name in enumerate(names):
-        taken.append(free_name((name or "").strip() or f"column_{i + 1}", taken))
+        taken.append(free_name((name or "").strip() or f"col_{i + 1}", taken))
     return taken
 
 
 def inferred(df: DataFrame) -> DataFrame:
-    """Text columns as boolean, bigint or double where all their non-blank cells are; blank cells become null.
+    """Text columns as boolean, bigint or double where all their non-empty cells are; empty cells become null.
 
-    One aggregation tests every column. 0 and 1 are integers; numbers with leading zeros, and integers that a double cannot
+    One aggregation tests every column. Text stays as it is written; a cell of blanks is text, and makes its column so. 0 and 1 are integers; numbers with leading zeros, and integers that a double cannot
     hold, are identifiers and stay text.
     """
     columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
     def cell(c: str) -> Column:
-        trimmed = F.trim(F.col(f"`{c}`"))
-        return F.when(trimmed != "", trimmed)
+        return F.when(F.col(f"`{c}`") != "", F.trim(F.col(f"`{c}`")))
 
     def all_match(c: str, held: Column) -> Column:
-        return F.coalesce(F.bool_and(F.when(cell(c).isNotNull(), held)), F.lit(False))
+        return F.coalesce(F.bool_and(F.when(cell(c).isNotNull(), F.coalesce(held, F.lit(False)))), F.lit(False))
 
     tests = []
     for c in columns:
@@ -45,7 +45,8 @@ def inferred(df: DataFrame) -> DataFrame:
         return df
     found = df.agg(*tests).first()
     kinds = {c: "boolean" if t["bool"] else "bigint" if t["int"] else "double" if t["num"] else "string" for c, t in zip(columns, found)}
-    return df.select(*[cell(c).cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns])
+    raw = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))
+    return df.select(*[F.col(f"`{c}`") if c not in kinds else (raw(c) if kinds[c] == "string" else cell(c).cast(kinds[c])).alias(c) for c in df.columns])
 
 
 def delimiter_of(spark: SparkSession, path: str) -> str:
@@ -56,9 +57,18 @@ def delimiter_of(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, id_column: str | None = None) -> DataFrame:
-    """A CSV or TSV file with inferred types; id_column becomes neuronId and stays text."""
-    raw = spark.read.option("sep", delimiter or delimiter_of(spark, path)).option("header", header).option("inferSchema", False).option("multiLine", False).option("escape", '"').csv(path)
-    raw = raw.toDF(*unique_header(raw.columns))
+    """A CSV or TSV file with inferred types; id_column becomes neuronId and stays text.
+
+    Quoted cells may hold delimiters and line breaks. Only files with line breaks in cells, which a line with an odd number of quotes
+    tells, are read as a whole by a task each; others are split.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    torn = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    options = {"sep": delimiter or delimiter_of(spark, path), "inferSchema": False, "multiLine": torn, "escape": '"'}
+    # Spark makes names distinct in its own way, so the first row is read as it stands.
+    names = spark.read.options(**options, header=False).csv(path).first() if header else None
+    raw = spark.read.options(**options, header=header).csv(path)
+    raw = raw.toDF(*unique_header(list(names) if names else [""] * len(raw.columns)))
     if id_column is None:
         return inferred(raw)
     ids = raw.withColumn(id_column, F.concat(F.lit("\x00"), F.col(id_column)))
@@ -68,11 +78,32 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
 
 def link(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """A lazy handle on a columnar table: filters and columns that later steps ask for reach the scan."""
-    if kind == "feather":
-        import pyarrow.feather
+    return feather(spark, path) if kind == "feather" else spark.read.format(kind).load(path)
+
+
+def feather(spark: SparkSession, path: str) -> DataFrame:
+    """A Feather (Arrow IPC) file, its record batches dealt over tasks; the driver reads the footer alone.
+
+    path is one that every executor can open, or a URI of a file system that Arrow knows.
+    """
+    import pyarrow as pa
+    from pyarrow import fs
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-        return spark.createDataFrame(pyarrow.feather.read_table(path))
-    return spark.read.format(kind).load(path)
+    def opened() -> pa.ipc.RecordBatchFileReader:
+        system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        return pa.ipc.open_file(system.open_input_file(at))
+
+    footer = opened()
+
+    def read(batches):
+        source = opened()
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                yield source.get_batch(i)
+
+    n = footer.num_record_batches
+    return spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(read, from_arrow_schema(footer.schema))
 
 
 def read_rows(file: DataFrame, columns: list[str], ids: DataFrame | None = None, match: str | None = None, id_column: str | None = None, limit: int | None = None) -> DataFrame:
@@ -97,9 +128,16 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 def tag_table(long: DataFrame, id_column: str, tag_column: str, value_column: str, tags: list[str] | None = None) -> DataFrame:
-    """A long (id, tag, value) table with a column a tag; of several values the least; cell_type is called type."""
-    grouped = long.groupBy(id_column)
-    wide = (grouped.pivot(tag_column, tags) if tags else grouped.pivot(tag_column)).agg(F.min(value_column))
+    """A long (id, tag, value) table with a column a tag; of several values the least; cell_type is called type.
+
+    Without tags they are found first, and too many are refused.
+    """
+    if tags is None:
+        found = long.select(tag_column).where(F.col(tag_column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"over {MOST_COLUMNS} tags")
+        tags = sorted(r[0] for r in found)
+    wide = long.groupBy(id_column).pivot(tag_column, tags).agg(F.min(value_column))
     return wide.withColumnRenamed("cell_type", "type")
 
 

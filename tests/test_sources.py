@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from loomgraph.functions import lineage
 from loomgraph.operators import geometry, network, similarity
 from loomgraph.sources import tables
 from loomgraph.sources.dataset import Dataset
@@ -15,12 +16,42 @@ from loomgraph.streaming import events
 def test_delimited_text_is_inferred(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("id\tflag\tn\tx\tcode\tbig\tname\tname\t\n720575940600000001\ttrue\t1\t1.5\t007\t9007199254740993\ta\tb\t\n2\tFALSE\t0\t3\t010\t5\t\tc\t \n")
     df = tables.read_delimited(spark, str(tmp_path / "t.tsv"), id_column="id")
-    assert dict(df.dtypes) == {"neuronId": "string", "flag": "boolean", "n": "bigint", "x": "double", "code": "string", "big": "string", "name": "string", "name_2": "string", "column_9": "string"} or df.columns[0] == "neuronId"
+    assert dict(df.dtypes) == {"neuronId": "string", "flag": "boolean", "n": "bigint", "x": "double", "code": "string", "big": "string", "name": "string", "name_2": "string", "col_9": "string"}
     rows = {r.neuronId: r for r in df.collect()}
-    assert rows["2"].x == 3.0 and rows["2"].code == "010" and rows["2"].name is None if "name" in df.columns else True
+    assert rows["2"].x == 3.0 and rows["2"].code == "010" and rows["2"].name is None and rows["2"].name_2 == "c"
+    # Text stays as it is written, and a cell of blanks is text.
+    assert rows["2"].col_9 == " " and rows["720575940600000001"].col_9 is None
     assert dict(df.dtypes)["n"] == "bigint" and dict(df.dtypes)["flag"] == "boolean" and dict(df.dtypes)["big"] == "string"
 
 
+def test_quoted_cells_keep_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,note,n\n1,"a, ""b""\nsecond line",5\n2,plain, 7\n')
+    got = tables.read_delimited(spark, str(tmp_path / "q.csv")).orderBy("id").collect()
+    assert [(r.id, r.note, r.n) for r in got] == [(1, 'a, "b"\nsecond line', 5), (2, "plain", 7)]
+
+
+def test_feather_is_read_by_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    table = pa.table({"id": list(range(1000)), "t": [f"x{i}" for i in range(1000)]})
+    with pa.ipc.new_file(str(tmp_path / "f.feather"), table.schema) as out:
+        out.write_table(table, max_chunksize=100)
+    df = tables.link(spark, str(tmp_path / "f.feather"), "feather")
+    assert df.count() == 1000 and df.rdd.getNumPartitions() == 10 and df.where("id = 7").first().t == "x7"
+
+
+def test_states_need_a_shared_folder(spark):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://far:7077", staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Elsewhere)
+
+
 def test_tables_and_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "x"), (2, "b", "y")], "id long, t string, u string")
     info = {r.name: (r.type, r.example) for r in tables.table_info(df).collect()}
@@ -53,6 +84,8 @@ def test_dataset(spark):
     assert [r.id for r in data.find([]).orderBy("id").collect()] == [1, 3]
     ids = spark.createDataFrame([(2,)], "id long")
     assert data.connections(ids, "inputs").count() == 2 and data.between(ids, None).count() == 1
+    points = {(r.neuron, r.partner, r.polarity, r.x) for r in data.synapses_of(spark.createDataFrame([(2,)], "id long")).collect()}
+    assert points == {(2, 1, "post", 0.0), (2, 3, "pre", 1.0)} and data.synapses_of(spark.createDataFrame([(2,)], "id long"), "pre").count() == 1
     assert data.query("SELECT count(*) AS n FROM toy_edges").first().n == 3
     assert {r.id: r.total for r in data.totals().collect()} == {2: 4, 3: 5}
 
