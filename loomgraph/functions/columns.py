@@ -38,14 +38,5 @@ def widened(types: list[T.DataType]) -> T.DataType:
     return T.StringType()
 
 
-def quartiles(c: Column) -> Column:
-    """[q1, median, q3] by linear interpolation between closest ranks."""
-    return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-
-
 def is_text_type(kind: T.DataType) -> bool:
     return isinstance(kind, T.StringType)

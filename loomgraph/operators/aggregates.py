@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import blank_as_null, is_text_type, natural_key, quartiles
+from loomgraph.functions.columns import blank_as_null, is_text_type
+from loomgraph.functions.lineage import checkpointed, percentiles
 
 AGGREGATES = ("sum", "mean", "min", "max", "count", "countDistinct", "join")
 SEPARATOR = "; "
@@ -112,27 +111,35 @@ def normalize(matrix: DataFrame, mode: str) -> DataFrame:
 def describe(df: DataFrame, id_column: str | None = None) -> DataFrame:
     """A row a column: dtype, non_nulls, nulls, non_zero, unique and, for numbers other than the id, min, quartiles, max and mean.
 
-    All columns are summed up in one pass: the aggregates' results become rows afterwards. Blank text counts as missing.
+    Sums take one pass. Each column's values are counted by value, combined before they are moved; unique and
+    the quartiles come from these counts. Blank text counts as missing.
     """
-    aggs, shape = [], []
+    aggs, values = [], []
     for f in df.schema:
         text = is_text_type(f.dataType)
-        cell = blank_as_null(F.col(f.name)) if text else F.col(f.name)
-        measured = not text and f.dataType.simpleString() in ("int", "bigint", "double", "float", "smallint", "tinyint") and f.name != id_column
-        number = F.col(f.name).cast("double")
-        q = quartiles(number)
+        cell = blank_as_null(F.col(f"`{f.name}`")) if text else F.col(f"`{f.name}`")
+        measured = f.dataType.simpleString() in ("int", "bigint", "double", "float", "smallint", "tinyint") and f.name != id_column
+        number = cell.cast("double")
         null = F.lit(None).cast("double")
-        stats = [F.min(number), q[0], q[1], q[2], F.max(number), F.avg(number)] if measured else [null] * 6
+        stats = [F.min(number), F.max(number), F.avg(number)] if measured else [null] * 3
         zero = F.count(F.when(number != 0, 1)) if measured else F.lit(None).cast("long")
         aggs.append(
             F.struct(
                 F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.count(cell).alias("non_nulls"), (F.count("*") - F.count(cell)).alias("nulls"),
-                zero.alias("non_zero"), F.count_distinct(cell).alias("unique"), *[s.alias(n) for s, n in zip(stats, ("min", "q1", "median", "q3", "max", "mean"))],
-            ).alias(f.name)
+                zero.alias("non_zero"), *[s.alias(n) for s, n in zip(stats, ("min", "max", "mean"))],
+            ).alias(f"c{len(aggs)}")
         )
-        shape.append(f.name)
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(f"`{c}`") for c in shape])).alias("r")).select("r.*")
+        key = cell.cast("string") if not measured else F.lit(None).cast("string")
+        values.append(F.struct(F.lit(f.name).alias("column"), key.alias("key"), (number if measured else null).alias("number")))
+    one = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(aggs))])).alias("r")).select("r.*")
+    long = df.select(F.explode(F.array(*values)).alias("r")).select("r.*").where("key is not null or number is not null")
+    counts = checkpointed(long.groupBy("column", "key", "number").agg(F.count("*").alias("n")))
+    unique = counts.groupBy("column").agg(F.count("*").alias("unique"))
+    # Repeated values stand once in counts, so each is weighted by its count.
+    quarters = percentiles(counts.where("number is not null"), "number", [0.25, 0.5, 0.75], ["column"], weight="n").drop("n")
+    out = one.join(unique, "column", "left").join(quarters, "column", "left")
+    q = [F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))]
+    return out.select("column", "dtype", "non_nulls", "nulls", "non_zero", F.coalesce("unique", F.lit(0)).alias("unique"), "min", *q, "max", "mean")
 
 
 def adjacency(edges: DataFrame, sources: DataFrame, targets: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -172,11 +179,3 @@ def summary_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(attribute, label, n): how many rows have each label of each of columns, in one pass."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias("label")) for c in columns])).alias("r"))
     return long.groupBy("r.attribute", "r.label").agg(F.count("*").alias("n"))
-
-
-def stacked(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def label_order(df: DataFrame, column: str) -> DataFrame:
-    return df.orderBy(natural_key(F.col(column)), column)

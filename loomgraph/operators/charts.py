@@ -8,26 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import quartiles
-from loomgraph.functions.lineage import running
+from loomgraph.functions.lineage import percentiles, running, same_keys
+
+
+def drawn(columns: tuple[str, ...] | list[str], seed: int) -> Column:
+    """A seeded draw for a row, which any engine with MD5 can repeat."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed))))
+
 
 OTHER, NONE = "Other", "(none)"
-MOST_BINS = 200
+#: Bins at the most, drawn automatically and asked for.
+MOST_AUTO, MOST_BINS = 80, 500
 
 
 def bin_width(df: DataFrame, value: str, bins: int | None = None) -> tuple[float, float, int]:
     """(least value, width, number of bins): fixed, or by Freedman and Diaconis, or by Sturges where the quartiles meet."""
     c = F.col(value).cast("double")
     held = df.where(c.isNotNull() & ~F.isnan(c))
-    row = held.agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), quartiles(c).alias("q")).first()
+    row = held.agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
     if not row.n:
         return 0.0, 1.0, 0
     if row.hi == row.lo:
         return row.lo, 1.0, 1
     if bins is None:
-        spread = row.q[2] - row.q[0]
+        low, high = percentiles(held, value, [0.25, 0.75]).first().q
+        spread = high - low
         step = 2 * spread / row.n ** (1 / 3)
         bins = math.ceil((row.hi - row.lo) / step) if step > 0 else math.ceil(math.log2(row.n)) + 1
+        bins = min(bins, MOST_AUTO)
     bins = max(1, min(MOST_BINS, bins))
     return row.lo, (row.hi - row.lo) / bins, bins
 
@@ -57,7 +65,7 @@ def box_summary(df: DataFrame, value: str, group: str | None = None, whiskers: s
     """A row a group: n, mean, quartiles, whiskers (tukey: the furthest values within 1.5 interquartile ranges) and outliers."""
     by = [F.coalesce(F.col(group).cast("string"), F.lit(NONE)).alias("group")] if group else [F.lit("all").alias("group")]
     held = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    q = held.groupBy("group").agg(F.percentile("v", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q"))
+    q = percentiles(held, "v", [0.05, 0.25, 0.5, 0.75, 0.95], ["group"])
     fences = q.select("group", F.col("q")[1].alias("q1"), F.col("q")[2].alias("median"), F.col("q")[3].alias("q3"), F.col("q")[0].alias("p5"), F.col("q")[4].alias("p95"))
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     edges = {"tukey": (F.col("q1") - spread, F.col("q3") + spread), "p5p95": (F.col("p5"), F.col("p95")), "minmax": (F.lit(float("-inf")), F.lit(float("inf")))}[whiskers]
@@ -73,9 +81,9 @@ def density(df: DataFrame, value: str, group: str, points: int = 64) -> DataFram
     Values are counted into 16 cells a grid step first, so each group joins at most a fixed number of cells with the grid.
     """
     held = df.select(F.col(group).cast("string").alias("group"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    q = quartiles(F.col("v"))
-    stats = held.groupBy("group").agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"), q.alias("q"))
-    spread = F.least(F.col("sd"), (F.col("q")[2] - F.col("q")[0]) / 1.34)
+    stats = held.groupBy("group").agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    stats = stats.join(percentiles(held, "v", [0.25, 0.75], ["group"]).drop("n"), "group")
+    spread = F.least(F.col("sd"), (F.col("q")[1] - F.col("q")[0]) / 1.349)
     width = 0.9 * F.when(spread > 0, spread).otherwise(F.col("sd")) * F.pow("n", F.lit(-0.2))
     stats = stats.select("group", "n", "lo", "hi", width.alias("h")).where("h > 0")
     cell = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (16 * points))
@@ -87,21 +95,23 @@ def density(df: DataFrame, value: str, group: str, points: int = 64) -> DataFram
 
 
 def rank_share(df: DataFrame, value: str, ties: tuple[str, ...], by: tuple[str, ...] = (), descending: bool = True, flag: Column | None = None) -> DataFrame:
-    """rank within by, and the running share of the value, which rows with the flag do not enter. No share where a value is negative or all are 0."""
+    """rank within by, and the running share of the value, which rows with the flag do not enter. No share where a value is negative or all are 0.
+
+    Rows without a value have no rank and are left out. Groups are stretches of one order over all rows, so none is a task of its own.
+    """
     c = F.col(value)
-    first = c.desc_nulls_last() if descending else c.asc_nulls_last()
-    if not by:
-        counted = F.when(~F.coalesce(flag, F.lit(False)), c) if flag is not None else c
-        ranked = running(df, [first, *[F.col(t) for t in ties]], {"_upto": counted})
-        all_of = F.broadcast(df.agg(F.sum(counted).alias("_total"), F.min(counted).alias("_least")))  # one row
-        share = F.when((F.col("_least") >= 0) & (F.col("_total") > 0), F.col("_upto").cast("double") / F.col("_total").cast("double"))
-        return ranked.crossJoin(all_of).select(*df.columns, (F.col("row_at") + 1).alias("rank"), share.alias("share"))
-    w = W.partitionBy(*by).orderBy(first, *ties)
-    whole = W.partitionBy(*by)
+    if dict(df.dtypes)[value] in ("double", "float"):
+        df = df.where(~F.isnan(c))
+    df = df.where(c.isNotNull())
     counted = F.when(~F.coalesce(flag, F.lit(False)), c) if flag is not None else c
-    total = F.sum(counted).over(whole)
-    share = F.when((F.min(counted).over(whole) >= 0) & (total > 0), F.sum(counted).over(w.rowsBetween(W.unboundedPreceding, 0)) / total)
-    return df.withColumns({"rank": F.row_number().over(w), "share": share})
+    ranked = running(df, [*map(F.col, by), c.desc() if descending else c.asc(), *[F.col(t) for t in ties]], {"_upto": counted})
+    own = F.coalesce(counted, F.lit(0))
+    totals = ranked.groupBy(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)]).agg(
+        F.sum(counted).alias("_total"), F.min(counted).alias("_least"), F.min("row_at").alias("_first"), F.min_by(F.col("_upto") - own, "row_at").alias("_before")
+    )
+    placed = ranked.join(totals, same_keys(ranked, totals, list(by))) if by else ranked.crossJoin(F.broadcast(totals))  # one row
+    share = F.when((F.col("_least") >= 0) & (F.col("_total") > 0), (F.col("_upto") - F.col("_before")).cast("double") / F.col("_total").cast("double"))
+    return placed.select(*df.columns, (F.col("row_at") - F.col("_first") + 1).alias("rank"), share.alias("share"))
 
 
 def folded(sums: DataFrame, label: str, amount: str, most: int) -> DataFrame:
@@ -149,11 +159,10 @@ def trend(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:
 
 def decimated(df: DataFrame, x: str, y: str, series: str, buckets: int) -> DataFrame:
     """(series, bucket, x_from, y_min, y_max): each line thinned to the extremes of equal stretches of x."""
-    w = W.partitionBy(series)
-    c = F.col(x).cast("double")
-    lo, hi = F.min(c).over(w), F.max(c).over(w)
-    at = F.least(F.floor(F.try_divide((c - lo) * buckets, hi - lo)), F.lit(buckets - 1)).cast("int")
-    held = df.select(series, c.alias("_x"), F.col(y).alias("_y"), F.coalesce(at, F.lit(0)).alias("bucket"))
+    held = df.select(series, F.col(x).cast("double").alias("_x"), F.col(y).alias("_y"))
+    ends = held.groupBy(F.col(series).alias("_series")).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))  # a row a series
+    at = F.least(F.floor(F.try_divide((F.col("_x") - F.col("_lo")) * buckets, F.col("_hi") - F.col("_lo"))), F.lit(buckets - 1)).cast("int")
+    held = held.join(ends, F.col(series).eqNullSafe(F.col("_series"))).withColumn("bucket", F.coalesce(at, F.lit(0)))
     return held.groupBy(series, "bucket").agg(F.min("_x").alias("x_from"), F.min("_y").alias("y_min"), F.max("_y").alias("y_max"))
 
 
@@ -174,5 +183,5 @@ def laminar_profile(df: DataFrame, depth: str, width: float, series: str | None
 
 def gallery(df: DataFrame, group: str, per_group: int, seed: int, ids: tuple[str, ...]) -> DataFrame:
     """per_group rows of each group, by the least seeded hash of ids."""
-    w = W.partitionBy(group).orderBy(F.xxhash64(*ids, F.lit(seed)), *ids)
+    w = W.partitionBy(group).orderBy(drawn(ids, seed), *ids)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_group)

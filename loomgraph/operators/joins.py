@@ -134,3 +134,34 @@ def update_ids(df: DataFrame, lookup: DataFrame, column: str) -> DataFrame:
     best = votes.groupBy("old").agg(F.max_by("new", F.struct("n", -F.col("new"))).alias("_new"))
     out = df.join(best, df[column] == best["old"], "left")
     return out.withColumn(column, F.coalesce("_new", column)).select(df.columns)
+
+
+#: What a synapse between two compartments is called, and the column that counts it.
+CONNECTIONS = {
+    "axo-axonic": "weightAxonAxon", "axo-dendritic": "weightAxonDendrite", "dendro-axonic": "weightDendriteAxon", "dendro-dendritic": "weightDendriteDendrite",
+    "linker": "weightLinker", "unsplit": "weightUnsplit",
+}
+
+
+def connection_compartments(edges: DataFrame, synapses: DataFrame, pre: str = "preId", post: str = "postId", layout: str = "wide") -> DataFrame:
+    """edges with the synapses of each pair counted by the compartment (axon, dendrite, linker or none) at either end.
+
+    synapses: (pre, post, pre_compartment, post_compartment). An end without a compartment makes a synapse unsplit, before a linker end makes it
+    one of a linker, so the classes add up to all. wide adds a column a class and synapses, their sum; long has six rows an edge,
+    with weight replaced and connection naming the class. Edges that repeat are each counted.
+    """
+    a, b = F.col("pre_compartment"), F.col("post_compartment")
+    names = {("axon", "axon"): "axo-axonic", ("axon", "dendrite"): "axo-dendritic", ("dendrite", "axon"): "dendro-axonic", ("dendrite", "dendrite"): "dendro-dendritic"}
+    known = a.isin("axon", "dendrite", "linker") & b.isin("axon", "dendrite", "linker")
+    kind = F.when(~F.coalesce(known, F.lit(False)), F.lit("unsplit")).when((a == "linker") | (b == "linker"), F.lit("linker"))
+    for (x, y), name in names.items():
+        kind = kind.when((a == x) & (b == y), F.lit(name))
+    classed = synapses.join(edges.select(F.col(pre).alias("pre"), F.col(post).alias("post")).distinct(), ["pre", "post"], "left_semi").withColumn("_kind", kind)
+    counts = classed.groupBy(F.col("pre").alias("_pre"), F.col("post").alias("_post")).agg(*[F.count(F.when(F.col("_kind") == k, 1)).alias(c) for k, c in CONNECTIONS.items()])
+    out = edges.join(counts, (F.col(pre) == F.col("_pre")) & (F.col(post) == F.col("_post")), "left").drop("_pre", "_post")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in CONNECTIONS.values()})
+    if layout == "wide":
+        return out.withColumn("synapses", reduce(lambda p, q: p + q, [F.col(c) for c in CONNECTIONS.values()]))
+    each = F.explode(F.array(*[F.struct(F.col(c).alias("weight"), F.lit(k).alias("connection")) for k, c in CONNECTIONS.items()]))
+    kept = [c for c in edges.columns if c not in ("weight", "connection")]
+    return out.select(*kept, each.alias("_each")).select(*kept, "_each.weight", "_each.connection")

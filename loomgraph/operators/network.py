@@ -1,19 +1,20 @@
 """Networks: an edge table (source, target, weight) and what is computed on it by joins.
 
-Iterative operators are driver loops over lazy joins. Each round's frontier or state is written with checkpoint(), which cuts
-the plan and survives lost executors; only counts and norms reach the driver. Joins on hubs are plain equi-joins, which
+Iterative operators are driver loops over lazy joins. Each round's frontier or state is written to the shared folder, which cuts
+the plan and survives lost executors; only counts and norms reach the driver. Loops end at their fixpoint. Joins on hubs are plain equi-joins, which
 adaptive execution splits where they are skewed, and sums are combined before they are shuffled.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.lineage import checkpointed
+from loomgraph.functions.lineage import checkpointed, percentiles, running
 
 
 def build(edges: DataFrame, source: str, target: str, weight: str | None = None, aggregate: bool = True, min_weight: float | None = None, directed: bool = True) -> DataFrame:
@@ -96,42 +97,69 @@ def components(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
     root = pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
     rooted = ids.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("size"))
-    # Components are numbered by size: all of one size share a window, and sizes before it are summed.
-    by_size = sizes.groupBy("size").agg(F.count("*").alias("n"))
-    first = F.coalesce(F.sum("n").over(W.orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    start = by_size.select("size", first.alias("start"))
-    numbered = sizes.withColumn("at", F.row_number().over(W.partitionBy("size").orderBy("root"))).join(start, "size")
-    return rooted.join(numbered.select("root", "size", (F.col("start") + F.col("at")).alias("component")), "root").select("id", "component", "size")
+    # Most components of a sparse graph have one size, so they are numbered over ranges and not by size.
+    numbered = running(sizes, [F.col("size").desc(), F.col("root")], name="_at")
+    return rooted.join(numbered.select("root", "size", (F.col("_at") + 1).alias("component")), "root").select("id", "component", "size")
 
 
-def coreness(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, coreness): each node's value falls to the greatest h such that h neighbours have at least h, until none falls."""
+#: Rounds of one written state: chains take as many rounds as half their length.
+UNROLLED = 4
+
+
+def coreness(edges: DataFrame) -> DataFrame:
+    """(id, coreness): each node's value falls to the greatest h such that h neighbours have at least h, until none falls.
+
+    Neighbours are counted by value before they are moved, so a hub sends few rows to the task that ranks them.
+    """
     pairs = simple(edges)
     both = checkpointed(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     value = checkpointed(both.groupBy("a").agg(F.count("*").alias("k")))
-    for _ in range(rounds):
-        seen = both.join(value.toDF("b", "kb"), "b")
-        place = F.row_number().over(W.partitionBy("a").orderBy(F.col("kb").desc()))
-        h = seen.withColumn("h", F.least(place, F.col("kb"))).groupBy("a").agg(F.max("h").alias("h"))
-        after = checkpointed(value.join(h, "a").select("a", F.least("k", "h").alias("k"), (F.col("h") < F.col("k")).alias("fell")))
+    down = W.partitionBy("a").orderBy(F.col("kb").desc()).rowsBetween(W.unboundedPreceding, 0)
+    while True:
+        after = value.select("a", "k", F.col("k").alias("was"))
+        for _ in range(UNROLLED):
+            counts = both.join(after.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").groupBy("a", "kb").agg(F.count("*").alias("n"))
+            h = counts.select("a", F.least(F.sum("n").over(down), F.col("kb")).alias("h")).groupBy("a").agg(F.max("h").alias("h"))
+            after = after.join(h, "a").select("a", F.least("k", "h").alias("k"), "was")
+        after = checkpointed(after)
         value = after.select("a", "k")
-        if after.where("fell").isEmpty():
-            break
-    return value.toDF("id", "coreness")
+        if after.where("k < was").isEmpty():
+            return value.toDF("id", "coreness")
+
 
+def summary(edges: DataFrame, members: DataFrame | None = None, directed: bool = True) -> DataFrame:
+    """One row of twenty columns about a network whose nodes are the ends of edges, or members (id) where isolated ones count.
 
-def summary(edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density over ordered pairs, reciprocity, transitivity, mean clustering, total and greatest weight."""
-    n = nodes(edges).agg(F.count("*").alias("nodes"))
-    arcs = edges.where("source <> target").select("source", "target").distinct()
+    Density and reciprocity count distinct ordered pairs without loops (unordered ones if undirected, and then no reciprocity). Clustering,
+    transitivity and assortativity are those of the undirected simple graph. What has nothing to divide by is null.
+    """
+    edges = checkpointed(edges.select("source", "target", F.col("weight").cast("double").alias("weight")))
+    ids = checkpointed(members.select("id").distinct() if members is not None else nodes(edges))
+    n = F.col("nodes")
+    arcs = checkpointed(edges.where("source <> target").select("source", "target").distinct())
     back = arcs.join(arcs.select(F.col("target").alias("source"), F.col("source").alias("target")), ["source", "target"], "left_semi").agg(F.count("*").alias("mutual"))
-    counts = arcs.agg(F.count("*").alias("arcs"))
-    weights = edges.agg(F.count("*").alias("edges"), F.sum("weight").alias("total_weight"), F.max("weight").alias("max_weight"))
-    t = triangles(edges).agg(F.sum("triangles").alias("corners"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("wedges"), F.avg("clustering").alias("mean_clustering"))
-    one = reduce(lambda a, b: a.crossJoin(b), [n, counts, back, weights, t])  # five frames of one row
+    loops = F.count(F.when(F.col("source") == F.col("target"), 1))
+    whole = edges.agg(F.count("*").alias("links"), loops.alias("self_loops"), F.sum("weight").alias("total_weight"), F.avg("weight").alias("mean_weight"), F.max("weight").alias("max_weight"))
+    degree = checkpointed(ids.join(degrees(edges).select("id", "degree"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")))
+    by_degree = degree.agg(F.count("*").alias("nodes"), F.count(F.when(F.col("degree") == 0, 1)).alias("isolated"), F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"))
+    found = components(edges, ids).groupBy("component").agg(F.first("size").alias("size")).agg(F.count("*").alias("components"), F.max("size").alias("largest_component"))
+    tri = checkpointed(triangles(edges))
+    t = tri.agg(F.sum("triangles").alias("corners"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("wedges"), F.avg("clustering").alias("mean_clustering"))
+    pairs = simple(edges).join(tri.select(F.col("id").alias("a"), F.col("degree").cast("double").alias("x")), "a").join(tri.select(F.col("id").alias("b"), F.col("degree").cast("double").alias("y")), "b")
+    ends = pairs.agg(F.count("*").alias("pairs"), F.avg((F.col("x") + F.col("y")) / 2).alias("mx"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg((F.col("x") * F.col("x") + F.col("y") * F.col("y")) / 2).alias("xx"))
+    frames = [by_degree, whole, arcs.agg(F.count("*").alias("arcs")), back, found, t, ends]
+    one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)  # frames of one row
+    for df, column, name in ((degree, "degree", "median_degree"), (edges, "weight", "median_weight")):
+        half = percentiles(df, column, [0.5]).select(F.col("q")[0].alias(name))
+        one = one.join(F.broadcast(half), F.lit(True), "left")  # one row at most
+    possible = n * (n - 1) if directed else n * (n - 1) / 2
+    spread = F.col("xx") - F.col("mx") * F.col("mx")
     return one.select(
-        "nodes", "edges", "total_weight", "max_weight", "mean_clustering",
-        F.try_divide("arcs", F.col("nodes") * (F.col("nodes") - 1)).alias("density"), F.try_divide("mutual", "arcs").alias("reciprocity"), F.try_divide("corners", "wedges").alias("transitivity"),
+        "nodes", "links", F.lit(directed).alias("directed"), "self_loops", F.greatest(F.lit(0), F.col("links") - F.col("self_loops") - F.col("arcs")).alias("parallel_links"), "isolated",
+        F.try_divide(F.col("arcs") if directed else F.col("pairs"), possible).alias("density"), "mean_degree", "median_degree", "max_degree",
+        (F.try_divide("mutual", "arcs") if directed else F.lit(None).cast("double")).alias("reciprocity"), "components", "largest_component", "mean_clustering",
+        F.try_divide("corners", "wedges").alias("transitivity"), F.when(spread > 1e-12, (F.col("xy") - F.col("mx") * F.col("mx")) / spread).alias("assortativity"),
+        F.coalesce("total_weight", F.lit(0.0)).alias("total_weight"), "mean_weight", "median_weight", "max_weight",
     )
 
 
@@ -260,12 +288,13 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     shares = checkpointed(arcs.join(out, "source").select("source", "target", (F.col("w") / F.col("total")).alias("p")))
     dangling = ids.join(shares.select(F.col("source").alias("id")).distinct(), "id", "left_anti").withColumn("lost", F.lit(True))
     rank = checkpointed(ids.join(dangling, "id", "left").select("id", F.coalesce("lost", F.lit(False)).alias("lost"), F.lit(1.0 / n).alias("r")))
+    gone = F.coalesce(F.sum(F.when(F.col("lost"), F.col("r"))), F.lit(0.0))
+    lost = rank.agg(gone).first()[0]
     for _ in range(rounds):
-        lost = rank.where("lost").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
         sent = rank.join(shares, rank["id"] == shares["source"]).groupBy("target").agg(F.sum(F.col("r") * F.col("p")).alias("s"))
         new = (1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + lost / n)
         after = checkpointed(rank.join(sent, rank["id"] == sent["target"], "left").select("id", "lost", new.alias("r"), F.abs(new - F.col("r")).alias("change")))
-        change = after.agg(F.sum("change")).first()[0]
+        lost, change = after.agg(gone, F.sum("change")).first()
         rank = after.select("id", "lost", "r")
         if change < tolerance * n:
             break
@@ -281,19 +310,20 @@ def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
         sent = x.join(arcs, x["id"] == arcs["source"]).groupBy("target").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
         raw = checkpointed(x.join(sent, x["id"] == sent["target"], "left").select("id", "x", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y")))
         norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-        change = raw.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0] or 0.0
-        x = raw.select("id", (F.col("y") / norm).alias("x"))
+        scaled = raw.select("id", (F.col("y") / norm).alias("x"), F.abs(F.col("y") / norm - F.col("x")).alias("change"))
+        change = scaled.agg(F.sum("change")).first()[0] or 0.0
+        x = scaled.select("id", "x")
         if change < tolerance:
             break
     return x.toDF("id", "eigenvector")
 
 
-def closeness(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """(id, reached, closeness) for each source: nodes within max_hops, and reached over the sum of distances, undirected and unweighted."""
+def closeness(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(id, reached, closeness) for each source: nodes it reaches (within max_hops), and reached over the sum of distances, undirected and unweighted."""
     both = checkpointed(both_ways(edges).where("source <> target").distinct())
     seen = checkpointed(sources.select("id").distinct().select("id", F.col("id").alias("at"), F.lit(0).alias("hop")))
     front = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         following = front.join(both, front["at"] == both["source"]).select("id", F.col("target").alias("at")).distinct()
         front = checkpointed(following.join(seen, ["id", "at"], "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
@@ -317,26 +347,36 @@ def layers(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
 
 
 def motif(edges: DataFrame, pattern: list[tuple[str, str]], absent: list[tuple[str, str]] = ()) -> DataFrame:
-    """One row a match, a column a node of pattern: all its edges exist between distinct nodes, and none of absent."""
+    """One row a match, a column a node of pattern: all its edges exist between distinct nodes, and none of absent.
+
+    The pattern must hang together: each of its edges is joined on nodes that are placed already.
+    """
     arcs = edges.select("source", "target").distinct()
-    found, names = None, []
-    for a, b in pattern:
+    found, names, todo, order = None, [], list(pattern), []
+    while todo:
+        known = {x for e in order for x in e}
+        following = next((e for e in sorted(todo, key=lambda e: -len(known & set(e))) if not order or known & set(e)), None)
+        if following is None:
+            raise ValueError(f"nothing links {todo[0]} to the rest of the pattern")
+        order.append(following)
+        todo.remove(following)
+    for a, b in order:
         side = arcs.toDF(a, b)
         if found is None:
             found, names = side.where(F.col(a) != F.col(b)), [a, b]
             continue
         shared = [x for x in (a, b) if x in names]
-        found = found.join(side, shared) if shared else found.crossJoin(side)
+        found = found.join(side, shared)
         for x in (a, b):
             if x not in names:
                 found = found.where(reduce(lambda p, q: p & q, [F.col(x) != F.col(y) for y in names]))
                 names.append(x)
     for a, b in absent:
         found = found.join(arcs.toDF(a, b), [a, b], "left_anti")
-    return found.select(*names)
+    return found.select(*dict.fromkeys(x for e in pattern for x in e))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 50) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, betweenness) from shortest paths of the given sources, undirected and unweighted, scaled up to all nodes.
 
     One row a source and reached node. Path counts go out hop by hop; what depends on a node comes back hop by hop.
@@ -347,7 +387,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 50) -> Dat
     start = ids.join(sources.select("id").distinct(), "id", "left_semi")
     rings = [checkpointed(start.select(F.col("id").alias("src"), "id", F.lit(1.0).alias("paths")))]
     seen = rings[0].select("src", "id")
-    for _ in range(max_hops):
+    while True:
         following = rings[-1].join(both, rings[-1]["id"] == both["source"]).groupBy("src", F.col("target").alias("id")).agg(F.sum("paths").alias("paths"))
         ring = checkpointed(following.join(seen, ["src", "id"], "left_anti"))
         if ring.isEmpty():
@@ -370,35 +410,63 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 50) -> Dat
     return ids.join(every, "id", "left").select("id", (F.coalesce("gain", F.lit(0.0)) * (n / k / 2)).alias("betweenness"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, seed: int = 1) -> DataFrame:
-    """(id, community): nodes move to the neighbouring community of greatest modularity gain until none gains.
+def moved_nodes(both: DataFrame, resolution: float, seed: int) -> DataFrame:
+    """(id, c) for both (source, target, w; each link both ways, loops once): nodes move to the neighbouring community of greatest modularity gain.
 
-    In each round a seeded half of the nodes may move, seeing the others where they are; ties go to the least community. A
-    community is named by one of its first members.
+    In each round a seeded half of the nodes may move, seeing the others where they are; ties go to the least community.
+    Ends when neither half gains, or when modularity has not risen for three rounds, with the best state seen.
     """
-    arcs = edges.where("source <> target").select("source", "target", F.col("weight").cast("double").alias("w"))
-    both = checkpointed(arcs.union(arcs.select("target", "source", "w")).groupBy("source", "target").agg(F.sum("w").alias("w")))
     strength = checkpointed(both.groupBy(F.col("source").alias("id")).agg(F.sum("w").alias("k")))
     total = strength.agg(F.sum("k")).first()[0] or 1.0
+    loops = both.where("source = target").agg(F.sum("w")).first()[0] or 0.0
     at = checkpointed(strength.select("id", "k", F.col("id").alias("c")))
-    still = 0
-    for r in range(rounds):
+    best, best_at, still, flat, r = float("-inf"), at, 0, 0, 0
+    change = at.limit(0).select(F.lit(False).alias("moved"))
+    while True:
         sizes = at.groupBy("c").agg(F.sum("k").alias("size"))
-        links = both.join(at.select(F.col("id").alias("target"), F.col("c").alias("to")), "target").groupBy(F.col("source").alias("id"), "to").agg(F.sum("w").alias("w"))
-        own = at.select("id", "k", "c")
-        options = links.join(own, "id").join(sizes.withColumnRenamed("c", "to"), "to")
+        links = both.where("source <> target").join(at.select(F.col("id").alias("target"), F.col("c").alias("to")), "target").groupBy(F.col("source").alias("id"), "to").agg(F.sum("w").alias("w"))
+        links = checkpointed(links)
+        inner = links.join(at.select("id", F.col("c").alias("to")), ["id", "to"], "left_semi").agg(F.sum("w").alias("inner"))
+        told = inner.crossJoin(sizes.agg(F.sum(F.col("size") * F.col("size")).alias("squares"))).crossJoin(change.agg(F.max("moved").alias("moved"))).first()  # frames of one row
+        still = 0 if told.moved or r == 0 else still + 1
+        quality = ((told.inner or 0.0) + loops) / total - resolution * (told.squares or 0.0) / total**2
+        if quality > best + 1e-9:
+            best, best_at, flat = quality, at, 0
+        else:
+            flat += 1
+        if still >= 2 or flat >= 3:
+            return best_at.select("id", "c")
+        options = links.join(at.select("id", "k", "c"), "id").join(sizes.withColumnRenamed("c", "to"), "to")
         gain = F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total
         scored = options.select("id", "to", gain.alias("gain"))
         stay = at.join(links.select("id", F.col("to").alias("c"), "w"), ["id", "c"], "left").join(sizes, "c")
         stay = stay.select("id", F.col("c").alias("to"), (F.coalesce("w", F.lit(0.0)) - resolution * F.col("k") * (F.col("size") - F.col("k")) / total + 1e-12).alias("gain"))
-        best = scored.union(stay).groupBy("id").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"))
+        chosen = scored.union(stay).groupBy("id").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"))
         turn = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r // 2)), F.lit(2)) == r % 2
-        after = checkpointed(at.join(best, "id").select("id", "k", F.when(turn, F.col("to")).otherwise(F.col("c")).alias("c"), (turn & (F.col("to") != F.col("c"))).alias("moved")))
-        still = still + 1 if after.where("moved").isEmpty() else 0
-        at = after.select("id", "k", "c")
-        if still >= 2:
+        after = checkpointed(at.join(chosen, "id").select("id", "k", F.when(turn, F.col("to")).otherwise(F.col("c")).alias("c"), (turn & (F.col("to") != F.col("c"))).alias("moved")))
+        at, change = after.select("id", "k", "c"), after.select("moved")
+        r += 1
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1) -> DataFrame:
+    """(id, community) by Louvain's levels: nodes move, communities become nodes, until nothing merges.
+
+    Numbers count from 1, largest community first, ties by least id. Weights that aren't positive count 1; loops are skipped. Ids are integers.
+    """
+    w = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
+    arcs = edges.where("source <> target").select("source", "target", w.alias("w"))
+    both = checkpointed(arcs.union(arcs.select("target", "source", "w")).groupBy("source", "target").agg(F.sum("w").alias("w")))
+    at = checkpointed(nodes(edges).select("id", F.col("id").alias("c")))
+    while True:
+        moved = checkpointed(moved_nodes(both, resolution, seed))
+        if moved.where("id <> c").isEmpty():
             break
-    return at.select("id", F.col("c").alias("community"))
+        at = checkpointed(at.join(moved.toDF("c", "into"), "c", "left").select("id", F.coalesce("into", "c").alias("c")))
+        ends = both.join(moved.toDF("source", "a"), "source").join(moved.toDF("target", "b"), "target")
+        both = checkpointed(ends.groupBy(F.col("a").alias("source"), F.col("b").alias("target")).agg(F.sum("w").alias("w")))
+    sizes = at.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    numbered = running(sizes, [F.col("n").desc(), F.col("first")], name="_at")
+    return at.join(numbered, "c").select("id", (F.col("_at") + 1).alias("community"))
 
 
 def match_types(labelled: DataFrame, datasets: int) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.columns import blank_as_null, free_name, natural_key, widened
 from loomgraph.functions.lineage import running
 from loomgraph.functions.predicates import all_rows, condition, is_text
+from loomgraph.operators.charts import drawn
 
 
 def filter_table(df: DataFrame, column: str, op: str, value: object = None) -> DataFrame:
@@ -74,7 +75,7 @@ def sample(df: DataFrame, mode: str, order: tuple[str, ...], count: int = 100, s
     if mode == "stride":
         return numbered(df, order).where(F.col("row_at") % step == 0).drop("row_at")
     if mode == "random":
-        return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *order).limit(count)
+        return df.orderBy(drawn(df.columns, seed), *order).limit(count)
     raise ValueError(f"no such mode: {mode}")
 
 
@@ -82,7 +83,9 @@ def dedupe(df: DataFrame, columns: list[str], keep: str, order: tuple[str, ...])
     """Rows that repeat in columns (all, if none): the first or last in order stays, or none of them."""
     by = columns or df.columns
     if keep == "none":
-        return df.withColumn("_n", F.count("*").over(W.partitionBy(*by))).where("_n = 1").drop("_n")
+        others = [c for c in df.columns if c not in by]
+        one = df.groupBy(*by).agg(F.count("*").alias("_n"), *([F.first(F.struct(*others)).alias("_row")] if others else []))
+        return one.where("_n = 1").select(*[F.col(c) if c in by else F.col(f"_row.{c}") for c in df.columns])
     keys = [F.col(c).desc() if keep == "last" else F.col(c).asc() for c in order]
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).where("_n = 1").drop("_n")
 
@@ -175,3 +178,10 @@ def ids_from_label(df: DataFrame, field: str, labels: list[str], match: str = "e
     if match == "exact":
         return df.where((F.lower(c) if ignore_case else c).isin([v.lower() if ignore_case else v for v in labels]))
     return df.where(c.rlike(("(?i)" if ignore_case else "") + "^(?:" + "|".join(f"(?:{v})" for v in labels) + ")$"))
+
+
+def select_one(df: DataFrame, index: int, key: str, order: tuple[str, ...]) -> DataFrame:
+    """The rows of one element: the index-th distinct key, counted from 0, by its first row in order. Past the end there are none."""
+    firsts = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_at"))
+    wanted = firsts.orderBy("_at").offset(index).limit(1)  # one row
+    return df.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_key")), "left_semi")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import free_name, natural_key
+from loomgraph.functions.lineage import percentiles
 from loomgraph.operators import aggregates, charts, joins, network, rows, similarity, traces
 
 
@@ -65,7 +66,7 @@ def test_unpivot_and_stack(spark):
     assert sorted(values(rows.unpivot(wide, ["a", "b"], ["id"], drop_empty=True), "id", "name", "value")) == [(1, "a", 40), (1, "b", 0), (2, "b", 7)]
     other = spark.createDataFrame([(0.5, "z")], "a double, c string")
     stacked = rows.stack({"one": wide, "two": other}, "src")
-    assert stacked.columns == ["id", "type", "a", "b", "src", "c"] or set(stacked.columns) == {"id", "type", "a", "b", "src", "c"}
+    assert stacked.columns == ["id", "type", "a", "b", "src", "c"]
     assert dict(stacked.dtypes)["a"] == "double" and stacked.count() == 3
     with pytest.raises(ValueError):
         rows.stack({"one": wide, "two": spark.createDataFrame([("x",)], "a string")})
@@ -150,6 +151,41 @@ def test_charts(spark):
     assert 0.8 < whole < 1.05
 
 
+def test_percentiles_are_exact_by_group(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    groups = {"a": draw.normal(size=101).tolist(), "b": [1.0, 1.0, 2.0, float("nan")], None: [5.0], "c": [None]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(6)
+    got = {r.g: r for r in percentiles(df, "v", [0.05, 0.5, 1.0], ["g"]).collect()}
+    assert set(got) == {"a", "b", None} and got[None].q == [5.0] * 3
+    for g in ("a", "b"):
+        held = [v for v in groups[g] if v == v]
+        assert got[g].n == len(held) and got[g].q == pytest.approx(np.quantile(held, [0.05, 0.5, 1.0]).tolist())
+    assert percentiles(df.where("false"), "v", [0.5]).count() == 0
+
+
+def test_groups_are_ranked_without_missing_values(spark):
+    df = spark.createDataFrame([("a", 1, 3.0), ("a", 2, 1.0), ("a", 3, None), ("b", 4, 5.0), (None, 5, 2.0), (None, 6, float("nan"))], "g string, id int, v double")
+    got = {r.id: (r.rank, r.share) for r in charts.rank_share(df, "v", ("id",), by=("g",)).collect()}
+    assert got == {1: (1, 0.75), 2: (2, 1.0), 4: (1, 1.0), 5: (1, 1.0)}
+
+
+def test_no_task_holds_a_group(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "id", "cast(id AS double) AS v")
+    for plan in (charts.decimated(df, "id", "v", "g", 5), rows.dedupe(df, ["g"], "none", ("id",))):
+        text = plan._jdf.queryExecution().toString()
+        assert "Window" not in text and "Expand" not in text and "CartesianProduct" not in text
+    for plan in (charts.rank_share(df, "v", ("id",), by=("g",)), traces.interpolated(df.selectExpr("g AS series", "cast(id AS double) AS t", "v AS value"), df.selectExpr("g AS series", "cast(id AS double) AS t"))):
+        text = plan._jdf.queryExecution().analyzed().toString()
+        assert "windowspecdefinition(g" not in text and "windowspecdefinition(series" not in text
+
+
+def test_select_one(links):
+    assert values(rows.select_one(links, 1, "id", ("id", "weight")), "id") == [(2,), (2,)]
+    assert rows.select_one(links, 9, "id", ("id",)).count() == 0
+
+
 def test_traces(spark):
     held = spark.createDataFrame([("a", 0.0, 0.0), ("a", 10.0, 10.0), ("a", 20.0, 0.0)], "series string, t double, value double")
     grid = spark.createDataFrame([("a", t) for t in (-1.0, 0.0, 5.0, 10.0, 15.0, 25.0)], "series string, t double")
@@ -192,7 +228,12 @@ def test_network(spark, square):
     close = {r.id: r.closeness for r in network.closeness(square, seed, 5).collect()}
     assert close[1] == 1.0
     vec = {r.id: r.eigenvector for r in network.eigenvector(square.where("source < 8")).collect()}
-    assert vec[1] == pytest.approx(vec[1]) and sum(v * v for v in vec.values()) == pytest.approx(1)
+    assert sum(v * v for v in vec.values()) == pytest.approx(1)
+    held = {(1, 2): 5, (2, 3): 4, (3, 4): 3, (4, 1): 2, (1, 3): 1}
+    pushed = {x: vec[x] + sum(w * vec[b if a == x else a] for (a, b), w in held.items() if x in (a, b)) for x in vec}
+    assert all(pushed[x] / vec[x] == pytest.approx(pushed[1] / vec[1], rel=1e-3) for x in vec)
+    with pytest.raises(ValueError):
+        network.motif(square, [("a", "b"), ("c", "d")])
 
 
 def test_similarity(spark, monkeypatch):
@@ -251,3 +292,40 @@ def test_domain_edges(spark):
     a, b = labels.where("id < 3"), labels
     out = joins.compare_connectivity({"a": edges, "b": edges.withColumn("pre", F.lit(2)).withColumn("post", F.lit(4))}, {"a": a, "b": b.where("label <> ''")})
     assert values(out, "pre_label", "post_label", "weight_a", "weight_b", "present_a") == [("X", "X", 0.0, 6.0, True)]
+
+
+def test_coreness_of_a_long_path_and_a_hub(spark):
+    path = [(i, i + 1, 1) for i in range(130)]
+    hub = [(1000, 1001 + i, 1) for i in range(60)] + [(1001, 1002, 1)]
+    got = {r.id: r.coreness for r in network.coreness(spark.createDataFrame(path + hub, "source long, target long, weight long")).collect()}
+    assert all(got[i] == 1 for i in range(131)) and got[1000] == got[1001] == got[1002] == 2 and got[1003] == 1
+
+
+def test_summary_of_a_network(spark, square):
+    more = square.union(spark.createDataFrame([(2, 2, 9), (1, 2, 5)], "source long, target long, weight long"))
+    members = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 8, 9, 77)], "id long")
+    one = network.summary(more, members).first()
+    assert (one.nodes, one.links, one.self_loops, one.parallel_links, one.isolated) == (7, 8, 1, 1, 1)
+    assert (one.components, one.largest_component, one.reciprocity, one.max_degree) == (3, 4, 0.0, 5)
+    assert one.density == pytest.approx(6 / 42) and one.transitivity == pytest.approx(6 / 8) and one.median_weight == 4.5 and one.total_weight == 36.0
+    degrees = {1: 3, 2: 2, 3: 3, 4: 2, 8: 1, 9: 1}
+    ends = [(degrees[a], degrees[b]) for a, b in ((1, 2), (2, 3), (3, 4), (4, 1), (1, 3), (8, 9))]
+    ends += [(b, a) for a, b in ends]
+    m = sum(x for x, _ in ends) / len(ends)
+    assert one.assortativity == pytest.approx((sum(x * y for x, y in ends) / len(ends) - m * m) / (sum(x * x for x, _ in ends) / len(ends) - m * m))
+    assert network.summary(more, directed=False).first().reciprocity is None
+    empty = network.summary(square.where("false")).first()
+    assert (empty.nodes, empty.links, empty.density, empty.assortativity) == (0, 0, None, None)
+
+
+def test_connection_compartments(spark):
+    edges = spark.createDataFrame([(1, 2, 9), (3, 4, 1)], "preId long, postId long, weight long")
+    ends = [("axon", "dendrite"), ("axon", "dendrite"), ("axon", "axon"), ("linker", "axon"), ("linker", None), ("dendrite", "soma"), ("dendrite", "dendrite")]
+    synapses = spark.createDataFrame([(1, 2, a, b) for a, b in ends] + [(5, 6, "axon", "axon")], "pre long, post long, pre_compartment string, post_compartment string")
+    wide = {r.preId: r for r in joins.connection_compartments(edges, synapses).collect()}
+    one = wide[1]
+    assert (one.weightAxonDendrite, one.weightAxonAxon, one.weightDendriteAxon, one.weightDendriteDendrite, one.weightLinker, one.weightUnsplit, one.synapses) == (2, 1, 0, 1, 1, 2, 7)
+    assert one.weight == 9 and wide[3].synapses == 0 and len(wide) == 2
+    long = joins.connection_compartments(edges, synapses, layout="long")
+    assert long.columns == ["preId", "postId", "weight", "connection"] and long.count() == 12
+    assert {r.connection: r.weight for r in long.where("preId = 1").collect()}["axo-dendritic"] == 2
