@@ -12,7 +12,7 @@ R = Registry()
 
 _FD = """
 WITH s AS (SELECT count(*) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS iqr FROM customer),
-b AS (SELECT lo, hi, least(200, greatest(1, ceil((hi - lo) / (2 * iqr / pow(n, 1.0 / 3))))) AS bins FROM s), w AS (SELECT lo, bins, (hi - lo) / bins AS width FROM b),
+b AS (SELECT lo, hi, least(80, greatest(1, ceil((hi - lo) / (2 * iqr / pow(n, 1.0 / 3))))) AS bins FROM s), w AS (SELECT lo, bins, (hi - lo) / bins AS width FROM b),
 c AS (SELECT CAST(least(floor((c_acctbal - lo) / width), bins - 1) AS INTEGER) AS bin, lo, width FROM customer, w)
 """
 
@@ -41,9 +41,16 @@ def box_tukey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.box_summary(table(spark, sf_dir, "events"), "value", "event_type").withColumns({c: F.round(c, 6) for c in ("mean", "q1", "median", "q3")})
 
 
-@R.add()
+@R.add("""
+WITH s AS (SELECT event_type AS g, count(value) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS spread FROM events GROUP BY 1),
+h AS (SELECT g, n, lo, hi, 0.9 * CASE WHEN least(sd, spread) > 0 THEN least(sd, spread) ELSE sd END * pow(n, -0.2) AS h FROM s),
+c AS (SELECT g, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(h) AS h, count(*) AS m, avg(value) AS c FROM events JOIN h ON event_type = g GROUP BY g, floor((value - lo) / (hi - lo) * 1024)),
+x AS (SELECT *, lo + (hi - lo) * i / 64 AS x FROM c, (SELECT unnest(range(0, 65)) AS i))
+SELECT g AS "group", round(any_value(x), 8) AS x, round(sum(m * exp(-0.5 * pow((x - c) / h, 2)) / (n * h * sqrt(2 * pi()))), 9) AS density FROM x GROUP BY g, i
+""")
 def violin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.density(table(spark, sf_dir, "events"), "value", "event_type")
+    out = charts.density(table(spark, sf_dir, "events"), "value", "event_type")
+    return out.select("group", F.round("x", 8).alias("x"), F.round("density", 9).alias("density"))
 
 
 @R.add("""
@@ -106,13 +113,15 @@ def laminar_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.laminar_profile(table(spark, sf_dir, "part"), "p_retailprice", 25.0, "p_type").withColumn("from", F.col("from").cast("double"))
 
 
-@R.add()
+@R.add("""
+SELECT p_type, p_partkey, place FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY md5(CAST(p_partkey AS VARCHAR) || '|11'), p_partkey) AS place FROM part) WHERE place <= 3
+""")
 def gallery_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.gallery(table(spark, sf_dir, "part"), "p_type", 3, 11, ("p_partkey",)).select("p_type", "p_partkey", "place")
 
 
 @R.add("""
-WITH s AS (SELECT user_id AS series, epoch_us(ts) / 1000000.0 AS t, avg(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+WITH s AS (SELECT user_id AS series, epoch_us(ts) / 1000000.0 AS t, avg(value) AS value FROM events GROUP BY 1, 2),
 g AS (SELECT user_id AS series, 1704067200.0 + 86400.0 * k AS t FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(1, 30)) AS k)),
 x AS (SELECT g.series, g.t, max(a.t) AS ta FROM g LEFT JOIN s a ON a.series = g.series AND a.t <= g.t GROUP BY 1, 2),
 y AS (SELECT g.series, g.t, min(b.t) AS tb FROM g LEFT JOIN s b ON b.series = g.series AND b.t >= g.t GROUP BY 1, 2)
@@ -121,7 +130,7 @@ FROM x JOIN y ON x.series = y.series AND x.t = y.t LEFT JOIN s a ON a.series = x
 """)
 def combine_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    held = events.where("event_type = 'view'").select(F.col("user_id").alias("series"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value")
+    held = events.select(F.col("user_id").alias("series"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value")
     grid = events.select(F.col("user_id").alias("series")).distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(29))))
     grid = grid.select("series", (F.lit(1704067200.0) + 86400.0 * F.col("k")).alias("t"))
     return traces.interpolated(held, grid).withColumn("value", F.round("value", 6))

@@ -1,6 +1,8 @@
-"""Network operators over customer-to-supplier edges: how many order lines of a customer a supplier filled.
+"""Network operators over two networks of whole tables.
 
-Customers and suppliers share a number range, so a supplier's node is 1,000,000 beyond its key.
+Customers to suppliers: how many order lines of a customer a supplier filled; both share a number range, so a supplier's node is
+1,000,000 beyond its key. Parts to parts: which part follows which in an order, and how often; it has cycles, hubs and loops.
+Where a query needs sources, they are the nodes whose id 50 divides.
 """
 
 from __future__ import annotations
@@ -31,13 +33,20 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.build(met, "s_nationkey", "c_nationkey").select("source", "target", "weight")
 
 
-def strong_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows above the mean weight."""
-    every = flows(spark, sf_dir)
-    return every.join(F.broadcast(every.agg(F.avg("weight").alias("mean"))), F.col("weight") > F.col("mean")).drop("mean")  # one row
+#: Part after part: the line that follows another in its order.
+_NEXT = "SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2"
+_LINKED = f"WITH RECURSIVE e AS ({_NEXT}), u AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM e WHERE source <> target), n AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u)"
 
 
-_STRONG = f"WITH f AS ({_FLOWS}), e AS (SELECT * FROM f WHERE weight > (SELECT avg(weight) FROM f)), u AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM e WHERE source <> target), n AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u)"
+def following(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    before = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("source"))
+    met = before.join(lines.withColumnRenamed("l_partkey", "target"), ["l_orderkey", "l_linenumber"])
+    return network.build(met, "source", "target").select("source", "target", "weight")
+
+
+def fiftieth(df: DataFrame) -> DataFrame:
+    return network.nodes(df).where("id % 50 = 0")
 
 
 @R.add(_EDGES)
@@ -54,176 +63,175 @@ def net_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.degrees(edges(spark, sf_dir))
 
 
-@R.add(_STRONG + """, d AS (SELECT x, count(*) AS degree FROM n GROUP BY 1),
-t AS (SELECT p.x, count(*) AS c FROM n p JOIN n q ON p.x = q.x AND p.y < q.y JOIN n r ON r.x = p.y AND r.y = q.y GROUP BY 1)
+@R.add(_LINKED + """, d AS (SELECT x, count(*) AS degree FROM n GROUP BY 1),
+t AS (SELECT p.x, count(*) AS c FROM n p JOIN n q ON p.x = q.x AND p.y < q.y JOIN u r ON r.a = p.y AND r.b = q.y GROUP BY 1)
 SELECT d.x AS id, degree, coalesce(c, 0) AS triangles, round(CASE WHEN degree >= 2 THEN coalesce(c, 0) / (degree * (degree - 1) / 2) END, 9) AS clustering FROM d LEFT JOIN t USING (x)
 """)
 def net_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.triangles(strong_flows(spark, sf_dir)).withColumn("clustering", F.round("clustering", 9))
-
-
-_PART_EDGES = "SELECT DISTINCT l_orderkey % 4000 AS source, 10000 + l_partkey AS target, 1 AS weight FROM lineitem WHERE l_discount = 0.1 AND l_quantity < 12"
-
-
-def _sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_discount = 0.1 AND l_quantity < 12")
-    return lines.select((F.col("l_orderkey") % 4000).alias("source"), (F.col("l_partkey") + 10000).alias("target"), F.lit(1).alias("weight")).distinct()
+    return network.triangles(following(spark, sf_dir)).withColumn("clustering", F.round("clustering", 9))
 
 
-@R.add(f"""
-WITH RECURSIVE e AS ({_PART_EDGES}), n AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e),
-r(x, root) AS (SELECT x, x FROM n UNION SELECT n.y, r.root FROM r JOIN n ON n.x = r.x WHERE r.root < n.y),
-c AS (SELECT x AS id, min(root) AS root FROM r GROUP BY 1), s AS (SELECT root, count(*) AS size FROM c GROUP BY 1), k AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) AS component FROM s)
-SELECT id, component, size FROM c JOIN k USING (root)
+@R.add("""
+WITH o AS (SELECT o_custkey AS root, o_orderkey FROM orders), n AS (SELECT root, root AS id FROM o UNION SELECT root, 10000000 + o_orderkey FROM o UNION SELECT root, 20000000 + 10 * l_orderkey + l_linenumber FROM o JOIN lineitem ON l_orderkey = o_orderkey),
+s AS (SELECT root, count(*) AS size FROM n GROUP BY 1), k AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) AS component FROM s)
+SELECT id, component, size FROM n JOIN k USING (root)
 """)
 def net_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.components(_sparse_edges(spark, sf_dir))
+    """Customers, their orders and their lines: a tree a customer."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    placed = orders.select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") + 10_000_000).alias("target"))
+    held = lines.select((F.col("l_orderkey") + 10_000_000).alias("source"), (10 * F.col("l_orderkey") + F.col("l_linenumber") + 20_000_000).alias("target"))
+    return network.components(placed.union(held))
 
 
-@R.add()
+@R.add(_LINKED + """, r(k, id, v) AS (SELECT 0, x, count(*) FROM n GROUP BY x UNION ALL SELECT k + 1, id, least(any_value(v), max(h)) FROM
+  (SELECT s.k, s.x AS id, s.v, least(row_number() OVER (PARTITION BY s.x ORDER BY w.v DESC), w.v) AS h FROM (SELECT r.k, n.x, n.y, r.v FROM r JOIN n ON n.x = r.id WHERE r.k < 40) s JOIN r w ON w.id = s.y) GROUP BY k, id)
+SELECT id, v AS coreness FROM r WHERE k = 40
+""")
 def net_coreness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.coreness(_sparse_edges(spark, sf_dir))
-
-
-@R.add(_STRONG + """, a AS (SELECT DISTINCT source, target FROM e WHERE source <> target), d AS (SELECT x, count(*) AS k FROM n GROUP BY 1),
-t AS (SELECT p.x, count(*) AS c FROM n p JOIN n q ON p.x = q.x AND p.y < q.y JOIN n r ON r.x = p.y AND r.y = q.y GROUP BY 1),
-m AS (SELECT d.x, k, coalesce(c, 0) AS c FROM d LEFT JOIN t USING (x))
-SELECT (SELECT count(*) FROM (SELECT source FROM e UNION SELECT target FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT CAST(sum(weight) AS BIGINT) FROM e) AS total_weight,
-  (SELECT max(weight) FROM e) AS max_weight, (SELECT round(avg(c / (k * (k - 1) / 2)) FILTER (k >= 2), 9) FROM m) AS mean_clustering,
-  round((SELECT count(*) FROM a) / ((SELECT count(*) FROM (SELECT source FROM e UNION SELECT target FROM e)) * ((SELECT count(*) FROM (SELECT source FROM e UNION SELECT target FROM e)) - 1)), 9) AS density,
-  round((SELECT count(*) FROM a JOIN a z ON a.source = z.target AND a.target = z.source) / (SELECT count(*) FROM a), 9) AS reciprocity,
-  (SELECT round(sum(c) / sum(k * (k - 1) / 2), 9) FROM m) AS transitivity
+    return network.coreness(following(spark, sf_dir))
+
+
+@R.add(_LINKED + """, a AS (SELECT DISTINCT source, target FROM e WHERE source <> target), d AS (SELECT x, count(*) AS k FROM n GROUP BY 1),
+t AS (SELECT p.x, count(*) AS c FROM n p JOIN n q ON p.x = q.x AND p.y < q.y JOIN u r ON r.a = p.y AND r.b = q.y GROUP BY 1),
+m AS (SELECT d.x, k, coalesce(c, 0) AS c FROM d LEFT JOIN t USING (x)), ids AS (SELECT source AS id FROM e UNION SELECT target FROM e),
+g AS (SELECT id, count(*) AS deg FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1), z AS (SELECT CAST(count(*) AS DOUBLE) AS nn FROM ids),
+w AS (SELECT i.k AS x, j.k AS y FROM n JOIN d i ON i.x = n.x JOIN d j ON j.x = n.y),
+c(k, id, root) AS (SELECT 0, id, id FROM ids UNION ALL SELECT k + 1, id, min(root) FROM (SELECT c.k, n.y AS id, c.root FROM c JOIN (SELECT x, y FROM n UNION ALL SELECT id, id FROM ids) n ON n.x = c.id WHERE c.k < 12) GROUP BY k, id),
+s AS (SELECT root, count(*) AS size FROM c WHERE k = 12 GROUP BY 1)
+SELECT CAST(nn AS BIGINT) AS nodes, (SELECT count(*) FROM e) AS links, true AS directed, (SELECT count(*) FROM e WHERE source = target) AS self_loops, CAST(0 AS BIGINT) AS parallel_links, CAST(0 AS BIGINT) AS isolated,
+  round((SELECT count(*) FROM a) / (nn * (nn - 1)), 9) AS density, (SELECT round(avg(deg), 9) FROM g) AS mean_degree, (SELECT median(deg) FROM g) AS median_degree, (SELECT max(deg) FROM g) AS max_degree,
+  round((SELECT count(*) FROM a JOIN a q ON a.source = q.target AND a.target = q.source) / (SELECT count(*) FROM a), 9) AS reciprocity, (SELECT count(*) FROM s) AS components, (SELECT max(size) FROM s) AS largest_component,
+  (SELECT round(avg(c / (k * (k - 1) / 2)) FILTER (k >= 2), 9) FROM m) AS mean_clustering, (SELECT round(sum(c) / sum(k * (k - 1) / 2), 9) FROM m) AS transitivity, (SELECT round(corr(x, y), 7) FROM w) AS assortativity,
+  (SELECT CAST(sum(weight) AS DOUBLE) FROM e) AS total_weight, (SELECT round(avg(weight), 9) FROM e) AS mean_weight, (SELECT median(CAST(weight AS DOUBLE)) FROM e) AS median_weight, (SELECT CAST(max(weight) AS DOUBLE) FROM e) AS max_weight FROM z
 """)
 def net_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = network.summary(strong_flows(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 9) for c in ("mean_clustering", "density", "reciprocity", "transitivity")})
+    out = network.summary(following(spark, sf_dir))
+    return out.withColumns({**{c: F.round(c, 9) for c in ("mean_clustering", "density", "reciprocity", "transitivity", "mean_degree", "mean_weight")}, "assortativity": F.round("assortativity", 7)})
 
 
-@R.add(f"""
-WITH RECURSIVE e AS ({_PART_EDGES}), n AS (SELECT source AS x, target AS y FROM e UNION ALL SELECT target, source FROM e),
-r(id, hop) AS (SELECT DISTINCT source, 0 FROM e WHERE source < 20 UNION SELECT n.y, r.hop + 1 FROM r JOIN n ON n.x = r.id WHERE r.hop < 3)
+@R.add(_LINKED + """, r(id, hop) AS (SELECT DISTINCT x, 0 FROM n WHERE x % 50 = 0 UNION SELECT n.y, r.hop + 1 FROM r JOIN n ON n.x = r.id WHERE r.hop < 3)
 SELECT id, min(hop) AS hop FROM r GROUP BY 1
 """)
 def net_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _sparse_edges(spark, sf_dir)
-    return network.reach(e, e.where("source < 20").select(F.col("source").alias("id")), 3, "any")
+    e = following(spark, sf_dir).where("source <> target")
+    return network.reach(e, fiftieth(e), 3, "any")
 
 
-@R.add(f"""
-WITH RECURSIVE e AS ({_PART_EDGES}), n AS (SELECT source AS x, target AS y FROM e UNION ALL SELECT target, source FROM e),
-r(id, hop) AS (SELECT DISTINCT source, 0 FROM e WHERE source < 20 UNION SELECT n.y, r.hop + 1 FROM r JOIN n ON n.x = r.id WHERE r.hop < 2), k AS (SELECT DISTINCT id FROM r)
-SELECT source, target, CAST(weight AS INTEGER) AS weight FROM e WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)
+@R.add(_LINKED + """, k AS (SELECT x AS id FROM n WHERE x % 50 = 0 UNION SELECT target FROM e WHERE source % 50 = 0 AND source <> target)
+SELECT source, target, weight FROM e WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)
 """)
 def net_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _sparse_edges(spark, sf_dir)
-    return network.filtered(e, e.where("source < 20").select(F.col("source").alias("id")), "hops", 2, "any")
+    e = following(spark, sf_dir)
+    return network.filtered(e, fiftieth(e.where("source <> target")), "hops", 1, "downstream")
 
 
 @R.add(f"""
-WITH f AS ({_FLOWS}), s AS (SELECT * FROM f WHERE weight >= (SELECT quantile_disc(weight, 0.2) FROM f)), h1 AS (SELECT * FROM s WHERE source IN (0, 1)),
-n1 AS (SELECT DISTINCT target AS id FROM h1 WHERE target NOT IN (0, 1)), h2 AS (SELECT s.* FROM s WHERE source IN (SELECT id FROM n1)),
-a AS (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2), k AS (SELECT source, target, any_value(weight) AS weight, min(hop) AS hop FROM a GROUP BY 1, 2),
-t AS (SELECT target, sum(weight) AS w FROM f GROUP BY 1)
+WITH f AS ({_NEXT}), h1 AS (SELECT * FROM f WHERE source % 50 = 0), n1 AS (SELECT DISTINCT target AS id FROM h1 WHERE target NOT IN (SELECT source FROM f WHERE source % 50 = 0 UNION SELECT target FROM f WHERE target % 50 = 0)),
+h2 AS (SELECT f.* FROM f WHERE source IN (SELECT id FROM n1)), a AS (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2),
+k AS (SELECT source, target, any_value(weight) AS weight, min(hop) AS hop FROM a GROUP BY 1, 2), t AS (SELECT target, sum(weight) AS w FROM f GROUP BY 1)
 SELECT k.source, k.target, k.weight, hop, 'outputs' AS direction, CAST(w AS BIGINT) AS weight_total, round(k.weight / w, 9) AS weight_norm FROM k JOIN t ON k.target = t.target
 """)
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = flows(spark, sf_dir)
-    floor = every.agg(F.expr("percentile_disc(0.2) WITHIN GROUP (ORDER BY weight)")).first()[0]
-    seeds = table(spark, sf_dir, "nation").where("n_nationkey < 2").select(F.col("n_nationkey").alias("id"))
-    return network.connectivity(every, seeds, 2, "outputs", floor, "postsynaptic").withColumn("weight_norm", F.round("weight_norm", 9))
+    every = following(spark, sf_dir)
+    return network.connectivity(every, fiftieth(every), 2, "outputs", 1, "postsynaptic").withColumn("weight_norm", F.round("weight_norm", 9))
 
 
 @R.add(f"""
-WITH RECURSIVE f AS ({_FLOWS}), e AS (SELECT source, target, CAST(weight AS DOUBLE) AS w FROM f WHERE source <> target),
-p(last, path, b) AS (SELECT 0, [0], CAST('inf' AS DOUBLE) UNION ALL SELECT e.target, list_append(p.path, e.target), least(p.b, e.w) FROM p JOIN e ON e.source = p.last WHERE len(p.path) <= 3 AND NOT list_contains(p.path, e.target))
-SELECT array_to_string(route, '>') AS path, len(route) - 1 AS hops, b AS bottleneck, rank FROM (SELECT path AS route, b, row_number() OVER (ORDER BY b DESC, len(path), path) AS rank FROM p WHERE last IN (5, 6) AND len(path) > 1) WHERE rank <= 20
+WITH RECURSIVE e AS (SELECT source, target, CAST(weight AS DOUBLE) AS w FROM ({_NEXT}) WHERE source <> target),
+p(last, path, b) AS (SELECT 50, [50], CAST('inf' AS DOUBLE) UNION ALL SELECT e.target, list_append(p.path, e.target), least(p.b, e.w) FROM p JOIN e ON e.source = p.last WHERE len(p.path) <= 3 AND NOT list_contains(p.path, e.target))
+SELECT array_to_string(route, '>') AS path, len(route) - 1 AS hops, b AS bottleneck, rank FROM (SELECT path AS route, b, row_number() OVER (ORDER BY b DESC, len(path), path) AS rank FROM p WHERE last IN (100, 150) AND len(path) > 1) WHERE rank <= 20
 """)
 def paths_bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
-    out = network.paths(flows(spark, sf_dir), nations.where("id = 0"), nations.where("id IN (5, 6)"), 3, 20)
+    every = following(spark, sf_dir)
+    ids = network.nodes(every)
+    out = network.paths(every, ids.where("id = 50"), ids.where("id IN (100, 150)"), 3, 20)
     return out.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "hops", "bottleneck", "rank")
 
 
 @R.add(f"""
-WITH f AS ({_FLOWS}), w AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY target) AS w FROM f), m0 AS (SELECT n_nationkey AS id, 1.0 AS m FROM nation WHERE n_nationkey < 3),
+WITH f AS ({_NEXT}), w AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY target) AS w FROM f), m0 AS (SELECT DISTINCT id, 1.0 AS m FROM (SELECT source AS id FROM f UNION SELECT target FROM f) WHERE id % 50 = 0),
 m1 AS (SELECT target AS id, sum(m * w * 0.5) AS m FROM m0 JOIN w ON id = source GROUP BY 1), m2 AS (SELECT target AS id, sum(m * w * 0.5) AS m FROM m1 JOIN w ON id = source GROUP BY 1),
 m3 AS (SELECT target AS id, sum(m * w * 0.5) AS m FROM m2 JOIN w ON id = source GROUP BY 1)
 SELECT id, round(sum(m), 8) AS influence FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) GROUP BY 1
 """)
 def influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("id"))
-    return network.influence(flows(spark, sf_dir), seeds, 3, 0.5).withColumn("influence", F.round("influence", 8))
+    every = following(spark, sf_dir)
+    return network.influence(every, fiftieth(every), 3, 0.5).withColumn("influence", F.round("influence", 8))
 
 
 @R.add(f"""
-WITH RECURSIVE f AS ({_FLOWS}), a AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS p FROM f WHERE source <> target),
-ids AS (SELECT source AS id FROM f UNION SELECT target FROM f), c AS (SELECT count(*) AS n FROM ids),
-full_p AS (SELECT i.id AS source, j.id AS target, coalesce(p, 0) AS p FROM ids i CROSS JOIN ids j LEFT JOIN a ON a.source = i.id AND a.target = j.id),
-r(k, id, v) AS (SELECT 0, id, 1.0 / n FROM ids, c UNION ALL SELECT k + 1, id, v FROM (SELECT r.k, q.target AS id, 0.15 / max(n) + 0.85 * sum(r.v * q.p) AS v FROM r JOIN full_p q ON q.source = r.id, c GROUP BY r.k, q.target) WHERE k < 30)
-SELECT id, round(v, 6) AS pagerank FROM r WHERE k = 30
+WITH RECURSIVE f AS ({_NEXT}), a AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS p FROM f WHERE source <> target),
+ids AS (SELECT source AS id FROM f UNION SELECT target FROM f), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM ids),
+q AS (SELECT source, target, p FROM a UNION ALL SELECT i.id, j.id, 1 / n FROM ids i, ids j, c WHERE i.id NOT IN (SELECT source FROM a) UNION ALL SELECT id, id, 0 FROM ids),
+r(k, id, v) AS (SELECT 0, id, 1 / n FROM ids, c UNION ALL SELECT k + 1, id, v FROM (SELECT r.k, q.target AS id, 0.15 / max(n) + 0.85 * sum(r.v * q.p) AS v FROM r JOIN q ON q.source = r.id, c GROUP BY r.k, q.target) WHERE k < 15)
+SELECT id, round(v, 9) AS pagerank FROM r WHERE k = 15
 """)
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.pagerank(flows(spark, sf_dir), rounds=30, tolerance=1e-12).withColumn("pagerank", F.round("pagerank", 6))
+    return network.pagerank(following(spark, sf_dir), rounds=15, tolerance=0).withColumn("pagerank", F.round("pagerank", 9))
 
 
-@R.add()
+@R.add(f"""
+WITH RECURSIVE f AS ({_NEXT}), b AS (SELECT source, target, CAST(sum(weight) AS DOUBLE) AS w FROM (SELECT * FROM f UNION ALL SELECT target, source, weight FROM f) WHERE source <> target GROUP BY 1, 2),
+ids AS (SELECT source AS id FROM f UNION SELECT target FROM f), q AS (SELECT * FROM b UNION ALL SELECT id, id, 1 FROM ids),
+r(k, id, v) AS (SELECT 0, id, CAST(1 AS DOUBLE) FROM ids UNION ALL SELECT k + 1, id, v / sqrt(sum(v * v) OVER ()) FROM (SELECT r.k, q.target AS id, sum(r.v * q.w) AS v FROM r JOIN q ON q.source = r.id WHERE r.k < 10 GROUP BY r.k, q.target))
+SELECT id, round(v, 9) AS eigenvector FROM r WHERE k = 10
+""")
 def eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.eigenvector(strong_flows(spark, sf_dir), rounds=40).withColumn("eigenvector", F.round("eigenvector", 5))
+    return network.eigenvector(following(spark, sf_dir), rounds=10, tolerance=0).withColumn("eigenvector", F.round("eigenvector", 9))
 
 
-@R.add(f"""
-WITH RECURSIVE e AS ({_PART_EDGES}), n AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e),
-r(id, node, hop) AS (SELECT DISTINCT source, source, 0 FROM e WHERE source < 40 UNION SELECT r.id, n.y, r.hop + 1 FROM r JOIN n ON n.x = r.node WHERE r.hop < 4),
+@R.add(_LINKED + """, r(id, node, hop) AS (SELECT DISTINCT x, x, 0 FROM n WHERE x % 50 = 0 UNION SELECT r.id, n.y, r.hop + 1 FROM r JOIN n ON n.x = r.node WHERE r.hop < 5),
 d AS (SELECT id, node, min(hop) AS hop FROM r GROUP BY 1, 2)
 SELECT id, count(*) AS reached, round(count(*) / sum(hop), 9) AS closeness FROM d WHERE hop > 0 GROUP BY 1
 """)
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _sparse_edges(spark, sf_dir)
-    out = network.closeness(e, e.where("source < 40").select(F.col("source").alias("id")), 4)
-    return out.withColumn("closeness", F.round("closeness", 9))
+    e = following(spark, sf_dir).where("source <> target")
+    return network.closeness(e, fiftieth(e), 5).withColumn("closeness", F.round("closeness", 9))
 
 
-@R.add(_STRONG + """
+@R.add(f"""
+WITH e AS ({_NEXT})
 SELECT p.source AS a, p.target AS b, q.target AS c FROM e p JOIN e q ON p.target = q.source JOIN e r ON r.source = q.target AND r.target = p.source
 WHERE p.source <> p.target AND q.source <> q.target AND p.source <> q.target AND NOT EXISTS (SELECT 1 FROM e z WHERE z.source = p.target AND z.target = p.source)
 """)
 def motif_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.motif(strong_flows(spark, sf_dir), [("a", "b"), ("b", "c"), ("c", "a")], [("b", "a")])
+    return network.motif(following(spark, sf_dir), [("a", "b"), ("b", "c"), ("c", "a")], [("b", "a")])
 
 
 @R.add(f"""
-WITH f AS ({_FLOWS}), e AS (SELECT * FROM f WHERE source < target), h1 AS (SELECT 0 AS id, 0 AS layer), 
-r AS (SELECT target AS id, max(1) AS layer FROM e WHERE source = 0 GROUP BY 1) SELECT id, layer FROM h1 UNION ALL SELECT id, layer FROM r
+WITH RECURSIVE e AS ({_NEXT}), r(id, layer) AS (SELECT DISTINCT id, 0 FROM (SELECT source AS id FROM e UNION SELECT target FROM e) WHERE id % 50 = 0 UNION SELECT e.target, r.layer + 1 FROM r JOIN e ON e.source = r.id WHERE e.source < e.target AND r.layer < 6)
+SELECT id, max(layer) AS layer FROM r GROUP BY 1
 """)
 def flow_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").where("n_nationkey = 0").select(F.col("n_nationkey").alias("id"))
-    return network.layers(flows(spark, sf_dir).where("source < target"), nations, 1)
+    every = following(spark, sf_dir)
+    return network.layers(every.where("source < target"), fiftieth(every), 6)
 
 
 @R.add(f"""
-WITH e AS (SELECT * FROM ({_EDGES}) WHERE source < 50), t AS (SELECT 1000000 + s_suppkey AS id, CASE WHEN s_nationkey < 20 THEN 'N' || s_nationkey END AS label FROM supplier),
+WITH e AS (SELECT * FROM ({_EDGES}) WHERE source % 50 = 0), t AS (SELECT 1000000 + s_suppkey AS id, CASE WHEN s_nationkey < 20 THEN 'N' || s_nationkey END AS label FROM supplier),
 l AS (SELECT source AS id, 'out:' || coalesce(label, CAST(target AS VARCHAR)) AS feature, weight, sum(weight) OVER (PARTITION BY source) AS total FROM e LEFT JOIN t ON t.id = target)
 SELECT id, feature, round(sum(weight / total), 9) AS value FROM l GROUP BY 1, 2
 """)
 def partner_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir).toDF("pre", "post", "weight")
     labels = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + BEYOND).alias("id"), F.when(F.col("s_nationkey") < 20, F.concat(F.lit("N"), "s_nationkey")).alias("label"))
-    queries = table(spark, sf_dir, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("id"))
+    queries = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id"))
     return joins.partner_vectors(e, queries, labels, weighting="fraction").withColumn("value", F.round("value", 9))
 
 
 @R.add("""
-WITH e AS (SELECT o_orderstatus AS s, o_custkey, l_suppkey, count(*) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2, 3),
+WITH e AS (SELECT o_orderstatus AS s, o_custkey, l_suppkey, count(*) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
 x AS (SELECT s, c_mktsegment AS pre_label, 'N' || s_nationkey AS post_label, sum(w) AS w FROM e JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)
-SELECT pre_label, post_label, CAST(coalesce(sum(w) FILTER (s = 'F'), 0) AS BIGINT) AS weight_F, CAST(coalesce(sum(w) FILTER (s = 'O'), 0) AS BIGINT) AS weight_O, true AS present_F, true AS present_O
-FROM x GROUP BY 1, 2
+SELECT pre_label, post_label, CAST(coalesce(sum(w) FILTER (s = 'F'), 0) AS BIGINT) AS weight_F, CAST(coalesce(sum(w) FILTER (s = 'O'), 0) AS BIGINT) AS weight_O, CAST(coalesce(sum(w) FILTER (s = 'P'), 0) AS BIGINT) AS weight_P,
+  true AS present_F, true AS present_O, true AS present_P FROM x GROUP BY 1, 2
 """)
 def compare_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     met = met.select("o_orderstatus", F.col("o_custkey").alias("pre"), (F.col("l_suppkey") + BEYOND).alias("post"), F.lit(1).alias("weight"))
     labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
     labels = labels.union(table(spark, sf_dir, "supplier").select(F.col("s_suppkey") + BEYOND, F.concat(F.lit("N"), "s_nationkey")))
-    return joins.compare_connectivity({s: met.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("F", "O")}, {"F": labels, "O": labels})
+    return joins.compare_connectivity({s: met.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in "FOP"}, dict.fromkeys("FOP", labels))
 
 
 @R.add("""
@@ -261,13 +269,30 @@ def neuron_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""
-WITH h AS (SELECT DISTINCT o_orderstatus AS dataset, o_custkey AS id, c_mktsegment AS label FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND c_mktsegment <> 'BUILDING'
-  UNION SELECT 'F', c_custkey, 'B-only' FROM customer WHERE c_mktsegment = 'BUILDING')
-SELECT label AS type, dataset, count(DISTINCT id) AS n_neurons, label <> 'B-only' AS matched, false AS suspicious FROM h GROUP BY 1, 2
+WITH h AS (SELECT DISTINCT o_orderstatus AS dataset, o_custkey AS id, c_mktsegment AS label FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'
+  UNION SELECT 'F', c_custkey, 'B-only' FROM customer WHERE c_mktsegment = 'BUILDING'),
+n AS (SELECT label AS type, dataset, count(DISTINCT id) AS n_neurons FROM h GROUP BY 1, 2), m AS (SELECT type, count(*) = 3 AS matched, max(n_neurons) > 5 * min(n_neurons) AS far FROM n GROUP BY 1)
+SELECT type, dataset, n_neurons, matched, matched AND far AS suspicious FROM n JOIN m USING (type)
 """)
 def match_types_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
-    seen = table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')").join(customers, F.col("o_custkey") == F.col("c_custkey")).where("c_mktsegment <> 'BUILDING'")
+    seen = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).where("c_mktsegment <> 'BUILDING'")
     seen = seen.select(F.col("o_orderstatus").alias("dataset"), F.col("o_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
     alone = customers.where("c_mktsegment = 'BUILDING'").select(F.lit("F"), "c_custkey", F.lit("B-only"))
-    return network.match_types(seen.union(alone), 2)[1]
+    return network.match_types(seen.union(alone), 3)[1]
+
+
+_SIDES = "SELECT o_custkey AS pre, 1000000 + l_suppkey AS post, CASE l_returnflag WHEN 'A' THEN 'axon' WHEN 'N' THEN 'dendrite' END AS a, CASE l_linestatus WHEN 'F' THEN 'axon' ELSE 'linker' END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+@R.add(f"""
+WITH s AS ({_SIDES}) SELECT pre AS "preId", post AS "postId", count(*) AS weight, count(*) FILTER (a = 'axon' AND b = 'axon') AS "weightAxonAxon", CAST(0 AS BIGINT) AS "weightAxonDendrite",
+  count(*) FILTER (a = 'dendrite' AND b = 'axon') AS "weightDendriteAxon", CAST(0 AS BIGINT) AS "weightDendriteDendrite", count(*) FILTER (a IS NOT NULL AND b = 'linker') AS "weightLinker",
+  count(*) FILTER (a IS NULL) AS "weightUnsplit", count(*) AS synapses FROM s GROUP BY 1, 2
+""")
+def connection_compartments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    a = F.when(F.col("l_returnflag") == "A", "axon").when(F.col("l_returnflag") == "N", "dendrite")
+    b = F.when(F.col("l_linestatus") == "F", "axon").otherwise("linker")
+    synapses = lines.select(F.col("o_custkey").alias("pre"), (F.col("l_suppkey") + BEYOND).alias("post"), a.alias("pre_compartment"), b.alias("post_compartment"))
+    return joins.connection_compartments(edges(spark, sf_dir).toDF("preId", "postId", "weight"), synapses)

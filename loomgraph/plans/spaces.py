@@ -38,13 +38,13 @@ def distance_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""
-WITH p AS ({_POINTS}), d AS (SELECT a.id AS row, a.at, b.id AS col, min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d2 FROM p a, p b
-WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 36 AND a.at % 3 = 0 AND b.at % 3 = 1 GROUP BY 1, 2, 3)
+WITH p AS ({_POINTS}), d AS (SELECT a.id AS row, a.at, b.id AS col, min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d2 FROM p a JOIN p b ON a.id <> b.id
+WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 9 GROUP BY 1, 2, 3)
 SELECT row, col, round(median(sqrt(d2)), 6) AS value FROM d GROUP BY 1, 2
 """)
 def distance_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return geometry.nearest_distance(p.where("at % 3 = 0"), p.where("at % 3 = 1"), 6.0, "median").withColumn("value", F.round("value", 6))
+    return geometry.nearest_distance(p, p, 3.0, "median").where("row <> col").withColumn("value", F.round("value", 6))
 
 
 @R.add(f"""
@@ -138,23 +138,37 @@ def dataset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dataset(spark, sf_dir).query("SELECT post AS id, sum(weight) AS total FROM shop_edges GROUP BY post")
 
 
-@R.add(likeness._PAIRS + """, m AS (SELECT row, col FROM p WHERE round(1 - dot / (sqrt(a2) * sqrt(b2)), 8) <= 0.72), x AS (SELECT row AS a, col AS b FROM m UNION ALL SELECT col, row FROM m),
+@R.add(likeness._PAIRS + """, m AS (SELECT row, col FROM p WHERE round(1 - dot / (sqrt(a2) * sqrt(b2)), 8) <= 0.7), x AS (SELECT row AS a, col AS b FROM m UNION ALL SELECT col, row FROM m),
 q AS (WITH RECURSIVE r(id, root) AS (SELECT DISTINCT obs, obs FROM c UNION SELECT x.b, r.root FROM r JOIN x ON x.a = r.id WHERE r.root < x.b) SELECT id, min(root) AS root FROM r GROUP BY 1)
 SELECT id, size FROM q JOIN (SELECT root, count(*) AS size FROM q GROUP BY 1) USING (root)
 """)
 def single_linkage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = likeness.vectors(spark, sf_dir)
     distance = similarity.similarity(cells, "cosine", "distance").withColumn("value", F.round("value", 8))
-    return similarity.single_linkage_clusters(distance, 0.72, cells.select(F.col("obs").alias("id")).distinct()).select("id", "size")
+    return similarity.single_linkage_clusters(distance, 0.7, cells.select(F.col("obs").alias("id")).distinct()).select("id", "size")
 
 
 @R.add()
 def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = graphs.strong_flows(spark, sf_dir)
-    ids = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
-    return network.betweenness(flows, ids).withColumn("betweenness", F.round("betweenness", 6))
+    """From the paths of the nodes whose id 50 divides."""
+    e = graphs.following(spark, sf_dir).where("source <> target")
+    return network.betweenness(e, graphs.fiftieth(e)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @R.add()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.communities(graphs._sparse_edges(spark, sf_dir))
+    return network.communities(graphs.following(spark, sf_dir))
+
+
+@R.add("""
+WITH s AS (SELECT o_custkey AS pre, 1000000 + l_suppkey AS post, l_discount AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT neuron, partner, polarity, count(*) AS n FROM (SELECT pre AS neuron, post AS partner, 'pre' AS polarity FROM s WHERE confidence >= 0.02 AND pre IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+  UNION ALL SELECT post, pre, 'post' FROM s WHERE confidence >= 0.02 AND post IN (SELECT 1000000 + s_suppkey FROM supplier WHERE s_acctbal < 0)) GROUP BY 1, 2, 3
+""")
+def dataset_synapses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shop = _dataset(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    shop.synapses = lines.select(F.col("o_custkey").alias("pre"), (F.col("l_suppkey") + graphs.BEYOND).alias("post"), F.col("l_discount").alias("confidence"))
+    owing = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    owing = owing.union(table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey") + graphs.BEYOND))
+    return shop.synapses_of(owing, least=0.02).groupBy("neuron", "partner", "polarity").agg(F.count("*").alias("n"))

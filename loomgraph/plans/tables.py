@@ -87,11 +87,21 @@ def sample_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "tail", ("o_orderkey",), count=50)
 
 
-@R.add()
+@R.add("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), coalesce(CAST(o_custkey AS VARCHAR), ''), '3')), o_orderkey LIMIT 200")
 def sample_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "random", ("o_orderkey",), count=200, seed=3)
 
 
+@R.add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
+def sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "head", ("o_orderkey",), count=50)
+
+
+@R.add("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY min(o_orderkey) LIMIT 1 OFFSET 7)")
+def select_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.select_one(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 7, "o_custkey", ("o_orderkey",))
+
+
 @R.add("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.dedupe(table(spark, sf_dir, "orders"), ["o_custkey"], "first", ("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
@@ -187,13 +197,13 @@ def ids_from_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _partial(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders by customer, and customers of whom a third are missing and whose names repeat."""
+    """Orders by customer, and customers without one segment, whose names repeat."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    customers = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name", "c_mktsegment")
+    customers = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name", "c_mktsegment")
     return orders, customers
 
 
-_CUST = "(SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)"
+_CUST = "(SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING')"
 
 
 @R.add(f"SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment FROM orders LEFT JOIN {_CUST} ON o_custkey = c_custkey")
@@ -300,6 +310,21 @@ def normalize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.normalize(_matrix(spark, sf_dir), "row").withColumn("value", F.round("value", 9))
 
 
+@R.add(f"SELECT row, col, round(value / sum(value) OVER (PARTITION BY col), 9) AS value FROM {_MATRIX}")
+def normalize_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.normalize(_matrix(spark, sf_dir), "column").withColumn("value", F.round("value", 9))
+
+
+@R.add(f"SELECT row, col, round(value / max(abs(value)) OVER (), 9) AS value FROM {_MATRIX}")
+def normalize_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.normalize(_matrix(spark, sf_dir), "max").withColumn("value", F.round("value", 9))
+
+
+@R.add("SELECT l_suppkey, count(*) AS n, max(l_quantity) AS max_l_quantity FROM lineitem GROUP BY 1")
+def group_by_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.group_by(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "max", ["l_quantity"])
+
+
 @R.add(f"SELECT row, col, round(log10(1 + value), 9) AS value FROM {_MATRIX}")
 def normalize_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.normalize(_matrix(spark, sf_dir), "log").withColumn("value", F.round("value", 9))
@@ -353,11 +378,12 @@ def attach_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""
 SELECT o.o_orderkey, coalesce(m.new, o.o_custkey) AS o_custkey FROM orders o LEFT JOIN
-(SELECT old, new FROM (SELECT l_orderkey % 500 AS old, l_suppkey AS new, count(*) AS n FROM lineitem GROUP BY 1, 2)
+(SELECT old, new FROM (SELECT o_custkey AS old, l_suppkey AS new, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
  QUALIFY row_number() OVER (PARTITION BY old ORDER BY n DESC, new) = 1) m ON o.o_custkey = m.old
 """)
 def update_ids_by_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("old"), F.col("l_suppkey").alias("new"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    votes = lines.select(F.col("o_custkey").alias("old"), F.col("l_suppkey").alias("new"))
     return joins.update_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), votes, "o_custkey")
 
 
