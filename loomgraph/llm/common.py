@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folders: dict[str, str] = {}
+#: Where the tables that stored() wrote lie.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
@@ -44,13 +49,17 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a table that nothing reads any longer."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables from which everything that is wanted has been written elsewhere."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def in_order(df: DataFrame, keys: list[Column], label: str) -> DataFrame:
@@ -88,6 +97,12 @@ def least_hashed(df: DataFrame, keys: list[str], k: int, seed: int) -> DataFrame
     return hashed.orderBy("_hash", *keys).limit(k).drop("_hash")
 
 
+def contents(df: DataFrame, *columns: str) -> tuple:
+    """Number of rows, sum and exclusive or of their hashes: equal for equal contents, in one pass."""
+    h = F.xxhash64(*columns)
+    return tuple(df.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+
+
 def connected_components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the least node that can be reached.
 
@@ -99,6 +114,7 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
     spark = edges.sparkSession
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = stored(pairs, label)
+    state = contents(pairs, "a", "b")
     while True:
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -107,9 +123,9 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
         small = large.join(least, "b").select("a", "b", "m")
         small = small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
         after = stored(small.where("a <> b").distinct(), label)
-        same = pairs.exceptAll(after).isEmpty() and after.exceptAll(pairs).isEmpty()
-        pairs = after
-        if same:
+        forget(pairs)
+        pairs, before, state = after, state, contents(after, "a", "b")
+        if state == before:
             break
     found = pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     return found.union(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -146,9 +146,9 @@ def misled():
             return whole, part
 
 
-@pytest.mark.parametrize("chunk", [4096, 1])
-def test_passages_meet_past_a_first_document_that_has_a_part(spark, monkeypatch, chunk):
-    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+@pytest.mark.parametrize("share", [1 / 1000, 1.0])
+def test_passages_meet_past_a_first_document_that_has_a_part(spark, monkeypatch, share):
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", share)
     whole, part = misled()
     # The last document misleads too, as the first one does.
     docs = make(spark, [(1, part, "s"), (2, whole, "s"), (3, words(7, 9) + " " + whole, "s"), (4, part.replace(part.split()[-1], "zzz"), "s"), (5, " ".join(part.split()[:34]) + " " + words(8, 30), "s")])
@@ -157,6 +157,37 @@ def test_passages_meet_past_a_first_document_that_has_a_part(spark, monkeypatch,
     assert {d for d, _, _ in got} == {1, 2, 3, 4}
 
 
+def test_passages_are_found_among_others_that_share_too_little(spark):
+    """Two documents share 62 words; the 44 of them that two others have too are no passage, with other words around."""
+    rows = []
+    for g in range(150):
+        passage = words(5000 + g, 62).split()
+        part = " ".join(passage[g % 18 : g % 18 + 44])
+        texts = [" ".join(passage)] * 2 + [part] * 2
+        random.Random(g).shuffle(texts)
+        rows += [(4 * g + i, f"{words(9000 + 8 * g + i, 30)} {t} {words(30_000 + 8 * g + i, 30)}", "s") for i, t in enumerate(texts)]
+    whole = {i for i, t, _ in rows if len(t.split()) == 122}
+    got = {(r.doc_id, r.partner_id) for r in substring_dedup.repeated_passages(make(spark, rows)).collect()}
+    assert {d for d, _ in got} == whole and all(p // 4 == d // 4 and p in whole for d, p in got)
+
+
+def test_edited_passages_against_brute_force(spark):
+    """Documents of filler, one common line and a passage with up to three words changed, all pairs compared."""
+    draw, common, rows = random.Random(8), words(77, 30), []
+    for g in range(60):
+        passage = words(600 + g, draw.randint(55, 160)).split()
+        for k in range(draw.randint(2, 3)):
+            own = passage[:]
+            for at in draw.sample(range(len(own)), draw.randint(0, 3)):
+                own[at] = f"zz{k}"
+            rows.append((10 * g + k, f"{words(7000 + 10 * g + k, draw.randint(0, 40))} {common} {' '.join(own)} {words(20_000 + 10 * g + k, draw.randint(0, 60))}", "s"))
+    spell = substring_dedup.Shingler()
+    shingles = {d: spell(t) for d, t, _ in rows}
+    wanted = {d for d in shingles if any(e // 10 == d // 10 and e != d and substring_dedup.shared_stretches(shingles[d], shingles[e], 46, 0.8) for e in shingles)}
+    got = {r.doc_id for r in substring_dedup.repeated_passages(make(spark, rows)).collect()}
+    assert got <= wanted and len(got) >= 0.97 * len(wanted) and len(wanted) > 100
+
+
 def test_short_stretches_against_brute_force():
     draw, spell = random.Random(3), substring_dedup.Shingler()
     seen = set()
