@@ -62,6 +62,21 @@ def forget(*tables: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bits of the filter that tells rows that are surely not among others.
+FILTER_BITS = 1 << 23
+
+
+def likely_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key may be among ids (key): all that are and, the more ids there are, some that aren't.
+
+    The filter has FILTER_BITS bits in at most FILTER_BITS / 64 rows, whatever the tables, so it can be broadcast.
+    """
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("__bits"))
+    held = df.withColumn("__at", bit).join(F.broadcast(words), F.shiftright("__at", 6) == F.col("__word"))
+    return held.where(F.expr("shiftright(__bits, cast(__at % 64 as int)) & 1L") == 1).select(df.columns)
+
+
 def in_order(df: DataFrame, keys: list[Column], label: str) -> DataFrame:
     """df in global order of keys, stored, with ``part`` and ``part_row``: rows ascend with (part, part_row)."""
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
