@@ -16,6 +16,7 @@ Control strings inside texts are marked with a backslash, and backslashes too, w
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -68,8 +69,12 @@ _tokenizers: dict = {}
 
 
 def tokenizer(path: str):
-    """A byte-level tokenizer whose special strings are ordinary text inside turns; one a worker process."""
+    """A byte-level tokenizer whose special strings are ordinary text inside turns; one a worker process.
+
+    It runs on the task's own core: threads of its own would each hold memory that the executor doesn't know of.
+    """
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
@@ -78,7 +83,7 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of few rows: a tokenizer's answers are many times larger than its texts."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -126,7 +131,7 @@ def encoded_nodes(nodes: DataFrame, tokenizer_path: str) -> DataFrame:
         tok = tokenizer(tokenizer_path)
         for batch in in_slices(batches):
             written = [parts(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
-            found = tok.encode_batch([p for three in written for p in three], add_special_tokens=False)
+            found = tok.encode_batch_fast([p for three in written for p in three], add_special_tokens=False)
             ids, loss, counts = [], [], []
             for i, role in enumerate(batch.column("role").to_pylist()):
                 three = [f.ids for f in found[3 * i : 3 * i + 3]]
@@ -176,7 +181,7 @@ def prefix_tree(
     spots = stored(spots.withColumn("before", F.coalesce(before, F.lit(0))), "spots")
     starts = part_starts(spots, "part", F.col("n_tokens"))  # a row a part
     start = F.col("part_start") + F.col("before")
-    spots = spots.join(F.broadcast(starts), "part").select("node", "owner", "part", "n_tokens", start.alias("start"), (start + F.col("n_tokens")).alias("end"))
+    spots = spots.join(F.broadcast(starts), "part").select("node", "owner", "n_tokens", start.alias("start"), (start + F.col("n_tokens")).alias("end"))
     # Each turn's interval, by conversation; a node of very many conversations is a hot key that the join may split.
     turns_at = rows.select("line", "conv", "depth", "node").join(spots.select("node", "owner", "start", "end"), "node")
     turns_at = stored(turns_at.select("line", "conv", "depth", "owner", "start", "end"), "placed")
@@ -190,9 +195,12 @@ def prefix_tree(
     own = F.struct(F.col("begin").alias("start"), F.col("start").alias("end"))
     ancestors = F.when(F.col("start") > F.col("begin"), F.concat("above", F.array(own))).otherwise(F.col("above"))
     position = F.aggregate("above", F.col("start") - F.col("begin"), lambda a, x: a + x["end"] - x["start"])
-    where = spots.join(heads, "owner").select("node", "part", "start", position.alias("position"), ancestors.alias("ancestors"))
+    # Shards of the stream hold about as many tokens each, however the conversations lie in parts.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stream = encoded.drop("n_turns").join(where, "node").repartitionById(parts, F.col("part")).sortWithinPartitions("part", "start")
+    total = encoded.agg(F.sum("n_tokens")).first()[0] or 1
+    shard = F.least(F.floor(F.col("start") * F.lit(parts) / F.lit(total)), F.lit(parts - 1)).cast("int")
+    where = spots.join(heads, "owner").select("node", shard.alias("shard"), "start", position.alias("position"), ancestors.alias("ancestors"))
+    stream = encoded.drop("n_turns").join(where, "node").repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "start")
     stream = stream.select("node", "depth", "start", "n_tokens", "ids", "loss", "position", "ancestors")
     return stored(stream, "stream"), turns_at.select("line", "conv", "depth", "start", "end")
 
