@@ -9,12 +9,17 @@ No pair within the radius is missed, whatever the data.
 Only distinct fingerprints are keyed, so copies cost nothing. Buckets of any size are compared exactly:
 large ones are cut into chunks, and each pair of chunks is a task of its own. A bucket hands on a
 star a group and not its pairs, so the rows made stay in proportion to its members.
+
+``near_duplicates`` links by fingerprints of word shingles alone. ``similar_texts`` asks for a similarity of texts: five-word shingles of two
+texts that share 0.8 of them differ in ten bits, which no few tables cover, so it keys fingerprints of the distinct words and word
+pairs, which an edit hardly moves, takes pairs within TEXT_RADIUS for candidates, and compares their shingles exactly.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import connected_components, stored
+from loomgraph.llm.common import connected_components, forget, likely_among, stored
 
 SEED = 42
 WIDTH = 4
 RADIUS = 4
 #: Members of one chunk of a large bucket.
 CHUNK = 1024
+#: Shingles, similarity and radius of candidates where texts are compared.
+TEXT_WIDTH = 5
+SIMILARITY = 0.8
+TEXT_RADIUS = 6
+#: Members of a bucket with more neighbours than this hand on two of them a round and not all.
+FEW = 12
 #: Bits of the filter that is broadcast to tell rows that surely stay.
 FILTER_BITS = 1 << 23
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -122,8 +133,40 @@ def stars(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def bucket_links(members: DataFrame, radius: int, name: str) -> DataFrame:
-    """(a, b) among members (bucket columns, side, fp, node), which lie together and in order of their bucket."""
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def star_links(p: np.ndarray, q: np.ndarray, table: pa.Table) -> Found:
+    """A star for each set of members that links connect."""
+    node = table.column("node").to_numpy()
+    label = stars(p, q, len(node))
+    far = np.flatnonzero(node[label] != node)
+    return node[label][far], node[far], np.ones(len(far), bool)
+
+
+def direct_links(p: np.ndarray, q: np.ndarray, table: pa.Table, turn: int, similarity: float) -> Found:
+    """The links whose ends may be similar by their numbers of shingles: all of members with few, the first and last of the others in an order of this turn."""
+    node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
+    may = (node[p] != node[q]) & (np.minimum(size[p], size[q]) >= similarity * np.maximum(size[p], size[q]))
+    p, q = p[may], q[may]
+    degree = np.bincount(p, minlength=len(node)) + np.bincount(q, minlength=len(node))
+    few = (degree[p] <= FEW) & (degree[q] <= FEW)
+    x, y = np.concatenate([p[~few], q[~few]]), np.concatenate([q[~few], p[~few]])
+    draw = np.argsort(blended(node.astype(np.int64).view(np.uint64) + np.uint64(turn)), kind="stable")
+    rank = np.empty(len(node), np.int64)
+    rank[draw] = np.arange(len(node))
+    first, last = np.full(len(node), len(node)), np.full(len(node), -1)
+    np.minimum.at(first, x, rank[y])
+    np.maximum.at(last, x, rank[y])
+    many = np.unique(x)
+    a = np.concatenate([p[few], many, many])
+    b = np.concatenate([q[few], draw[first[many]], draw[last[many]]])
+    whole = np.arange(len(a)) < int(few.sum())
+    return np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), whole
+
+
+def bucket_links(members: DataFrame, radius: int, choose: Callable[[np.ndarray, np.ndarray, pa.Table], Found]) -> DataFrame:
+    """(a, b, whole) among members (bucket columns, side, fp, node), which lie together and in order of their bucket: what choose takes of the links."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -135,11 +178,8 @@ def bucket_links(members: DataFrame, radius: int, name: str) -> DataFrame:
                 change[1:] |= c[1:] != c[:-1]
             x = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
             p, q = close_pairs(x, np.cumsum(change), table.column("side").to_numpy(), radius)
-            label = stars(p, q, len(x))
-            node = table.column("node").to_numpy()
-            far = np.flatnonzero(node[label] != node)
-            edges = np.unique(np.stack([node[label][far], node[far]], axis=1), axis=0)
-            return pa.record_batch([pa.array(edges[:, 0], pa.int64()), pa.array(edges[:, 1], pa.int64())], names=["a", "b"])
+            edges = np.unique(np.stack(choose(p, q, table), axis=1).astype(np.int64), axis=0)
+            return pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(edges[:, 2] > 0)], names=["a", "b", "whole"])
 
         def last_bucket(batch: pa.RecordBatch) -> tuple:
             return tuple(batch.column(c)[-1].as_py() for c in ("v", "key", "i", "j"))
@@ -162,25 +202,30 @@ def bucket_links(members: DataFrame, radius: int, name: str) -> DataFrame:
         if held:
             yield run(pa.Table.from_batches(held))
 
-    return members.mapInArrow(link, "a long, b long")
+    return members.mapInArrow(link, "a long, b long, whole boolean")
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links among nodes (node long, fp long) with distinct fp that connect all within the radius."""
+def bucket_members(nodes: DataFrame, radius: int) -> DataFrame:
+    """The members of all buckets of nodes (node long, fp long and more), a bucket's or pair of chunks' together and in order."""
     masks = covering_masks(radius)
-    keys = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("v", "key"))
+    keys = nodes.select(*nodes.columns, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("v", "key"))
     shared = keys.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = keys.join(shared, ["v", "key"])
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    members = members.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("fp"), chunks).cast("int")})
+    members = members.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     alone = F.col("chunk") == F.col("other")
     members = members.select(
         "v", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        F.when(alone, 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).alias("side"), "fp", "node",
+        F.when(alone, 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).alias("side"), *nodes.columns,
     )
     bucket = ["v", "key", "i", "j"]
-    return bucket_links(members.repartition(*bucket).sortWithinPartitions(*bucket, "fp"), radius, "links")
+    return members.repartition(*bucket).sortWithinPartitions(*bucket, "fp", "node")
+
+
+def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links among nodes (node long, fp long) with distinct fp that connect all within the radius."""
+    return bucket_links(bucket_members(nodes, radius), radius, star_links).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
@@ -199,18 +244,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(stored(classes, "classes"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def blended(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of unsigned 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(text: str | None) -> tuple[bytes, np.ndarray]:
+    """The words in lower case with one space between, and a hash of each."""
+    found = (text or "").encode().translate(_LOWER).split()
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(found)}
+    return b" ".join(found), np.fromiter((known[w] for w in found), np.uint64, len(found))
+
+
+def hashed_shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """The distinct hashes of the runs of width words; of fewer words, that of all."""
+    n = max(len(h) - width + 1, min(len(h), 1))
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, len(h))):
+        out = blended(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+    return np.unique(out)
+
+
+def text_marks(text: str | None, width: int = TEXT_WIDTH) -> tuple[bytes, int, int]:
+    """Digest of the words, fingerprint of the distinct words and word pairs, number of distinct shingles."""
+    joined, h = hashed_words(text)
+    parts = np.concatenate([np.unique(h), hashed_shingles(h, 2)])
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(parts), _STEP):
+        ones += np.unpackbits(parts[at : at + _STEP].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * ones > len(parts), bitorder="little").view("<u8")[0]
+    return xxhash.xxh3_128_digest(joined), int(bits), len(hashed_shingles(h, width))
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """pairs (a, b, whole) of doc_ids of docs (doc_id, text), stored, with ``same``: whether their sets of shingles are so similar."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = likely_among(docs, "doc_id", ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashed_shingles(hashed_words(t.as_py())[1], width).tobytes() for t in batch.column("text")]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "held"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("whole"), pa.array(same, pa.bool_())], names=["a", "b", "whole", "same"])
+
+    sets = stored(texts.mapInArrow(shingles, "doc_id long, held binary"), "shingles")
+    sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
+    told = stored(sides.select("a", "b", "whole", "x", "y").mapInArrow(compare, "a long, b long, whole boolean, same boolean"), "told")
+    forget(sets)
+    return told
+
+
+def similar_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = TEXT_RADIUS, width: int = TEXT_WIDTH
+) -> DataFrame:
+    """doc_id, component_id: a row for each row of docs.
+
+    Texts of the same words are linked, and those whose sets of width-word shingles have a Jaccard similarity of at least ``similarity`` and whose
+    fingerprints of words and word pairs differ in at most radius bits. component_id is the least doc_id that links reach. Of a text with more than
+    FEW neighbours in a bucket two are compared; those for whom this fails meet others in further rounds, until a round links none. Null, empty and
+    blank texts have the same (no) words. Ids are integers and are taken to name one text each; rows with a null id have no part in links, and a null
+    component_id unless others have their words. An empty table gives an empty one. Other columns are not looked at.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, fps, sizes = zip(*(text_marks(t.as_py(), width) for t in batch.column("text"))) if batch.num_rows else ((), (), ())
+            columns = [pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", "digest", "fp", "size"])
+
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = stored(held.mapInArrow(mark, "doc_id long, digest binary, fp long, size long"), "marks")
+    nodes = stored(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")), "texts")
+    asked, links, turn = nodes.where("node is not null").select("node", "fp", "size"), None, 0
+    while True:
+        chosen = bucket_links(bucket_members(asked, radius), radius, partial(direct_links, turn=turn, similarity=similarity))
+        pairs = chosen.groupBy("a", "b").agg(F.max("whole").alias("whole"))
+        told = similar_pairs(held, stored(pairs, "pairs"), similarity, width)
+        same = told.where("same").select("a", "b")
+        links = same if links is None else links.union(same)
+        failed = told.where("not whole and not same").select("a", "b")
+        if failed.isEmpty() or same.isEmpty():
+            break
+        asked = asked.join(failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct(), "node", "left_semi")
+        turn += 1
+    components = connected_components(links, "components")
+    classes = nodes.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return found.join(stored(classes, "classes"), "digest", "left").select("doc_id", "component_id")
+
+
 def fingerprint_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
-    """The rows of docs that stand for their group of near duplicates: the least doc_id's, one of its repeated rows.
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = TEXT_RADIUS, width: int = TEXT_WIDTH
+) -> DataFrame:
+    """The rows of docs that stand for their group of similar texts: the least doc_id's, one of its repeated rows.
 
     Rows with null ids stay. All columns are kept. A bit filter of fixed size lets most rows that stay pass where they are; only
     those that it cannot tell are joined with the ids in question. However full it is, the result is the same.
     """
     columns = [F.col(c) for c in docs.columns]
-    found = near_duplicates(docs, id_col, text_col, radius, width)
+    found = similar_texts(docs, id_col, text_col, similarity, radius, width)
     # Ids that go, and ids whose rows must be counted: all others stay without being moved.
     asked = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.expr("max(cast(doc_id <> component_id AS int))").alias("goes"))
     asked = stored(asked.where("n > 1 or goes = 1"), "asked")

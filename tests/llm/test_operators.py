@@ -654,6 +654,48 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     assert [root(i) for i in range(len(prints))] == brute_components(range(len(prints)), prints)
 
 
+def jaccard(x, y, width=5):
+    def sets(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    return len(sets(x) & sets(y)) / len(sets(x) | sets(y))
+
+
+@pytest.mark.parametrize("few", [0, 12])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    draw = random.Random(11)
+    rows = [(i, words(i, 40), "s") for i in range(30)]
+    for i in range(100, 300):
+        base = words(i % 12, 200).split()
+        for _ in range(draw.randint(0, 5)):
+            base[draw.randrange(len(base))] = words(draw.randrange(10**6), 1)
+        rows.append((i, " ".join(base).upper() if i % 3 else "  ".join(base), "s"))
+    rows += [(400, None, "s"), (401, "", "s"), (402, " \n", "s"), (403, "one two", "s"), (404, "two one", "s"), (None, rows[40][1], "s"), (None, "alone", "s")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(make(spark, rows).repartition(4)).collect() if r.doc_id is not None}
+    texts = {i: t or "" for i, t, _ in rows if i is not None}
+    ids = sorted(texts)
+    label = {i: i for i in ids}
+    changed = True
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if jaccard(texts[a], texts[b]) >= 0.8]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(label[i] == label[got[i]] for i in ids), "no text joins others without a link"
+
+
+def test_similar_texts_of_odd_rows(odd, none):
+    assert simhash.similar_texts(none).count() == 0
+    got = simhash.similar_texts(odd).collect()
+    assert len(got) == odd.count()
+    assert {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}
+
+
 # 9: HTML
 
 
