@@ -39,7 +39,9 @@ TEXT_WIDTH = 5
 SIMILARITY = 0.8
 TEXT_RADIUS = 6
 #: Members of a bucket with more neighbours than this hand on two of them a round and not all.
-FEW = 12
+FEW = 24
+#: Keys that one task makes.
+TASK_KEYS = 1_000_000
 #: Bits of the filter that is broadcast to tell rows that surely stay.
 FILTER_BITS = 1 << 23
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -136,36 +138,45 @@ def stars(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def star_links(p: np.ndarray, q: np.ndarray, table: pa.Table) -> Found:
+def star_links(table: pa.Table, group: np.ndarray, radius: int) -> Found:
     """A star for each set of members that links connect."""
     node = table.column("node").to_numpy()
+    p, q = close_pairs(table.column("fp").to_numpy().astype(np.int64).view(np.uint64), group, table.column("side").to_numpy(), radius)
     label = stars(p, q, len(node))
     far = np.flatnonzero(node[label] != node)
     return node[label][far], node[far], np.ones(len(far), bool)
 
 
-def direct_links(p: np.ndarray, q: np.ndarray, table: pa.Table, turn: int, similarity: float) -> Found:
+def direct_links(table: pa.Table, group: np.ndarray, radius: int, turn: int, similarity: float) -> Found:
     """The links whose ends may be similar by their numbers of shingles: all of members with few, the first and last of the others in an order of this turn."""
-    node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
+    node, size, side = (table.column(c).to_numpy() for c in ("node", "size", "side"))
+    x = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+    small = np.flatnonzero(np.bincount(group)[group] <= FEW)
+    p, q = close_pairs(x[small], group[small], side[small], radius) if len(small) else (small, small)
+    p, q = small[p], small[q]
     may = (node[p] != node[q]) & (np.minimum(size[p], size[q]) >= similarity * np.maximum(size[p], size[q]))
-    p, q = p[may], q[may]
-    degree = np.bincount(p, minlength=len(node)) + np.bincount(q, minlength=len(node))
-    few = (degree[p] <= FEW) & (degree[q] <= FEW)
-    x, y = np.concatenate([p[~few], q[~few]]), np.concatenate([q[~few], p[~few]])
-    draw = np.argsort(blended(node.astype(np.int64).view(np.uint64) + np.uint64(turn)), kind="stable")
-    rank = np.empty(len(node), np.int64)
-    rank[draw] = np.arange(len(node))
-    first, last = np.full(len(node), len(node)), np.full(len(node), -1)
-    np.minimum.at(first, x, rank[y])
-    np.maximum.at(last, x, rank[y])
-    many = np.unique(x)
-    a = np.concatenate([p[few], many, many])
-    b = np.concatenate([q[few], draw[first[many]], draw[last[many]]])
-    whole = np.arange(len(a)) < int(few.sum())
-    return np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), whole
-
-
-def bucket_links(members: DataFrame, radius: int, choose: Callable[[np.ndarray, np.ndarray, pa.Table], Found]) -> DataFrame:
+    found = [(p[may], q[may], np.ones(int(may.sum()), bool))]
+    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    for s, e in zip(bounds[:-1], bounds[1:]):
+        if e - s <= FEW:
+            continue
+        at = s + np.argsort(blended(node[s:e].astype(np.int64).view(np.uint64) + np.uint64(turn)), kind="stable")
+        for i in range(0, e - s, 256):
+            row = at[i : i + 256]
+            near = np.bitwise_count(x[row, None] ^ x[None, at]) <= radius
+            near &= np.minimum(size[row, None], size[None, at]) >= similarity * np.maximum(size[row, None], size[None, at])
+            near &= ((side[row, None] == 0) | (side[row, None] != side[None, at])) & (node[row, None] != node[None, at])
+            degree = near.sum(axis=1)
+            few, many = np.flatnonzero((degree > 0) & (degree <= FEW)), np.flatnonzero(degree > FEW)
+            r, c = np.nonzero(near[few])
+            found.append((row[few][r], at[c], np.ones(len(r), bool)))
+            for c in (near[many].argmax(axis=1), len(at) - 1 - near[many, ::-1].argmax(axis=1)):
+                found.append((row[many], at[c], np.zeros(len(many), bool)))
+    p, q, whole = (np.concatenate(c) for c in zip(*found))
+    return np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), whole
+
+
+def bucket_links(members: DataFrame, radius: int, choose: Callable[[pa.Table, np.ndarray, int], Found]) -> DataFrame:
     """(a, b, whole) among members (bucket columns, side, fp, node), which lie together and in order of their bucket: what choose takes of the links."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +187,7 @@ def bucket_links(members: DataFrame, radius: int, choose: Callable[[np.ndarray,
             change = np.zeros(len(columns[0]), bool)
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
-            x = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-            p, q = close_pairs(x, np.cumsum(change), table.column("side").to_numpy(), radius)
-            edges = np.unique(np.stack(choose(p, q, table), axis=1).astype(np.int64), axis=0)
+            edges = np.unique(np.stack(choose(table, np.cumsum(change), radius), axis=1).astype(np.int64), axis=0)
             return pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(edges[:, 2] > 0)], names=["a", "b", "whole"])
 
         def last_bucket(batch: pa.RecordBatch) -> tuple:
@@ -208,6 +217,7 @@ def bucket_links(members: DataFrame, radius: int, choose: Callable[[np.ndarray,
 def bucket_members(nodes: DataFrame, radius: int) -> DataFrame:
     """The members of all buckets of nodes (node long, fp long and more), a bucket's or pair of chunks' together and in order."""
     masks = covering_masks(radius)
+    nodes = nodes.repartition(-(-nodes.count() * len(masks) // TASK_KEYS) or 1)
     keys = nodes.select(*nodes.columns, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("v", "key"))
     shared = keys.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = keys.join(shared, ["v", "key"])
