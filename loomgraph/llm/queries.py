@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontamination, html_extract, media, mixing, pii, simhash, substring_dedup, token_output, toxicity
+from loomgraph.llm import chat, decontamination, html_extract, line_dedup, media, mixing, pii, simhash, substring_dedup, token_output, toxicity
 from loomgraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +65,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(read(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_token_output, op2_substring_dedup, op3_source_mixing, op4_pii_surrogates, op5_toxicity, op6_chat_prefix_tree, op7_decontamination,
+    op8_simhash, op9_html_extraction, op10_media_columns, op12_line_dedup,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op3_source_mixing, op4_pii_surrogates, op5_toxicity, op6_chat_prefix_tree, op7_decontamination, op8_simhash, op9_html_extraction, op10_media_columns)}
+    return {f.__name__: f for f in QUERIES}
 
 
 #: The same water-filling and sampling over the same draws, in windows over whole sources.
@@ -100,5 +110,16 @@ FROM k GROUP BY conv_id, lone
 """
 
 
+#: The first document of a key among those that hold it keeps its lines.
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.*, first IS NOT NULL AND first <> doc_id AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": MIXING_SQL, "op6_chat_prefix_tree": CHAT_SQL}
+    return {"op3_source_mixing": MIXING_SQL, "op6_chat_prefix_tree": CHAT_SQL, "op12_line_dedup": LINES_SQL}
