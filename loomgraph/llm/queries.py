@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontamination, html_extract, line_dedup, media, mixing, pii, simhash, substring_dedup, token_output, toxicity
+from loomgraph.llm import chat, decontamination, html_extract, line_dedup, media, mixing, pii, resampling, simhash, substring_dedup, token_output, toxicity
 from loomgraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,13 +65,17 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(read(spark, sf_dir, "documents"))
 
 
 QUERIES = (
     op1_token_output, op2_substring_dedup, op3_source_mixing, op4_pii_surrogates, op5_toxicity, op6_chat_prefix_tree, op7_decontamination,
-    op8_simhash, op9_html_extraction, op10_media_columns, op12_line_dedup,
+    op8_simhash, op9_html_extraction, op10_media_columns, op11_importance_resampling, op12_line_dedup,
 )
 
 
