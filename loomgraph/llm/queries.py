@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontamination, html_extract, line_dedup, media, mixing, pii, resampling, simhash, substring_dedup, token_output, toxicity
+from loomgraph.llm import alignment, chat, decontamination, html_extract, line_dedup, media, mixing, pii, resampling, simhash, substring_dedup, token_output, toxicity
 from loomgraph.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,13 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(read(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = (
     op1_token_output, op2_substring_dedup, op3_source_mixing, op4_pii_surrogates, op5_toxicity, op6_chat_prefix_tree, op7_decontamination,
-    op8_simhash, op9_html_extraction, op10_media_columns, op11_importance_resampling, op12_line_dedup,
+    op8_simhash, op9_html_extraction, op10_media_columns, op11_importance_resampling, op12_line_dedup, op13_tokenizer_alignment,
 )
 
 
