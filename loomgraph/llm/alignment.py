@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the same texts, and how surely a token of one stands for one of the other.
 
 Both tokenizers cut the bytes of a text. Where tokens of both end at the same byte, a group ends. Ends are compared as arrays, by diagonal runs: at
-the current shift between the two indices, ends are compared in stretches of doubling length until they differ, and the last stretch is halved to find where.
+the current shift between the two indices, ends are compared in stretches of doubling length until they differ.
 All that agrees are groups of one token each; the irregular group behind is resolved by stepping along the lesser end, and
-gives the new shift. A run costs a logarithm of its length in comparisons of memory.
+gives the new shift.
 
 Tokens of a group are linked, each of one side with each of the other. Links are kept by document as distinct pairs with their number, pairs are counted over
 documents before they are moved, and the counts come back by one of two ways that give the same: as a broadcast table where their
@@ -29,8 +29,8 @@ from loomgraph.llm.common import forget, stored
 MOST_PAIRS = 2_000_000
 #: Ids of the second tokenizer in a pair's number.
 WIDE = 1 << 32
-#: Words that a worker keeps at most.
-MOST_WORDS = 300_000
+#: Parts of texts that a worker keeps at most for a tokenizer.
+MOST_PARTS = 400_000
 #: Bytes of text that are encoded at once.
 _SLICE = 1 << 21
 #: Links of one group that are written out one by one; those of larger groups are counted by id.
@@ -45,15 +45,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level tokenizer file: ids and bytes of texts, special strings being ordinary text.
-
-    Texts of old letters are cut into words by the pattern that such tokenizers cut by, and each distinct word is encoded once, by the library. Other texts are
-    encoded whole, since libraries may differ in what they call a letter.
-    """
-
-    #: Characters whose classes have not changed between versions of Unicode, and on which all pattern libraries agree.
-    STRANGE = re.compile(r"[^\t-\r -~\xa1-ɏ]")
-    CUT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    """A byte-level tokenizer file, special strings being ordinary text."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,84 +58,136 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for piece, i in vocabulary.items():
             self.bytes[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
-        self.words: dict[str, list[int]] = {}
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.words) > MOST_WORDS:
-            self.words = {}
-        out: list[list[int] | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.STRANGE.search(t)]
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = e.ids
-        cut = {i: self.CUT.findall(t) for i, t in enumerate(texts) if out[i] is None}
-        new = list({w for ws in cut.values() for w in ws} - self.words.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = e.ids
-        for i, ws in cut.items():
-            out[i] = [k for ids in map(self.words.__getitem__, ws) for k in ids]
-        return out
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
-    """A SentencePiece model: ids and bytes of texts."""
+    """A SentencePiece model, which puts a space before each text: its tokens spell texts that begin with one."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
-        self.bytes = []
-        for i in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(i)
-            self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.plain = [p for i, p in enumerate(pieces) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
+        self.behind = len(self.model.encode("\n"))
+        self.space = self.model.piece_to_id("▁")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        # What has no space before it is encoded behind a line break, which no piece has (see Pair). A space alone would be no text to the model.
+        found = self.model.encode([t[1:] if t[:1] == " " else "\n" + t for t in texts], num_threads=1)
+        return [[self.space] if t == " " else ids if t[:1] == " " else ids[self.behind :] for t, ids in zip(texts, found)]
 
 
-@lru_cache(maxsize=4)
-def loaded(path: str) -> ByteLevel | Pieces:
-    """The tokenizer of a file, read once a worker: JSON files are byte-level, others are models of pieces."""
-    return ByteLevel(path) if path.endswith(".json") else Pieces(path)
+class Pair:
+    """Ids by two tokenizers of texts that begin with a space, None where tokens of either do not spell the text.
 
+    Texts of plain letters are cut into parts, and each distinct part is encoded once, by the libraries. The cut is that of byte-level tokenizers. The other's merges make
+    pieces, so none crosses between two characters that no piece has side by side: where each of its pieces holds letters or digits or other characters
+    alone, after spaces, it keeps within the same parts. Texts in which the two would cut differently (spaces in a row, letters behind a contraction), or with characters that libraries may class
+    differently, are encoded whole.
+    """
 
-def agreeing(x: bytes, y: bytes, i: int, j: int, most: int) -> int:
-    """How many of the 8-byte ends from i in x and from j in y agree one by one, at most ``most``."""
-    good, step = 0, 1
-    while good < most:
-        upto = min(good + step, most)
-        if x[8 * (i + good) : 8 * (i + upto)] != y[8 * (j + good) : 8 * (j + upto)]:
-            break
-        good, step = upto, 2 * step
-    else:
-        return most
-    bad = upto  # not all of good .. bad agree
-    while bad - good > 1:
-        middle = (good + bad) // 2
-        if x[8 * (i + good) : 8 * (i + middle)] == y[8 * (j + good) : 8 * (j + middle)]:
-            good = middle
-        else:
-            bad = middle
-    return good
+    LETTER, DIGIT = r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]", "[0-9]"
+    CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?{LETTER}+| ?{DIGIT}+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    WHOLE = re.compile(rf"[^\n -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]|  |'(?:s|t|re|ve|m|ll|d){LETTER}| $")
+
+    def __init__(self, path_a: str, path_b: str) -> None:
+        self.both = [ByteLevel(p) if p.endswith(".json") else Pieces(p) for p in (path_a, path_b)]
+        kinds = [type(t) for t in self.both]
+        self.cuts = kinds == [ByteLevel, Pieces] and all(self.alike(p.lstrip("▁")) for p in self.both[1].plain)
+        self.parts: dict[str, tuple[bytes | None, ...]] = {}
+
+    def alike(self, piece: str) -> bool:
+        """Whether the characters of piece are of one kind."""
+        if "▁" in piece or "\n" in piece:
+            return False
+        return len({(re.match(self.LETTER, c) is None) + (re.match(r"\d|[\xb2\xb3\xb9\xbc-\xbe]", c) is None) * 2 for c in piece if not self.WHOLE.search(c)}) < 2
+
+    @staticmethod
+    def checked(tokenizer: ByteLevel | Pieces, texts: list[str]) -> list[bytes | None]:
+        """For each text its ids as 4-byte integers."""
+        spelled = lambda text, ids: b"".join(map(tokenizer.bytes.__getitem__, ids)) == text.encode()
+        return [np.array(ids, "<u4").tobytes() if spelled(text, ids) else None for text, ids in zip(texts, tokenizer.encode(texts))]
+
+    def words(self, tokenizer: ByteLevel | Pieces, words: list[str]) -> list[bytes | None]:
+        """The ids of words that each begin with a space: encoded some hundred at a time, as one text that falls apart at these spaces again."""
+        out: list[bytes | None] = []
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            text = "".join(some)
+            ids = np.array(tokenizer.encode([text])[0], "<u4")
+            token_ends, ends = np.cumsum(tokenizer.lengths[ids]), np.cumsum([len(w.encode()) for w in some])
+            upto = np.searchsorted(token_ends, ends) + 1
+            if b"".join(map(tokenizer.bytes.__getitem__, ids.tolist())) == text.encode() and (token_ends[upto - 1] == ends).all():
+                raw, bounds = ids.tobytes(), [0, *(4 * upto).tolist()]
+                out += [raw[p:q] for p, q in zip(bounds[:-1], bounds[1:])]
+            else:
+                out += self.checked(tokenizer, some)
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        if len(self.parts) > MOST_PARTS:
+            self.parts = {}
+        parts = self.parts
+        cut = [self.CUT.findall(t) if self.cuts and not self.WHOLE.search(t) else None for t in texts]
+        new = {w for ws in cut if ws for w in ws if w not in parts}
+        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        rest = list(new.difference(words))
+        parts.update(zip(words, zip(*(self.words(t, words) for t in self.both))))
+        parts.update(zip(rest, zip(*(self.checked(t, rest) for t in self.both))))
+        alone = [t for t, ws in zip(texts, cut) if ws is None]
+        whole = iter([*zip(*(self.checked(t, alone) for t in self.both))])
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for ws in cut:
+            held = [next(whole)] if ws is None else list(map(parts.__getitem__, ws))
+            both = [[h[k] for h in held] for k in (0, 1)]
+            out.append(None if any(None in raw for raw in both) else tuple(np.frombuffer(b"".join(raw), "<u4").astype(np.int64) for raw in both))
+        return out
+
+
+@lru_cache(maxsize=2)
+def loaded(path_a: str, path_b: str) -> Pair:
+    """The tokenizers of two files, read once a worker: JSON files are byte-level, others are models of pieces."""
+    return Pair(path_a, path_b)
+
+
+#: Ends that are compared first.
+_PROBE = 32
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many of the ends from i in a and from j in b agree one by one, compared in stretches of doubling length."""
+    good, step = 0, _PROBE
+    while True:
+        x, y = a[i + good : i + good + step], b[j + good : j + good + step]
+        n = min(len(x), len(y))
+        if not n:
+            return good
+        unlike = x[:n] != y[:n]
+        at = int(unlike.argmax())
+        if unlike[at]:
+            return good + at
+        good += n
+        step += step
 
 
 def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the ascending ends a and b of tokens, whose last are equal: how many tokens of each lie before the end of each group."""
-    x, y = a.tobytes(), b.tobytes()
     # Only irregular groups are looked at one by one; as lists, their ends are plain integers.
     u, v = a.tolist(), b.tolist()
-    i = j = 0
-    ends_i, ends_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    at_i, at_j = [], []
-    n, m = len(u), len(v)
+    n, m, i, j = len(u), len(v), 0, 0
+    starts_i, starts_j, lengths = [], [], []
     while i < n:
-        run = agreeing(x, y, i, j, min(n - i, m - j))
-        if run > 8:
-            ends_i += [np.array(at_i, np.int64), np.arange(i + 1, i + run + 1)]
-            ends_j += [np.array(at_j, np.int64), np.arange(j + 1, j + run + 1)]
-            at_i, at_j = [], []
-        elif run:
-            at_i += range(i + 1, i + run + 1)
-            at_j += range(j + 1, j + run + 1)
+        run = agreeing(a, b, i, j)
+        starts_i.append(i)
+        starts_j.append(j)
+        lengths.append(run)
         i += run
         j += run
         if i >= n:
@@ -158,9 +202,19 @@ def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 q = v[j]
         i += 1
         j += 1
-        at_i.append(i)
-        at_j.append(j)
-    return np.concatenate([*ends_i, np.array(at_i, np.int64)]), np.concatenate([*ends_j, np.array(at_j, np.int64)])
+    # A run gives a group for each of its tokens; the irregular group behind it ends where the next run starts.
+    starts_i.append(n)
+    starts_j.append(m)
+    runs = np.array(lengths, np.int64)
+    groups = runs + 1
+    rank = np.arange(int(groups.sum())) - np.repeat(np.cumsum(groups) - groups, groups)
+    last = rank == np.repeat(runs, groups)
+    ends = []
+    for starts in (np.array(starts_i, np.int64), np.array(starts_j, np.int64)):
+        ends.append(np.where(last, np.repeat(starts[1:], groups), np.repeat(starts[:-1], groups) + rank + 1))
+    # Behind the last run there may be no irregular group.
+    most = len(rank) - (len(runs) > 0 and starts_i[-2] + lengths[-1] == n)
+    return ends[0][:most], ends[1][:most]
 
 
 def linked(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -186,13 +240,23 @@ def linked(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray)
     return found, times, int((p * q).sum())
 
 
-def spelled(a: list[str], b: list[str], ends_a: np.ndarray, ends_b: np.ndarray) -> str:
-    """The groups in decimal ids: a1,a2|b1;a3|b2,b3."""
-    parts, i, j = [], 0, 0
-    for x, y in zip(ends_a.tolist(), ends_b.tolist()):
-        parts.append(a[i] + "|" + b[j] if x - i == 1 == y - j else ",".join(a[i:x]) + "|" + ",".join(b[j:y]))
-        i, j = x, y
-    return ";".join(parts)
+class Speller:
+    """Groups in decimal ids: a1,a2|b1;a3|b2,b3."""
+
+    def __init__(self, n_a: int, n_b: int) -> None:
+        self.places = 0, n_a, 2 * n_a, 2 * n_a + n_b
+        self.pieces = [f"{k}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for k in range(n)]
+
+    def spell(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
+        if not len(ends_a):
+            return ""
+        order = np.zeros(len(a) + len(b), np.int64)
+        for ids, ends, before, first in ((a, ends_a, np.concatenate([[0], ends_b[:-1]]), 0), (b, ends_b, ends_a, 2)):
+            inner, last = self.places[first : first + 2]
+            kind = np.full(len(ids), inner)
+            kind[ends - 1] = last
+            order[np.arange(len(ids)) + np.repeat(before, np.diff(ends, prepend=0))] = ids + kind
+        return "".join(map(self.pieces.__getitem__, order.tolist()))[:-1]
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = False) -> DataFrame:
@@ -204,21 +268,19 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = False
     kinds = f"id {dict(docs.dtypes)['id']}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
     nothing = (0, 0, 0, 0, "", b"", b"", "")
 
-    def align(text: str, ids_a: list[int], ids_b: list[int], names_a: list[str], names_b: list[str], bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple:
-        whole = b" " + text.encode()
-        cut_a, cut_b = [bytes_a[k] for k in ids_a], [bytes_b[k] for k in ids_b]
-        if not text or b"".join(cut_a) != whole or b"".join(cut_b) != whole:
+    def align(text: str, ids: tuple[np.ndarray, np.ndarray] | None, pair: Pair, speller: Speller) -> tuple:
+        if not text or ids is None:
             return nothing
-        ends = [np.cumsum(np.fromiter(map(len, c), np.int64, len(c))) for c in (cut_a, cut_b)]
-        ends_a, ends_b = group_ends(*ends)
-        pairs, times, n_links = linked(np.array(ids_a, np.int64), np.array(ids_b, np.int64), ends_a, ends_b)
-        groups = spelled([names_a[k] for k in ids_a], [names_b[k] for k in ids_b], ends_a, ends_b)
+        a, b = ids
+        ends_a, ends_b = group_ends(*(np.cumsum(t.lengths[k]) for t, k in zip(pair.both, ids)))
+        pairs, times, n_links = linked(a, b, ends_a, ends_b)
+        groups = speller.spell(a, b, ends_a, ends_b)
         held = pairs.astype("<i8").tobytes(), times.astype("<i8").tobytes()
-        return len(ids_a), len(ids_b), len(ends_a), n_links, hashlib.sha256(groups.encode()).hexdigest(), *held, groups
+        return len(a), len(b), len(ends_a), n_links, hashlib.sha256(groups.encode()).hexdigest(), *held, groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ta, tb = loaded(path_a), loaded(path_b)
-        names_a, names_b = [*map(str, range(len(ta.bytes)))], [*map(str, range(len(tb.bytes)))]
+        pair = loaded(path_a, path_b)
+        speller = Speller(*(len(t.bytes) for t in pair.both))
         names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"] + ["groups"] * keep_groups
         types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()] + [pa.string()] * keep_groups
         for batch in batches:
@@ -228,7 +290,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = False
                 size += len(texts[-1])
                 if size < _SLICE and at + 1 < batch.num_rows:
                     continue
-                rows = [align(t, a, b, names_a, names_b, ta.bytes, tb.bytes) for t, a, b in zip(texts, ta.encode([" " + t for t in texts]), tb.encode(texts))]
+                rows = [align(t, ids, pair, speller) for t, ids in zip(texts, pair.encode([" " + t for t in texts]))]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), types)]
                 yield pa.record_batch([batch.column("id").slice(first, len(texts)), *columns], names=["id", *names])
                 texts, first, size = [], at + 1, 0
