@@ -164,8 +164,9 @@ def test_alignment_against_brute_force(spark, odd):
             a, b = [], []
         ends = [np.cumsum([len(f(k)) for k in ids]).astype(int).tolist() for f, ids in ((of_a, a), (of_b, b))]
         groups, x, y = [], 0, 0
-        for end in sorted(set(ends[0]) & set(ends[1])):
-            p, q = ends[0].index(end) + 1, ends[1].index(end) + 1
+        at_a, at_b = ({end: k + 1 for k, end in enumerate(e)} for e in ends)
+        for end in sorted(at_a.keys() & at_b.keys()):
+            p, q = at_a[end], at_b[end]
             groups.append((a[x:p], b[y:q]))
             x, y = p, q
         links = [(u, v) for p, q in groups for u in p for v in q]
@@ -209,10 +210,15 @@ def test_large_groups_are_counted_by_id(monkeypatch):
     assert whole[2] == by_id[2] == 10 and whole[0].tolist() == by_id[0].tolist() and whole[1].tolist() == by_id[1].tolist() == [4, 2, 2, 1, 1]
 
 
-def test_words_are_those_of_the_tokenizer():
-    ta, whole = alignment.ByteLevel(A), Tokenizer.from_file(A)
-    whole.encode_special_tokens = True
+def test_parts_are_encoded_as_whole_texts_are():
+    pair = alignment.Pair(A, B)
+    assert pair.cuts
     draw = random.Random(9)
-    letters = [*map(chr, [*range(9, 14), *range(32, 127), *range(0xA0, 0x250)]), " ", " ", "\n", "'s", "'ll", "a", "7"]
-    texts = [" " + "".join(draw.choice(letters) for _ in range(60)) for _ in range(500)] + ["", " ", "\n \n", "   a"]
-    assert ta.encode(texts) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    letters = [*map(chr, [*range(9, 14), *range(32, 127), *range(0xA0, 0x250)]), " a", " Z", "\n", "'s", "'ll", "a", "7", "die", "."]
+    texts = [" " + "".join(draw.choice(letters) for _ in range(draw.choice([3, 60]))) for _ in range(1_500)]
+    texts += ["", " ", "\n \n", "   a", " a ", " a  b", " it's", " 'send it'll", " a\n b", " x.\n\nY"] + [" " + " ".join(words(k, 30).title() for _ in range(3)) for k in range(50)]
+    texts = [" " + t.lstrip(" ") for t in texts]
+    got = [None if ids is None else [k.tolist() for k in ids] for ids in pair.encode(texts)]
+    pair.cuts = False
+    assert got == [None if ids is None else [k.tolist() for k in ids] for ids in pair.encode(texts)]
+    assert sum(pair.WHOLE.search(t) is None for t in texts) > 100
