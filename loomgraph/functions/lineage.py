@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,12 +23,53 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
 
 
+#: Where the states that were written here lie, as long as someone holds them.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def state_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-states/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written once, as Parquet, to the shared folder and read from it: columns are pruned and sizes known."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-states/{uuid.uuid4().hex}"
+    path = state_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    state = spark.read.schema(df.schema).parquet(path)
+    _paths[state] = path
+    return state
+
+
+def measured(df: DataFrame, **numbers: Column) -> tuple[DataFrame, dict]:
+    """df checkpointed, and aggregates over its rows, taken while it is written: one job instead of two."""
+    seen = Observation()
+    state = checkpointed(df.observe(seen, *[c.alias(n) for n, c in numbers.items()]))
+    return state, seen.get
+
+
+def forget(*states: DataFrame) -> None:
+    """Deletes written states that nothing lazy reads any longer; frames that were not written here are left alone."""
+    for state in states:
+        if path := _paths.pop(state, None):
+            at = state.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(state.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clustered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df written once in buckets by keys and sorted within them: joins and sums on keys read it without moving it.
+
+    There are as many buckets as shuffle partitions, so the other side of a join comes to the buckets. The table is known to this session's
+    catalog alone; its files lie in the shared folder like any state.
+    """
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), state_path(spark)
+    name = "clustered_" + uuid.uuid4().hex
+    placed = df.repartition(n, *keys).sortWithinPartitions(*keys)
+    placed.write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    state = spark.table(name)
+    _paths[state] = path
+    return state
 
 
 def ranged(df: DataFrame, keys: list[Column], more: dict[str, Column] | None = None) -> DataFrame:
