@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import charting, graphs, likeness, spaces, tables
+from loomgraph.plans import charting, graphs, likeness, skeletons, spaces, tables
 
-MODULES = (tables, charting, graphs, likeness, spaces)
+MODULES = (tables, charting, graphs, likeness, spaces, skeletons)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
