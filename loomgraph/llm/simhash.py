@@ -11,15 +11,14 @@ large ones are cut into chunks, and each pair of chunks is a task of its own. A
 star a group and not its pairs, so the rows made stay in proportion to its members.
 
 ``near_duplicates`` links by fingerprints of word shingles alone. ``similar_texts`` asks for a similarity of texts: five-word shingles of two
-texts that share 0.8 of them differ in ten bits, which no few tables cover, so it keys fingerprints of the distinct words and word
-pairs, which an edit hardly moves, takes pairs within TEXT_RADIUS for candidates, and compares their shingles exactly.
+texts that share 0.8 of them differ in ten bits, which no few tables cover. So texts also meet by bands of a min-hash sketch, in tables beside those of the masks; in a bucket pairs
+are told by their sketches, and what they leave is compared shingle by shingle.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +26,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import connected_components, forget, likely_among, stored
+from loomgraph.functions.columns import free_name
+from loomgraph.llm.common import FILTER_BITS, connected_components, forget, likely_among, stored
 
 SEED = 42
 WIDTH = 4
 RADIUS = 4
 #: Members of one chunk of a large bucket.
 CHUNK = 1024
-#: Shingles, similarity and radius of candidates where texts are compared.
+#: Shingles and similarity where texts are compared.
 TEXT_WIDTH = 5
 SIMILARITY = 0.8
-TEXT_RADIUS = 6
-#: Members of a bucket with more neighbours than this hand on two of them a round and not all.
-FEW = 24
-#: Keys that one task makes.
-TASK_KEYS = 1_000_000
-#: Bits of the filter that is broadcast to tell rows that surely stay.
-FILTER_BITS = 1 << 23
+#: Min-hashes of a sketch, of which a byte each is kept, and bands of so many of them that make keys.
+SKETCH = 128
+BANDS, ROWS = 16, 4
+#: Standard deviations of a sketch's estimate below which a pair at the least similarity is still compared, and above which a pair need not be compared if others link it.
+DOUBT, SURE = 3.5, 4.0
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = 1 << 16
 
@@ -147,35 +145,6 @@ def star_links(table: pa.Table, group: np.ndarray, radius: int) -> Found:
     return node[label][far], node[far], np.ones(len(far), bool)
 
 
-def direct_links(table: pa.Table, group: np.ndarray, radius: int, turn: int, similarity: float) -> Found:
-    """The links whose ends may be similar by their numbers of shingles: all of members with few, the first and last of the others in an order of this turn."""
-    node, size, side = (table.column(c).to_numpy() for c in ("node", "size", "side"))
-    x = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-    small = np.flatnonzero(np.bincount(group)[group] <= FEW)
-    p, q = close_pairs(x[small], group[small], side[small], radius) if len(small) else (small, small)
-    p, q = small[p], small[q]
-    may = (node[p] != node[q]) & (np.minimum(size[p], size[q]) >= similarity * np.maximum(size[p], size[q]))
-    found = [(p[may], q[may], np.ones(int(may.sum()), bool))]
-    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    for s, e in zip(bounds[:-1], bounds[1:]):
-        if e - s <= FEW:
-            continue
-        at = s + np.argsort(blended(node[s:e].astype(np.int64).view(np.uint64) + np.uint64(turn)), kind="stable")
-        for i in range(0, e - s, 256):
-            row = at[i : i + 256]
-            near = np.bitwise_count(x[row, None] ^ x[None, at]) <= radius
-            near &= np.minimum(size[row, None], size[None, at]) >= similarity * np.maximum(size[row, None], size[None, at])
-            near &= ((side[row, None] == 0) | (side[row, None] != side[None, at])) & (node[row, None] != node[None, at])
-            degree = near.sum(axis=1)
-            few, many = np.flatnonzero((degree > 0) & (degree <= FEW)), np.flatnonzero(degree > FEW)
-            r, c = np.nonzero(near[few])
-            found.append((row[few][r], at[c], np.ones(len(r), bool)))
-            for c in (near[many].argmax(axis=1), len(at) - 1 - near[many, ::-1].argmax(axis=1)):
-                found.append((row[many], at[c], np.zeros(len(many), bool)))
-    p, q, whole = (np.concatenate(c) for c in zip(*found))
-    return np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), whole
-
-
 def bucket_links(members: DataFrame, radius: int, choose: Callable[[pa.Table, np.ndarray, int], Found]) -> DataFrame:
     """(a, b, whole) among members (bucket columns, side, fp, node), which lie together and in order of their bucket: what choose takes of the links."""
 
@@ -214,11 +183,16 @@ def bucket_links(members: DataFrame, radius: int, choose: Callable[[pa.Table, np
     return members.mapInArrow(link, "a long, b long, whole boolean")
 
 
-def bucket_members(nodes: DataFrame, radius: int) -> DataFrame:
-    """The members of all buckets of nodes (node long, fp long and more), a bucket's or pair of chunks' together and in order."""
-    masks = covering_masks(radius)
-    nodes = nodes.repartition(-(-nodes.count() * len(masks) // TASK_KEYS) or 1)
-    keys = nodes.select(*nodes.columns, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("v", "key"))
+def mask_keys(radius: int) -> list[Column]:
+    """The key of a fingerprint fp in each covering table."""
+    return [F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)]
+
+
+def bucket_members(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The members of all buckets of keys (v, key, node), a bucket's or pair of chunks' together and in order; nodes (node, fp and more) says what they are.
+
+    Only keys are moved to find buckets of more than one; what a node carries meets the few that are left.
+    """
     shared = keys.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = keys.join(shared, ["v", "key"])
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
@@ -227,15 +201,16 @@ def bucket_members(nodes: DataFrame, radius: int) -> DataFrame:
     alone = F.col("chunk") == F.col("other")
     members = members.select(
         "v", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        F.when(alone, 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).alias("side"), *nodes.columns,
-    )
+        F.when(alone, 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).alias("side"), "node",
+    ).join(nodes, "node")
     bucket = ["v", "key", "i", "j"]
     return members.repartition(*bucket).sortWithinPartitions(*bucket, "fp", "node")
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links among nodes (node long, fp long) with distinct fp that connect all within the radius."""
-    return bucket_links(bucket_members(nodes, radius), radius, star_links).select("a", "b")
+    keys = nodes.select("node", F.posexplode(F.array(*mask_keys(radius))).alias("v", "key"))
+    return bucket_links(bucket_members(nodes, keys), radius, star_links).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
@@ -277,19 +252,79 @@ def hashed_shingles(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def text_marks(text: str | None, width: int = TEXT_WIDTH) -> tuple[bytes, int, int]:
-    """Digest of the words, fingerprint of the distinct words and word pairs, number of distinct shingles."""
+def multipliers() -> np.ndarray:
+    draw = random.Random(SEED)
+    return np.array([draw.getrandbits(64) | 1 for _ in range(SKETCH)], np.uint64)[:, None]
+
+
+_MULTIPLIERS = multipliers()
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least hash of the shingles under each of SKETCH functions; zeros without shingles."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[None, at : at + 4096] * _MULTIPLIERS).min(axis=1))
+    return blended(least) if len(shingles) else np.zeros(SKETCH, np.uint64)
+
+
+def text_marks(text: str | None, width: int = TEXT_WIDTH) -> tuple[bytes, int, bytes, bytes]:
+    """Digest of the words, number of distinct shingles, the sketch's bytes, and the keys of its bands as 8-byte integers."""
     joined, h = hashed_words(text)
-    parts = np.concatenate([np.unique(h), hashed_shingles(h, 2)])
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(parts), _STEP):
-        ones += np.unpackbits(parts[at : at + _STEP].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(parts), bitorder="little").view("<u8")[0]
-    return xxhash.xxh3_128_digest(joined), int(bits), len(hashed_shingles(h, width))
+    shingles = hashed_shingles(h, width)
+    least = sketch(shingles)
+    bands = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        bands = blended(bands * np.uint64(0x9E3779B97F4A7C15) + least[k : BANDS * ROWS : ROWS])
+    return xxhash.xxh3_128_digest(joined), len(shingles), least.astype(np.uint8).tobytes(), bands.astype("<u8").tobytes()
+
+
+def sketch_links(table: pa.Table, group: np.ndarray, similarity: float, whole: bool) -> Found:
+    """Pairs of members whose sketches leave it open that they are similar.
+
+    Of members that sketches surely link, a star a set is enough, unless ``whole`` asks for each pair; its pairs are marked as standing for others. Pairs in doubt go
+    unless such a star links their ends already.
+    """
+    node, size, side = (table.column(c).to_numpy() for c in ("node", "size", "side"))
+    marks = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch")), np.uint8).reshape(-1, SKETCH)
+    spread = (similarity * (1 - similarity) / SKETCH) ** 0.5
+    low, high = SKETCH * (similarity - DOUBT * spread), SKETCH * min(1.0, similarity + SURE * spread)
+    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        p, q, agree = [], [], []
+        for i in range(s, e - 1, 64):
+            row = np.arange(i, min(i + 64, e - 1))
+            equal = np.zeros((len(row), e - i), np.int16)
+            for k in range(0, SKETCH, 16):
+                equal += (marks[row, None, k : k + 16] == marks[None, i:e, k : k + 16]).sum(axis=2, dtype=np.int16)
+            near = equal >= low
+            near &= np.minimum(size[row, None], size[None, i:e]) >= similarity * np.maximum(size[row, None], size[None, i:e])
+            near &= (side[row, None] == 0) | (side[row, None] != side[None, i:e])
+            near &= np.arange(i, e)[None, :] > row[:, None]
+            r, c = np.nonzero(near)
+            p.append(row[r])
+            q.append(c + i)
+            agree.append(equal[r, c])
+        if not p:
+            continue
+        p, q, agree = np.concatenate(p), np.concatenate(q), np.concatenate(agree)
+        if whole:
+            found.append((p, q, np.zeros(len(p), bool)))
+            continue
+        sure = agree >= high
+        label = stars(p[sure] - s, q[sure] - s, e - s)
+        far = np.flatnonzero(label != np.arange(e - s))
+        found.append((label[far] + s, far + s, np.ones(len(far), bool)))
+        open_ = ~sure & (label[p - s] != label[q - s])
+        found.append((p[open_], q[open_], np.zeros(int(open_.sum()), bool)))
+    none = np.zeros(0, np.int64)
+    p, q, stands = (np.concatenate(c) for c in zip(*found)) if found else (none, none, np.zeros(0, bool))
+    return np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), stands
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """pairs (a, b, whole) of doc_ids of docs (doc_id, text), stored, with ``same``: whether their sets of shingles are so similar."""
+    """pairs (a, b, stands) of doc_ids of docs (doc_id, text), stored, with ``same``: whether their sets of shingles are so similar."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = likely_among(docs, "doc_id", ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
@@ -305,80 +340,87 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, width: i
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("whole"), pa.array(same, pa.bool_())], names=["a", "b", "whole", "same"])
+            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("stands"), pa.array(same, pa.bool_())], names=["a", "b", "stands", "same"])
 
     sets = stored(texts.mapInArrow(shingles, "doc_id long, held binary"), "shingles")
     sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
-    told = stored(sides.select("a", "b", "whole", "x", "y").mapInArrow(compare, "a long, b long, whole boolean, same boolean"), "told")
+    told = stored(sides.select("a", "b", "stands", "x", "y").mapInArrow(compare, "a long, b long, stands boolean, same boolean"), "told")
     forget(sets)
     return told
 
 
-def similar_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = TEXT_RADIUS, width: int = TEXT_WIDTH
-) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, width: int = TEXT_WIDTH) -> DataFrame:
     """doc_id, component_id: a row for each row of docs.
 
-    Texts of the same words are linked, and those whose sets of width-word shingles have a Jaccard similarity of at least ``similarity`` and whose
-    fingerprints of words and word pairs differ in at most radius bits. component_id is the least doc_id that links reach. Of a text with more than
-    FEW neighbours in a bucket two are compared; those for whom this fails meet others in further rounds, until a round links none. Null, empty and
+    Texts of the same words are linked, and those whose sets of width-word shingles have a Jaccard similarity of at least ``similarity``. Such texts meet
+    by a band of their sketches or by a covering table of their fingerprints (within radius bits); a pair at the least similarity is missed with a probability below one in a thousand. A pair is compared
+    once: in a bucket its sketches tell whether it is dissimilar, in doubt, or so alike that a star of such texts stands for it. Where a pair of a star turns out
+    dissimilar, all pairs of its texts' buckets are compared, in a second and last pass. component_id is the least doc_id that links reach. Null, empty and
     blank texts have the same (no) words. Ids are integers and are taken to name one text each; rows with a null id have no part in links, and a null
     component_id unless others have their words. An empty table gives an empty one. Other columns are not looked at.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, fps, sizes = zip(*(text_marks(t.as_py(), width) for t in batch.column("text"))) if batch.num_rows else ((), (), ())
-            columns = [pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
-            yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", "digest", "fp", "size"])
+            texts = [t.as_py() for t in batch.column("text")]
+            digests, sizes, sketches, bands = zip(*(text_marks(t, width) for t in texts)) if texts else ((), (), (), ())
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            columns = [pa.array(digests, pa.binary()), pa.array(fps), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array([np.frombuffer(b, "<i8") for b in bands], pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", "digest", "fp", "size", "sketch", "bands"])
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stored(held.mapInArrow(mark, "doc_id long, digest binary, fp long, size long"), "marks")
-    nodes = stored(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")), "texts")
-    asked, links, turn = nodes.where("node is not null").select("node", "fp", "size"), None, 0
-    while True:
-        chosen = bucket_links(bucket_members(asked, radius), radius, partial(direct_links, turn=turn, similarity=similarity))
-        pairs = chosen.groupBy("a", "b").agg(F.max("whole").alias("whole"))
-        told = similar_pairs(held, stored(pairs, "pairs"), similarity, width)
-        same = told.where("same").select("a", "b")
-        links = same if links is None else links.union(same)
-        failed = told.where("not whole and not same").select("a", "b")
-        if failed.isEmpty() or same.isEmpty():
-            break
-        asked = asked.join(failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct(), "node", "left_semi")
-        turn += 1
+    found = stored(held.mapInArrow(mark, "doc_id long, digest binary, fp long, size long, sketch binary, bands array<long>"), "marks")
+    firsts = found.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = found.join(firsts, (found["digest"] == firsts["digest"]) & (found["doc_id"] == firsts["node"])).drop(firsts["digest"]).drop("doc_id")
+    nodes = stored(nodes.dropDuplicates(["node"]), "texts")
+    keys = nodes.where("size > 0").select("node", F.posexplode(F.concat(F.array(*mask_keys(radius)), "bands")).alias("v", "key"))
+    parts = nodes.select("node", "fp", "size", "sketch")
+
+    def pairs(keys: DataFrame, whole: bool) -> DataFrame:
+        chosen = bucket_links(bucket_members(parts, keys), radius, lambda table, group, _: sketch_links(table, group, similarity, whole))
+        return stored(chosen.groupBy("a", "b").agg(F.max("whole").alias("stands")), "pairs")
+
+    told = similar_pairs(held, pairs(keys, False), similarity, width)
+    links = told.where("same").select("a", "b")
+    failed = told.where("stands and not same").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if not failed.isEmpty():
+        # The star's texts may be linked by pairs that it stood for: those of all buckets that hold a text of a failed pair.
+        again = keys.join(keys.join(failed, "node", "left_semi").select("v", "key").distinct(), ["v", "key"], "left_semi")
+        more = stored(pairs(again, True).join(told, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(similar_pairs(held, more, similarity, width).where("same").select("a", "b"))
     components = connected_components(links, "components")
-    classes = nodes.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return found.join(stored(classes, "classes"), "digest", "left").select("doc_id", "component_id")
+    classes = firsts.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return found.select("doc_id", "digest").join(stored(classes, "classes"), "digest", "left").select("doc_id", "component_id")
 
 
 def fingerprint_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = TEXT_RADIUS, width: int = TEXT_WIDTH
-) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, width: int = TEXT_WIDTH) -> DataFrame:
     """The rows of docs that stand for their group of similar texts: the least doc_id's, one of its repeated rows.
 
-    Rows with null ids stay. All columns are kept. A bit filter of fixed size lets most rows that stay pass where they are; only
+    Rows with null ids stay. All columns are kept, whatever they are called. A bit filter of fixed size lets most rows that stay pass where they are; only
     those that it cannot tell are joined with the ids in question. However full it is, the result is the same.
     """
-    columns = [F.col(c) for c in docs.columns]
+    columns, names, taken = [F.col(c) for c in docs.columns], [], list(docs.columns)
+    for n in ("asked_bit", "asked_word", "asked_bits", "asked_id"):
+        names.append(free_name(n, taken))
+        taken.append(names[-1])
+    bit, word, bits, asked_id = names
     found = similar_texts(docs, id_col, text_col, similarity, radius, width)
     # Ids that go, and ids whose rows must be counted: all others stay without being moved.
     asked = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.expr("max(cast(doc_id <> component_id AS int))").alias("goes"))
     asked = stored(asked.where("n > 1 or goes = 1"), "asked")
-    bit = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
-    words = asked.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("_bit"))
-    words = words.groupBy(F.shiftright("_bit", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("__bits"))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    words = asked.select(place("doc_id").alias("at")).groupBy(F.shiftright("at", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias(bits))
     # At most FILTER_BITS / 64 rows, whatever the corpus.
-    held = docs.withColumn("__at", bit).join(F.broadcast(words), F.shiftright("__at", 6) == F.col("__word"), "left")
-    hit = F.coalesce(F.expr("shiftright(__bits, cast(__at % 64 as int)) & 1L") == 1, F.lit(False))
+    held = docs.withColumn(bit, place(id_col)).join(F.broadcast(words), F.shiftright(bit, 6) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"shiftright({bits}, cast({bit} % 64 as int)) & 1L") == 1, F.lit(False))
     free = held.where(~hit).select(*columns)
     suspects = held.where(hit).select(*columns)
-    kept = suspects.join(asked.select(F.col("doc_id").alias("__asked")), F.col(id_col) == F.col("__asked"), "left_anti")
-    once = asked.where("goes = 0").select(F.col("doc_id").alias("__asked"))
+    kept = suspects.join(asked.select(F.col("doc_id").alias(asked_id)), F.col(id_col) == F.col(asked_id), "left_anti")
+    once = asked.where("goes = 0").select(F.col("doc_id").alias(asked_id))
     if not once.isEmpty():
-        kept = kept.union(suspects.join(once, F.col(id_col) == F.col("__asked"), "left_semi").dropDuplicates([id_col]))
+        kept = kept.union(suspects.join(once, F.col(id_col) == F.col(asked_id), "left_semi").dropDuplicates([id_col]))
     return free.union(kept)
