@@ -9,6 +9,7 @@ import weakref
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_folders: dict[str, str] = {}
 
@@ -56,6 +57,23 @@ def forget(*states: DataFrame) -> None:
             at.getFileSystem(state.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def write_clustered(df: DataFrame, keys: list[str], path: str, buckets: int) -> str:
+    """Writes df to path in buckets by keys, a file a bucket, sorted; returns the name under which the session's catalog knows it."""
+    name = "clustered_" + uuid.uuid4().hex
+    placed = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+    placed.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return name
+
+
+def cataloged(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int) -> DataFrame:
+    """A bucketed table whose files lie at path, told to this session's catalog."""
+    name = "clustered_" + uuid.uuid4().hex
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    by = ", ".join(f"`{k}`" for k in keys)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def clustered(df: DataFrame, keys: list[str]) -> DataFrame:
     """df written once in buckets by keys and sorted within them: joins and sums on keys read it without moving it.
 
@@ -63,11 +81,8 @@ def clustered(df: DataFrame, keys: list[str]) -> DataFrame:
     catalog alone; its files lie in the shared folder like any state.
     """
     spark = df.sparkSession
-    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), state_path(spark)
-    name = "clustered_" + uuid.uuid4().hex
-    placed = df.repartition(n, *keys).sortWithinPartitions(*keys)
-    placed.write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
-    state = spark.table(name)
+    path = state_path(spark)
+    state = spark.table(write_clustered(df, keys, path, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     _paths[state] = path
     return state
 

@@ -1,7 +1,8 @@
 """Networks: an edge table (source, target, weight) and what is computed on it by joins.
 
 Iterative operators are driver loops over lazy joins. Each round's frontier or state is written to the shared folder, which cuts
-the plan and survives lost executors; only counts and norms reach the driver. Loops end at their fixpoint. Joins on hubs are plain equi-joins, which
+the plan and survives lost executors, and the one before is deleted; only counts and norms reach the driver. Loops end at their fixpoint. Edges are bucketed once by the end
+from which rounds come to them, or read from an EdgeStore, so no round moves them. Joins on hubs are plain equi-joins, which
 adaptive execution splits where they are skewed, and sums are combined before they are shuffled.
 """
 
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.lineage import checkpointed, percentiles, running
+from loomgraph.functions.lineage import checkpointed, clustered, forget, measured, percentiles, running
+from loomgraph.sources.edges import EdgeStore
 
 
 def build(edges: DataFrame, source: str, target: str, weight: str | None = None, aggregate: bool = True, min_weight: float | None = None, directed: bool = True) -> DataFrame:
@@ -90,6 +92,7 @@ def components(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("a", "b", "m")
         after = checkpointed(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+        forget(pairs)
         pairs, before, state = after, state, digest(after, "a", "b")
         if state == before:
             break
@@ -175,45 +178,59 @@ def filtered(edges: DataFrame, seeds: DataFrame, expand: str = "none", hops: int
     return edges.join(reached.withColumnRenamed("id", "source"), "source", "left_semi").join(reached.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "downstream") -> DataFrame:
+Edges = DataFrame | EdgeStore
+
+
+def arcs_from(edges: Edges, direction: str) -> list[DataFrame]:
+    """(near, far, source, target, weight) in buckets by near, for each way that direction allows: outputs, inputs or both."""
+    ways = {"outputs": ["outputs"], "inputs": ["inputs"], "both": ["outputs", "inputs"]}[direction]
+    if isinstance(edges, EdgeStore):
+        return [edges.arcs(way) for way in ways]
+    ends = {"outputs": ("source", "target"), "inputs": ("target", "source")}
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1).alias("weight")
+    return [clustered(edges.select(F.col(ends[w][0]).alias("near"), F.col(ends[w][1]).alias("far"), "source", "target", weight), ["near"]) for w in ways]
+
+
+def done_with(edges: Edges, arcs: list[DataFrame]) -> None:
+    """Deletes arcs unless they are a store's."""
+    if not isinstance(edges, EdgeStore):
+        forget(*arcs)
+
+
+def reach(edges: Edges, seeds: DataFrame, hops: int, direction: str = "downstream") -> DataFrame:
     """(id, hop): every node within hops of the seeds, at its least distance."""
-    arcs = {
-        "downstream": edges.select("source", "target"),
-        "upstream": edges.select(F.col("target").alias("source"), F.col("source").alias("target")),
-        "any": both_ways(edges),
-    }[direction]
-    seen = checkpointed(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
-    front = seen
+    arcs = arcs_from(edges, {"downstream": "outputs", "upstream": "inputs", "any": "both"}[direction])
+    front = checkpointed(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    seen = front
     for hop in range(1, hops + 1):
-        following = arcs.join(front.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        front = checkpointed(following.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
+        ids = front.select(F.col("id").alias("near"))
+        met = reduce(lambda a, b: a.union(b), [side.join(ids, "near", "left_semi").select(F.col("far").alias("id")) for side in arcs])
+        front, rows = measured(met.distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)), n=F.count("*"))
+        if not rows["n"]:
             break
         seen = seen.union(front)
+    done_with(edges, arcs)
     return seen
 
 
-def connectivity(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: str = "outputs", min_weight: float = 0, normalize_by: str | None = None) -> DataFrame:
+def connectivity(edges: Edges, seeds: DataFrame, hops: int = 1, direction: str = "outputs", min_weight: float = 0, normalize_by: str | None = None) -> DataFrame:
     """(source, target, weight, hop, direction [, weight_total, weight_norm]): edges met by a breadth-first search.
 
     An edge keeps the hop at which it is first seen; seen both ways in that hop, its direction is both. min_weight prunes
     edges and what lies behind them. Normalising divides by all of an end's weight, before pruning; without any there is no
     fraction.
     """
-    strong = edges.where(F.col("weight") >= min_weight)
-    front = seeds.select("id").distinct()
-    seen = checkpointed(front)
-    found = []
+    ways = ["outputs", "inputs"] if direction == "both" else [direction]
+    arcs = arcs_from(edges, direction)
+    front = checkpointed(seeds.select("id").distinct())
+    seen, found = front, []
     for hop in range(1, hops + 1):
-        sides = []
-        if direction in ("outputs", "both"):
-            sides.append(strong.join(front.withColumnRenamed("id", "source"), "source", "left_semi").select("source", "target", "weight", F.lit("outputs").alias("direction"), F.col("target").alias("far")))
-        if direction in ("inputs", "both"):
-            sides.append(strong.join(front.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "weight", F.lit("inputs").alias("direction"), F.col("source").alias("far")))
+        ids = front.select(F.col("id").alias("near"))
+        sides = [side.where(F.col("weight") >= min_weight).join(ids, "near", "left_semi").select("source", "target", "weight", F.lit(way).alias("direction"), "far") for way, side in zip(ways, arcs)]
         met = checkpointed(reduce(lambda a, b: a.union(b), sides).withColumn("hop", F.lit(hop)))
         found.append(met)
-        front = checkpointed(met.select(F.col("far").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if front.isEmpty():
+        front, rows = measured(met.select(F.col("far").alias("id")).distinct().join(seen, "id", "left_anti"), n=F.count("*"))
+        if not rows["n"]:
             break
         seen = seen.union(front)
     every = reduce(lambda a, b: a.union(b), found)
@@ -222,55 +239,127 @@ def connectivity(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: s
     out = first.select("source", "target", "weight", "hop", F.when(at_first > 1, "both").otherwise(F.col("a.direction")).alias("direction"))
     if normalize_by:
         end = "target" if normalize_by == "postsynaptic" else "source"
-        totals = edges.groupBy(end).agg(F.sum("weight").alias("weight_total"))
+        whole = (edges.by_target if end == "target" else edges.by_source) if isinstance(edges, EdgeStore) else edges
+        totals = whole.groupBy(end).agg(F.sum("weight").alias("weight_total"))
         out = out.join(totals, end, "left").withColumn("weight_norm", F.when(F.col("weight_total") > 0, F.col("weight") / F.col("weight_total")))
         out = out.select("source", "target", "weight", "hop", "direction", "weight_total", "weight_norm")
     return out
 
 
-def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int, top: int, min_weight: float = 0) -> DataFrame:
-    """(path, hops, bottleneck, rank): the top simple paths by their least weight, then hops, then nodes.
+def collapsed(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(source, target, weight, pairs) among labels (id, label): edges whose ends are called alike are summed; ids without a label stand for themselves, as text."""
+    for end in ("source", "target"):
+        named = labels.select(F.col("id").alias(end), F.col("label").alias("_label"))
+        edges = edges.join(named, end, "left").withColumn(end, F.coalesce("_label", F.col(end).cast("string"))).drop("_label")
+    return edges.groupBy("source", "target").agg(F.sum("weight").alias("weight"), F.count("*").alias("pairs"))
+
+
+def paths(
+    edges: Edges, sources: DataFrame, targets: DataFrame, max_hops: int, top: int, min_weight: float = 0,
+    labels: DataFrame | None = None, normalize_by: str | None = None, rank_by: str = "weight", min_fraction: float = 0,
+) -> DataFrame:
+    """(path, hops, bottleneck [, bottleneck_norm], rank): the top simple paths by their least weight, then hops, then nodes.
+
+    With labels (id, label) the search is among labels: edges are summed by the labels of their ends before anything is pruned, so a path of types need not be one of
+    neurons. normalize_by (postsynaptic or presynaptic) divides each edge by all that its target receives, or its source sends; rank_by="fraction" ranks by
+    the least of these. An edge without such a total has no fraction; min_fraction keeps it, and paths over it rank below all others.
 
     Only edges that lie on some short enough walk are joined: nodes are bounded by their distance from the sources and
     to the targets first. After each hop, paths that cannot rank any more are cut: top finished paths of a bottleneck
     at least as great exist already.
     """
-    strong = edges.where((F.col("weight") >= min_weight) & (F.col("source") != F.col("target")))
+    given = edges.by_source if isinstance(edges, EdgeStore) else edges
+    if labels is not None:
+        given = checkpointed(collapsed(given, labels))
+        name = lambda df: df.select("id").join(labels.select("id", "label"), "id", "left").select(F.coalesce("label", F.col("id").cast("string")).alias("id")).distinct()
+        sources, targets = checkpointed(name(sources)), checkpointed(name(targets))
+    norm = F.lit(None).cast("double")
+    held = given.select("source", "target", "weight")
+    if normalize_by:
+        end = "target" if normalize_by == "postsynaptic" else "source"
+        totals = held.groupBy(end).agg(F.sum("weight").alias("_total")).where("_total > 0")
+        held, norm = held.join(totals, end, "left"), F.col("weight") / F.col("_total")
+    if normalize_by is None and labels is None:
+        strong = edges
+        fit = (F.col("weight") >= min_weight) & (F.col("source") != F.col("target"))
+        if not isinstance(edges, EdgeStore):
+            strong = edges.where(fit)
+    else:
+        held = held.withColumn("norm", norm)
+        held = checkpointed(held.where((F.col("weight") >= min_weight) & (F.col("source") != F.col("target")) & (F.col("norm").isNull() | (F.col("norm") >= min_fraction))))
+        strong, fit = held, F.lit(True)
+    if isinstance(strong, EdgeStore):
+        strong = checkpointed(strong.by_source.where(fit)) if min_weight > 0 else strong
     ahead = reach(strong, sources, max_hops, "downstream").withColumnRenamed("hop", "d")
     back = reach(strong, targets, max_hops, "upstream").withColumnRenamed("hop", "e")
     useful = checkpointed(ahead.join(back, "id").where(F.col("d") + F.col("e") <= max_hops))
-    arcs = strong.join(useful.select(F.col("id").alias("source")), "source", "left_semi").join(useful.select(F.col("id").alias("target"), "e"), "target")
-    arcs = checkpointed(arcs.groupBy("source", "target").agg(F.sum("weight").alias("w"), F.first("e").alias("e")))
+    table = (strong.by_source if isinstance(strong, EdgeStore) else strong).where(F.col("source") != F.col("target"))
+    if "norm" not in table.columns:
+        table = table.withColumn("norm", norm)
+    arcs = table.join(useful.select(F.col("id").alias("source")), "source", "left_semi").join(useful.select(F.col("id").alias("target"), "e"), "target")
+    arcs = clustered(arcs.groupBy("source", "target").agg(F.sum("weight").alias("w"), F.sum("norm").alias("n"), F.first("e").alias("e")), ["source"])
     goal = targets.select(F.col("id").alias("last")).distinct()
-    walk = sources.select(F.col("id").alias("last")).distinct().withColumns({"path": F.array("last"), "bottleneck": F.lit(float("inf"))})
-    order = [F.col("bottleneck").desc(), F.col("hops"), F.col("path")]
+    # A path with one unmeasured edge has no fraction; greater than all is what it starts from.
+    walk = sources.select(F.col("id").alias("last")).distinct().withColumns({"path": F.array("last"), "bottleneck": F.lit(float("inf")), "bottleneck_norm": F.lit(float("inf"))})
+    by = "bottleneck_norm" if rank_by == "fraction" else "bottleneck"
+    order = [F.col(by).desc_nulls_last(), F.col("hops"), F.col("path")]
     best = None
     for hop in range(1, max_hops + 1):
-        walk = walk.join(arcs, walk["last"] == arcs["source"]).where((F.col("e") <= max_hops - hop) & ~F.array_contains("path", F.col("target")))
-        walk = walk.select(F.col("target").alias("last"), F.concat("path", F.array("target")).alias("path"), F.least("bottleneck", F.col("w").cast("double")).alias("bottleneck"))
-        walk = checkpointed(walk)
-        done = walk.join(goal, "last", "left_semi").select("path", F.lit(hop).alias("hops"), "bottleneck")
+        met = walk.join(arcs, walk["last"] == arcs["source"]).where((F.col("e") <= max_hops - hop) & ~F.array_contains("path", F.col("target")))
+        least = F.when(F.col("n").isNotNull() & F.col("bottleneck_norm").isNotNull(), F.least("bottleneck_norm", "n"))
+        walk = checkpointed(met.select(F.col("target").alias("last"), F.concat("path", F.array("target")).alias("path"), F.least("bottleneck", F.col("w").cast("double")).alias("bottleneck"), least.alias("bottleneck_norm")))
+        done = walk.join(goal, "last", "left_semi").select("path", F.lit(hop).alias("hops"), "bottleneck", "bottleneck_norm")
         best = checkpointed((done if best is None else best.union(done)).orderBy(*order).limit(top))
-        floor = best.agg(F.count("*"), F.min("bottleneck")).first()
-        if floor[0] >= top:
-            walk = walk.where(F.col("bottleneck") >= floor[1])
-    return best.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # at most top rows
+        n, measured_, floor = best.agg(F.count("*"), F.count(by), F.min(by)).first()
+        if n >= top and measured_ == n:
+            walk = walk.where(F.col(by) >= floor)
+    out = best.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # at most top rows
+    return out.select("path", "hops", "bottleneck", *(["bottleneck_norm"] if normalize_by else []), "rank")
 
 
-def influence(edges: DataFrame, seeds: DataFrame, max_hops: int, gain: float = 1.0, direction: str = "outputs") -> DataFrame:
-    """(id, influence): s + gWs + g²W²s + ..., W being weights divided by each receiving node's total.
+#: What is added to a logarithm of influence, whose least magnitude is its negative exponential: a published constant, under which scores compare.
+LOG_SHIFT = 24
 
-    Mass spreads from a node at every hop, not only the first; loops count.
+
+def influence(edges: DataFrame, seeds: DataFrame, max_hops: int, gain: float = 1.0, direction: str = "outputs", by_seed: bool = False, share_mass: bool = False, keep: int | None = None) -> DataFrame:
+    """([seed_id,] id, influence, influence_log, hops, seed): s + gWs + g²W²s + ..., W being weights divided by each receiving node's total.
+
+    Mass spreads from a node at every hop, not only the first; loops count. hops is the first at which a node has mass, seed whether it had any to begin with: 1 each, or
+    with share_mass equal parts of 1. by_seed keeps the seeds apart: the scores of a node then add up to its score without. influence_log is the logarithm, shifted by LOG_SHIFT and not
+    below 0. keep lets only so many nodes of greatest mass go on from each hop (ties to the lesser id); influence_lost says what that costs.
     """
+    return spread(edges, seeds, max_hops, gain, direction, by_seed, share_mass, keep)[0]
+
+
+def spread(edges: DataFrame, seeds: DataFrame, max_hops: int, gain: float = 1.0, direction: str = "outputs", by_seed: bool = False, share_mass: bool = False, keep: int | None = None) -> tuple[DataFrame, list[dict]]:
+    """influence, and for each hop its mass and the mass that ``keep`` held back."""
     arcs = edges.select("source", "target", "weight") if direction == "outputs" else edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
     total = arcs.groupBy("target").agg(F.sum("weight").alias("total"))
-    w = checkpointed(arcs.join(total, "target").where("total > 0").select("source", "target", (F.col("weight") / F.col("total")).alias("w")))
-    mass = seeds.select("id").distinct().withColumn("m", F.lit(1.0))
-    parts = [mass]
-    for _ in range(max_hops):
-        mass = checkpointed(mass.join(w, mass["id"] == w["source"]).groupBy("target").agg(F.sum(F.col("m") * F.col("w") * gain).alias("m")).withColumnRenamed("target", "id"))
-        parts.append(mass)
-    return reduce(lambda a, b: a.union(b), parts).groupBy("id").agg(F.sum("m").alias("influence"))
+    w = clustered(arcs.join(total, "target").where("total > 0").select("source", "target", (F.col("weight") / F.col("total")).alias("w")), ["source"])
+    who = ["seed_id"] if by_seed else []
+    start = seeds.select("id").distinct()
+    one = 1.0 / max(1, start.count()) if share_mass else 1.0
+    mass = checkpointed(start.select(*[F.col("id").alias(c) for c in who], "id", F.lit(one).alias("m")))
+    parts, lost = [mass.withColumn("hop", F.lit(0))], []
+    for hop in range(1, max_hops + 1):
+        going = mass
+        if keep is not None:
+            # A node goes on with all its seeds' mass, or not at all.
+            greatest = mass.groupBy("id").agg(F.sum("m").alias("_m")).orderBy(F.col("_m").desc(), "id").limit(keep).select("id")
+            going = mass.join(greatest, "id", "left_semi")
+        whole, gone = mass.agg(F.sum("m")).first()[0] or 0.0, going.agg(F.sum("m")).first()[0] or 0.0
+        lost.append({"hop": hop, "mass": whole, "held_back": whole - gone if keep is not None else 0.0})
+        mass = checkpointed(going.join(w, going["id"] == w["source"]).groupBy(*who, F.col("target")).agg(F.sum(F.col("m") * F.col("w") * gain).alias("m")).withColumnRenamed("target", "id"))
+        parts.append(mass.withColumn("hop", F.lit(hop)))
+    every = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*who, "id").agg(F.sum("m").alias("influence"), F.min("hop").alias("hops"))
+    log = F.when(F.col("influence") == 0, 0.0).otherwise(F.log(F.greatest(F.col("influence"), F.lit(2.718281828459045**-LOG_SHIFT))) + LOG_SHIFT)
+    flag = F.col("hops") == 0
+    return every.select(*who, "id", "influence", log.alias("influence_log"), "hops", flag.alias("seed")), lost
+
+
+def unwalked(last_mass: float, gain: float) -> float | None:
+    """What hops beyond the last could still add in all, where a gain below 1 bounds it: outputs of a hop are at most gain times its inputs when walked along inputs."""
+    return last_mass * gain / (1 - gain) if gain < 1 else None
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, weighted: bool = True, directed: bool = True) -> DataFrame:
@@ -285,18 +374,17 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
         return ids.withColumn("pagerank", F.lit(0.0))
     arcs = arcs.groupBy("source", "target").agg(F.sum("w").alias("w"))
     out = arcs.groupBy("source").agg(F.sum("w").alias("total"))
-    shares = checkpointed(arcs.join(out, "source").select("source", "target", (F.col("w") / F.col("total")).alias("p")))
+    shares = clustered(arcs.join(out, "source").select("source", "target", (F.col("w") / F.col("total")).alias("p")), ["source"])
     dangling = ids.join(shares.select(F.col("source").alias("id")).distinct(), "id", "left_anti").withColumn("lost", F.lit(True))
-    rank = checkpointed(ids.join(dangling, "id", "left").select("id", F.coalesce("lost", F.lit(False)).alias("lost"), F.lit(1.0 / n).alias("r")))
     gone = F.coalesce(F.sum(F.when(F.col("lost"), F.col("r"))), F.lit(0.0))
-    lost = rank.agg(gone).first()[0]
+    rank, seen = measured(ids.join(dangling, "id", "left").select("id", F.coalesce("lost", F.lit(False)).alias("lost"), F.lit(1.0 / n).alias("r")), lost=gone)
     for _ in range(rounds):
         sent = rank.join(shares, rank["id"] == shares["source"]).groupBy("target").agg(F.sum(F.col("r") * F.col("p")).alias("s"))
-        new = (1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + lost / n)
-        after = checkpointed(rank.join(sent, rank["id"] == sent["target"], "left").select("id", "lost", new.alias("r"), F.abs(new - F.col("r")).alias("change")))
-        lost, change = after.agg(gone, F.sum("change")).first()
-        rank = after.select("id", "lost", "r")
-        if change < tolerance * n:
+        new = (1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + seen["lost"] / n)
+        after, seen = measured(rank.join(sent, rank["id"] == sent["target"], "left").select("id", "lost", new.alias("r"), F.abs(new - F.col("r")).alias("change")), lost=gone, change=F.sum("change"))
+        forget(rank)
+        rank = after
+        if seen["change"] < tolerance * n:
             break
     return rank.select("id", F.col("r").alias("pagerank"))
 
@@ -304,12 +392,12 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
 def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(id, eigenvector): undirected power iteration on A + I, scaled to length 1."""
     both = edges.select("source", "target", F.col("weight").cast("double").alias("w")).union(edges.select(F.col("target"), F.col("source"), F.col("weight").cast("double")))
-    arcs = checkpointed(both.where("source <> target").groupBy("source", "target").agg(F.sum("w").alias("w")))
+    arcs = clustered(both.where("source <> target").groupBy("source", "target").agg(F.sum("w").alias("w")), ["source"])
     x = checkpointed(nodes(edges).withColumn("x", F.lit(1.0)))
     for _ in range(rounds):
         sent = x.join(arcs, x["id"] == arcs["source"]).groupBy("target").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
-        raw = checkpointed(x.join(sent, x["id"] == sent["target"], "left").select("id", "x", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y")))
-        norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
+        raw, seen = measured(x.join(sent, x["id"] == sent["target"], "left").select("id", "x", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y")), norm=F.sqrt(F.sum(F.col("y") * F.col("y"))))
+        norm = seen["norm"] or 1.0
         scaled = raw.select("id", (F.col("y") / norm).alias("x"), F.abs(F.col("y") / norm - F.col("x")).alias("change"))
         change = scaled.agg(F.sum("change")).first()[0] or 0.0
         x = scaled.select("id", "x")
@@ -320,7 +408,7 @@ def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
 
 def closeness(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(id, reached, closeness) for each source: nodes it reaches (within max_hops), and reached over the sum of distances, undirected and unweighted."""
-    both = checkpointed(both_ways(edges).where("source <> target").distinct())
+    both = clustered(both_ways(edges).where("source <> target").distinct(), ["source"])
     seen = checkpointed(sources.select("id").distinct().select("id", F.col("id").alias("at"), F.lit(0).alias("hop")))
     front = seen
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
@@ -382,7 +470,7 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     One row a source and reached node. Path counts go out hop by hop; what depends on a node comes back hop by hop.
     """
     pairs = simple(edges)
-    both = checkpointed(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")).union(pairs.select("b", "a")))
+    both = clustered(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")).union(pairs.select("b", "a")), ["source"])
     ids = checkpointed(both.select(F.col("source").alias("id")).distinct())
     start = ids.join(sources.select("id").distinct(), "id", "left_semi")
     rings = [checkpointed(start.select(F.col("id").alias("src"), "id", F.lit(1.0).alias("paths")))]

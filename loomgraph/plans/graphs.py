@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.lineage import state_path
 from loomgraph.operators import aggregates, joins, network
 from loomgraph.plans.registry import Registry, table
+from loomgraph.sources.edges import EdgeStore
 
 R = Registry()
 BEYOND = 1_000_000
@@ -157,7 +159,55 @@ SELECT id, round(sum(m), 8) AS influence FROM (SELECT * FROM m0 UNION ALL SELECT
 """)
 def influence(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = following(spark, sf_dir)
-    return network.influence(every, fiftieth(every), 3, 0.5).withColumn("influence", F.round("influence", 8))
+    return network.influence(every, fiftieth(every), 3, 0.5).select("id", F.round("influence", 8).alias("influence"))
+
+
+@R.add(f"""
+WITH f AS ({_NEXT}), w AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY target) AS w FROM f), m0 AS (SELECT DISTINCT id AS q, id, 1.0 AS m FROM (SELECT source AS id FROM f UNION SELECT target FROM f) WHERE id % 50 = 0),
+m1 AS (SELECT q, target AS id, sum(m * w * 0.5) AS m FROM m0 JOIN w ON id = source GROUP BY 1, 2), m2 AS (SELECT q, target AS id, sum(m * w * 0.5) AS m FROM m1 JOIN w ON id = source GROUP BY 1, 2)
+SELECT q AS seed_id, id, round(sum(m), 8) AS influence, round(ln(greatest(sum(m), exp(-24))) + 24, 6) AS influence_log, min(hops) AS hops, min(hops) = 0 AS seed FROM (SELECT *, 0 AS hops FROM m0 UNION ALL SELECT *, 1 FROM m1 UNION ALL SELECT *, 2 FROM m2) GROUP BY 1, 2
+""")
+def influence_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = following(spark, sf_dir)
+    out = network.influence(every, fiftieth(every), 2, 0.5, by_seed=True)
+    return out.withColumns({"influence": F.round("influence", 8), "influence_log": F.round("influence_log", 6)})
+
+
+#: Parts by brand, and how much of what a brand is followed by comes from each brand.
+_BRANDS = f"""SELECT a.p_brand AS source, b.p_brand AS target, CAST(sum(weight) AS DOUBLE) AS w FROM ({_NEXT}) e JOIN part a ON a.p_partkey = source JOIN part b ON b.p_partkey = target GROUP BY 1, 2"""
+
+
+@R.add(f"""
+WITH RECURSIVE t AS ({_BRANDS}), e AS (SELECT source, target, w, w / sum(w) OVER (PARTITION BY target) AS n FROM t), k AS (SELECT * FROM e WHERE source <> target),
+ends AS (SELECT DISTINCT p_brand AS id FROM part WHERE p_partkey IN (50, 100, 150)),
+p(last, path, b, n) AS (SELECT id, [id], CAST('inf' AS DOUBLE), CAST('inf' AS DOUBLE) FROM ends UNION ALL SELECT k.target, list_append(p.path, k.target), least(p.b, k.w), least(p.n, k.n) FROM p JOIN k ON k.source = p.last WHERE len(p.path) <= 2 AND NOT list_contains(p.path, k.target))
+SELECT array_to_string(route, '>') AS path, len(route) - 1 AS hops, b AS bottleneck, round(n, 9) AS bottleneck_norm, rank FROM (SELECT path AS route, b, n, row_number() OVER (ORDER BY n DESC, len(path), path) AS rank FROM p WHERE last IN (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 50 = 25) AND len(path) > 1) WHERE rank <= 20
+""")
+def paths_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths among brands, by the least share that a step has in what its target receives."""
+    every = following(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"))
+    out = network.paths(every, parts.where("id IN (50, 100, 150)"), parts.where("id % 50 = 25"), 2, 20, labels=parts, normalize_by="postsynaptic", rank_by="fraction")
+    return out.select(F.array_join("path", ">").alias("path"), "hops", "bottleneck", F.round("bottleneck_norm", 9).alias("bottleneck_norm"), "rank")
+
+
+@R.add(f"""
+WITH f AS ({_NEXT}), o AS (SELECT source AS id, count(*) AS n_out, CAST(sum(weight) AS BIGINT) AS out_weight FROM f GROUP BY 1), i AS (SELECT target AS id, count(*) AS n_in, CAST(sum(weight) AS BIGINT) AS in_weight FROM f GROUP BY 1)
+SELECT coalesce(o.id, i.id) AS id, coalesce(n_out, 0) AS n_out, coalesce(out_weight, 0) AS out_weight, coalesce(n_in, 0) AS n_in, coalesce(in_weight, 0) AS in_weight FROM o FULL JOIN i ON o.id = i.id
+""")
+def edge_store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EdgeStore.save(following(spark, sf_dir), state_path(spark)).totals()
+
+
+@R.add(f"""
+WITH f AS ({_NEXT}), l AS (SELECT p_partkey AS id, p_brand AS label FROM part)
+SELECT coalesce(a.label, CAST(source AS VARCHAR)) AS source, coalesce(b.label, CAST(target AS VARCHAR)) AS target, CAST(sum(weight) AS BIGINT) AS weight, count(*) AS pairs FROM f LEFT JOIN l a ON a.id = source LEFT JOIN l b ON b.id = target WHERE target % 50 = 0 GROUP BY 1, 2
+""")
+def edge_store_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = following(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"))
+    store = EdgeStore.save(every, state_path(spark))
+    return store.step(parts.where("id % 50 = 0"), "inputs", parts)
 
 
 @R.add(f"""
