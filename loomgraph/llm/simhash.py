@@ -292,7 +292,7 @@ def sketch_links(table: pa.Table, group: np.ndarray, similarity: float, whole: b
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        p, q, agree = [], [], []
+        label, doubt = np.arange(e - s), []
         for i in range(s, e - 1, 64):
             row = np.arange(i, min(i + 64, e - 1))
             equal = np.zeros((len(row), e - i), np.int16)
@@ -302,39 +302,45 @@ def sketch_links(table: pa.Table, group: np.ndarray, similarity: float, whole: b
             near &= np.minimum(size[row, None], size[None, i:e]) >= similarity * np.maximum(size[row, None], size[None, i:e])
             near &= (side[row, None] == 0) | (side[row, None] != side[None, i:e])
             near &= np.arange(i, e)[None, :] > row[:, None]
+            if not whole:
+                # Sure pairs only join their members' sets, so no bucket keeps them.
+                sure = near & (equal >= high)
+                for r in np.flatnonzero(sure.any(axis=1)):
+                    met = np.append(label[i - s :][sure[r]], label[i - s + r])
+                    if (met != met[0]).any():
+                        label[np.isin(label, met)] = met.min()
+                near &= ~sure
             r, c = np.nonzero(near)
-            p.append(row[r])
-            q.append(c + i)
-            agree.append(equal[r, c])
-        if not p:
-            continue
-        p, q, agree = np.concatenate(p), np.concatenate(q), np.concatenate(agree)
-        if whole:
-            found.append((p, q, np.zeros(len(p), bool)))
-            continue
-        sure = agree >= high
-        label = stars(p[sure] - s, q[sure] - s, e - s)
+            doubt.append((row[r], c + i))
         far = np.flatnonzero(label != np.arange(e - s))
         found.append((label[far] + s, far + s, np.ones(len(far), bool)))
-        open_ = ~sure & (label[p - s] != label[q - s])
-        found.append((p[open_], q[open_], np.zeros(int(open_.sum()), bool)))
+        for p, q in doubt:
+            open_ = whole | (label[p - s] != label[q - s])
+            found.append((p[open_], q[open_], np.zeros(int(open_.sum()), bool)))
     none = np.zeros(0, np.int64)
     p, q, stands = (np.concatenate(c) for c in zip(*found)) if found else (none, none, np.zeros(0, bool))
     return np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), stands
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: what is made of texts is handed on before more of it is made."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def similar_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
     """pairs (a, b, stands) of doc_ids of docs (doc_id, text), stored, with ``same``: whether their sets of shingles are so similar."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = likely_among(docs, "doc_id", ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [hashed_shingles(hashed_words(t.as_py())[1], width).tobytes() for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "held"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             same = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -361,7 +367,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t.as_py() for t in batch.column("text")]
             digests, sizes, sketches, bands = zip(*(text_marks(t, width) for t in texts)) if texts else ((), (), (), ())
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
