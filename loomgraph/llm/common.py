@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -62,6 +63,21 @@ def forget(*tables: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What operators keep in a worker process between tasks: by operator, what lets it go.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, let_go: Callable[[], None]) -> None:
+    """Says in a worker that operator keeps something there for its further tasks."""
+    _kept[operator] = let_go
+
+
+def let_go_of_others(operator: str) -> None:
+    """Frees what other operators have kept in this worker, which Spark hands from stage to stage."""
+    for other in [k for k in _kept if k != operator]:
+        _kept.pop(other)()
+
+
 #: Bits of the filter that tells rows that are surely not among others.
 FILTER_BITS = 1 << 23
 

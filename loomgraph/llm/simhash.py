@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import free_name
-from loomgraph.llm.common import FILTER_BITS, connected_components, forget, likely_among, stored
+from loomgraph.llm.common import FILTER_BITS, connected_components, forget, let_go_of_others, likely_among, stored
 
 SEED = 42
 WIDTH = 4
@@ -367,6 +367,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go_of_others("simhash")
         for batch in sliced(batches):
             texts = [t.as_py() for t in batch.column("text")]
             digests, sizes, sketches, bands = zip(*(text_marks(t, width) for t in texts)) if texts else ((), (), (), ())
