@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import geometry, network, similarity
+from loomgraph.operators import geometry, linkage, meshes, network, similarity
 from loomgraph.plans import graphs, likeness
 from loomgraph.plans.registry import Registry, table
 from loomgraph.sources import tables as sources
@@ -68,6 +68,19 @@ def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.in_boxes(points(spark, sf_dir), boxes, 10.0).select("at", "roi")
 
 
+@R.add(f"""SELECT p."at", min(roi) AS roi FROM ({_POINTS}) p LEFT JOIN ({_BOXES}) ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND z >= z0 AND z < z1 GROUP BY 1""")
+def points_in_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes as closed surfaces of twelve triangles; where they overlap the first by name has the point."""
+    corners = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    quads = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+    triangles = [[corners[q[n]] for n in (0, i, i + 1)] for q in quads for i in (1, 2)]
+    name, region = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    edges = {"x": (name - 15, name - 9), "y": (F.lit(-8.0), 2 * region), "z": (F.lit(-20.0), F.lit(20.0))}
+    faces = F.array(*[F.struct(*[edges[c][corner[n]].alias(f"{which}{c}") for which, corner in zip("abc", t) for n, c in enumerate("xyz")]) for t in triangles])
+    meshed = table(spark, sf_dir, "nation").select(F.col("n_name").alias("roi"), F.explode(faces).alias("t")).select("roi", "t.*")
+    return meshes.in_meshes(points(spark, sf_dir).drop("id"), meshed).select("at", "roi")
+
+
 @R.add(f"""SELECT "at", CASE WHEN z < -10 THEN 'L1' WHEN z < 0 THEN 'L2' WHEN z < 10 THEN 'L3' END AS layer FROM ({_POINTS})""")
 def depth_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.layered(points(spark, sf_dir), "z", {"L1": -10.0, "L2": 0.0, "L3": 10.0}).select("at", "layer")
@@ -172,3 +185,32 @@ def dataset_synapses(spark: SparkSession, sf_dir: str) -> DataFrame:
     owing = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
     owing = owing.union(table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey") + graphs.BEYOND))
     return shop.synapses_of(owing, least=0.02).groupBy("neuron", "partner", "polarity").agg(F.count("*").alias("n"))
+
+
+def brand_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart brands lie by the mean size and price of their parts."""
+    parts = table(spark, sf_dir, "part").groupBy(F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("id")).agg(F.avg("p_size").alias("x"), (F.avg("p_retailprice") / 50).alias("y"))
+    pairs = parts.toDF("row", "ax", "ay").crossJoin(F.broadcast(parts.toDF("col", "bx", "by"))).where("row < col")  # a row a brand
+    return pairs.select("row", "col", F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)).alias("value"))
+
+
+_BRAND_PLACES = r"SELECT CAST(regexp_extract(p_brand, '(\d+)', 1) AS BIGINT) AS id, avg(p_size) AS x, avg(p_retailprice) / 50 AS y FROM part GROUP BY 1"
+
+
+@R.add(f"""
+WITH RECURSIVE p AS ({_BRAND_PLACES}), d AS (SELECT a.id AS a, b.id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.id <> b.id),
+r(k, groups, heights) AS (SELECT 0, (SELECT list([id] ORDER BY id) FROM p), CAST([] AS DOUBLE[])
+  UNION ALL SELECT k + 1, list_append(list_filter(groups, lambda g: g <> best.g AND g <> best.h), list_sort(list_concat(best.g, best.h))), list_append(heights, best.v) FROM (
+    SELECT k, groups, heights, (SELECT arg_min(struct_pack(g := g, h := h, v := v), v) FROM (SELECT g, h, (SELECT avg(d.d) FROM d WHERE list_contains(g, d.a) AND list_contains(h, d.b)) AS v
+      FROM (SELECT unnest(r.groups) AS g) x, (SELECT unnest(r.groups) AS h) y WHERE g[1] < h[1]) z) AS best FROM r WHERE len(groups) > 1) w)
+SELECT CAST(step - 1 AS BIGINT) AS step, round(heights[step], 6) AS height FROM (SELECT heights, unnest(range(1, len(heights) + 1)) AS step FROM r ORDER BY k DESC LIMIT (SELECT count(*) - 1 FROM p))
+""")
+def linkage_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.agglomerated(brand_distances(spark, sf_dir), "average").select("step", F.round("height", 6).alias("height"))
+
+
+@R.add()
+def linkage_ward_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distances = brand_distances(spark, sf_dir)
+    members = distances.select(F.explode(F.array("row", "col")).alias("id")).distinct()
+    return linkage.cut_by_count(linkage.agglomerated(distances, "ward"), members, 6)
