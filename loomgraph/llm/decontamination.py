@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from loomgraph.llm.common import tidy
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: One edit is allowed for so many characters of an item.
@@ -167,7 +169,7 @@ def leaks(
                 rows = [(i.as_py(), *leak) for i, t in zip(batch.column("doc_id"), batch.column("text")) for leak in (matcher.leaks(normalised(t.as_py())) if shared.value else [])]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, schema)], schema=schema)
 
-        one = held.mapInArrow(match, kinds)
+        one = held.mapInArrow(tidy(match), kinds)
         found = one if found is None else found.union(one)
     return found
 
@@ -189,5 +191,5 @@ def decontaminated(
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.leaks(normalised(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import free_name
-from loomgraph.llm.common import FILTER_BITS, connected_components, forget, let_go_of_others, likely_among, stored
+from loomgraph.llm.common import FILTER_BITS, connected_components, forget, let_go_of_others, likely_among, stored, tidy
 
 SEED = 42
 WIDTH = 4
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return held.mapInArrow(compute, f"doc_id {dict(held.dtypes)['doc_id']}, fp long")
+    return held.mapInArrow(tidy(compute), f"doc_id {dict(held.dtypes)['doc_id']}, fp long")
 
 
 def covering_masks(radius: int = RADIUS, seed: int = 8) -> list[int]:
@@ -180,7 +180,7 @@ def bucket_links(members: DataFrame, radius: int, choose: Callable[[pa.Table, np
         if held:
             yield run(pa.Table.from_batches(held))
 
-    return members.mapInArrow(link, "a long, b long, whole boolean")
+    return members.mapInArrow(tidy(link), "a long, b long, whole boolean")
 
 
 def mask_keys(radius: int) -> list[Column]:
@@ -348,9 +348,9 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, width: i
                 same.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("stands"), pa.array(same, pa.bool_())], names=["a", "b", "stands", "same"])
 
-    sets = stored(texts.mapInArrow(shingles, "doc_id long, held binary"), "shingles")
+    sets = stored(texts.mapInArrow(tidy(shingles), "doc_id long, held binary"), "shingles")
     sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
-    told = stored(sides.select("a", "b", "stands", "x", "y").mapInArrow(compare, "a long, b long, stands boolean, same boolean"), "told")
+    told = stored(sides.select("a", "b", "stands", "x", "y").mapInArrow(tidy(compare), "a long, b long, stands boolean, same boolean"), "told")
     forget(sets)
     return told
 
@@ -376,7 +376,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", "digest", "fp", "size", "sketch", "bands"])
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stored(held.mapInArrow(mark, "doc_id long, digest binary, fp long, size long, sketch binary, bands array<long>"), "marks")
+    found = stored(held.mapInArrow(tidy(mark), "doc_id long, digest binary, fp long, size long, sketch binary, bands array<long>"), "marks")
     firsts = found.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = found.join(firsts, (found["digest"] == firsts["digest"]) & (found["doc_id"] == firsts["node"])).drop(firsts["digest"]).drop("doc_id")
     nodes = stored(nodes.dropDuplicates(["node"]), "texts")

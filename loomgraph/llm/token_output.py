@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import keeps, let_go_of_others, new_path, part_starts, stored
+from loomgraph.llm.common import keeps, let_go_of_others, new_path, part_starts, stored, tidy
 
 #: Longest code word; the decoder's table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
@@ -218,7 +218,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = None, id_col: str
 
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(held.dtypes)["doc_id"]
-    return held.mapInArrow(tokenize, f"doc_id {kind}, n_tokens long, ids binary")
+    return held.mapInArrow(tidy(tokenize), f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def numbers(blob: bytes, n: int) -> np.ndarray:
@@ -366,7 +366,7 @@ def write_encoded(tokens: DataFrame, path: str) -> dict[int, int]:
                 )
 
     kind = dict(tokens.dtypes)["doc_id"]
-    coded = tokens.mapInArrow(encode, f"shard int, doc_id {kind}, n_tokens long, checkpoints binary, payload binary")
+    coded = tokens.mapInArrow(tidy(encode), f"shard int, doc_id {kind}, n_tokens long, checkpoints binary, payload binary")
     placed = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", F.crc32("payload"))
     placed.write.option("compression", "none").parquet(f"{path}/shards")
     return lengths
@@ -392,7 +392,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.parquet(f"{path}/shards")
     kind = dict(files.dtypes)["doc_id"]
-    return files.mapInArrow(digest, f"shard int, doc_id {kind}, n_tokens long, ids_crc32 long, payload_crc32 long")
+    return files.mapInArrow(tidy(digest), f"shard int, doc_id {kind}, n_tokens long, ids_crc32 long, payload_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

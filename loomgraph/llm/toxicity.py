@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import least_hashed, stored
+from loomgraph.llm.common import least_hashed, stored, tidy
 
 #: The bound of the labelled sample, and of the features that are fitted.
 SAMPLE, FEATURES = 8_000, 6_000
@@ -132,7 +132,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             least = [least_shingle(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([*(batch.column(c) for c in ("id", "toxic", "text")), pa.array(least, pa.int64())], names=["id", "toxic", "text", "sketch"])
 
-    sketched = sampled.select("id", "toxic", "text").mapInArrow(sketch, f"id {dict(sampled.dtypes)['id']}, toxic int, text string, sketch long")
+    sketched = sampled.select("id", "toxic", "text").mapInArrow(tidy(sketch), f"id {dict(sampled.dtypes)['id']}, toxic int, text string, sketch long")
     # Copies and most near copies of a text are no further evidence: they count once a label.
     first = sketched.groupBy("toxic", "sketch").agg(F.min(F.struct("id", "text")).alias("r"))  # the same on every run
     return stored(first.select("r.id", "toxic", "r.text"), "labelled")
@@ -160,7 +160,7 @@ def telling_features(sampled: DataFrame, most: int) -> list[tuple[str, float]]:
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return []
-    sums = sampled.select("toxic", "text").mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    sums = sampled.select("toxic", "text").mapInArrow(tidy(count), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     odds = F.log((F.col("t") + 0.5) / (n1 - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (n0 - F.col("c") + 0.5))
     spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     ranked = sums.where(F.col("c") + F.col("t") >= LEAST_DOCS).select("feature", (odds / spread).alias("z"), odds.alias("odds"), "t", "c")
@@ -197,7 +197,7 @@ def fit(
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["id", "toxic", "mentions", "at", "value"])
 
     kind = dict(sampled.dtypes)["id"]
-    made = sampled.mapInArrow(vectors, f"id {kind}, toxic int, mentions long, at array<int>, value array<double>")
+    made = sampled.mapInArrow(tidy(vectors), f"id {kind}, toxic int, mentions long, at array<int>, value array<double>")
     examples = sorted(made.collect(), key=lambda r: (r.id, r.mentions))  # bounded by sample
     toxic = np.array([r.toxic for r in examples])
     mentions = np.array([r.mentions for r in examples])
@@ -229,7 +229,7 @@ def severities(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", te
             yield pa.record_batch([batch.column("doc_id"), pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array([s >= reject for s in severity], pa.bool_())], names=["doc_id", "severity", "grade", "rejected"])
 
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return held.mapInArrow(score, f"doc_id {dict(held.dtypes)['doc_id']}, severity double, grade int, rejected boolean")
+    return held.mapInArrow(tidy(score), f"doc_id {dict(held.dtypes)['doc_id']}, severity double, grade int, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: SeverityModel, text_col: str = "text", reject: float = REJECT) -> DataFrame:
@@ -242,4 +242,4 @@ def accepted(docs: DataFrame, model: SeverityModel, text_col: str = "text", reje
         for batch in batches:
             yield batch.filter(pa.array([model.severity(t.as_py()) < reject for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
