@@ -94,21 +94,27 @@ def net_coreness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.coreness(following(spark, sf_dir))
 
 
-@R.add(_LINKED + """, a AS (SELECT DISTINCT source, target FROM e WHERE source <> target), d AS (SELECT x, count(*) AS k FROM n GROUP BY 1),
+#: Links of more than one step twice over, and nodes without any.
+_PARALLEL = _LINKED.replace(f"e AS ({_NEXT})", f"e AS (SELECT * FROM ({_NEXT}) UNION ALL SELECT * FROM ({_NEXT}) WHERE weight > 1)")
+
+
+@R.add(_PARALLEL + """, a AS (SELECT DISTINCT source, target FROM e WHERE source <> target), d AS (SELECT x, count(*) AS k FROM n GROUP BY 1),
 t AS (SELECT p.x, count(*) AS c FROM n p JOIN n q ON p.x = q.x AND p.y < q.y JOIN u r ON r.a = p.y AND r.b = q.y GROUP BY 1),
-m AS (SELECT d.x, k, coalesce(c, 0) AS c FROM d LEFT JOIN t USING (x)), ids AS (SELECT source AS id FROM e UNION SELECT target FROM e),
-g AS (SELECT id, count(*) AS deg FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1), z AS (SELECT CAST(count(*) AS DOUBLE) AS nn FROM ids),
+m AS (SELECT d.x, k, coalesce(c, 0) AS c FROM d LEFT JOIN t USING (x)), ids AS (SELECT source AS id FROM e UNION SELECT target FROM e UNION SELECT 10000000 + n_nationkey FROM nation),
+g AS (SELECT ids.id, coalesce(deg, 0) AS deg FROM ids LEFT JOIN (SELECT id, count(*) AS deg FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1) USING (id)), z AS (SELECT CAST(count(*) AS DOUBLE) AS nn FROM ids),
 w AS (SELECT i.k AS x, j.k AS y FROM n JOIN d i ON i.x = n.x JOIN d j ON j.x = n.y),
 c(k, id, root) AS (SELECT 0, id, id FROM ids UNION ALL SELECT k + 1, id, min(root) FROM (SELECT c.k, n.y AS id, c.root FROM c JOIN (SELECT x, y FROM n UNION ALL SELECT id, id FROM ids) n ON n.x = c.id WHERE c.k < 12) GROUP BY k, id),
 s AS (SELECT root, count(*) AS size FROM c WHERE k = 12 GROUP BY 1)
-SELECT CAST(nn AS BIGINT) AS nodes, (SELECT count(*) FROM e) AS links, true AS directed, (SELECT count(*) FROM e WHERE source = target) AS self_loops, CAST(0 AS BIGINT) AS parallel_links, CAST(0 AS BIGINT) AS isolated,
+SELECT CAST(nn AS BIGINT) AS nodes, (SELECT count(*) FROM e) AS links, true AS directed, (SELECT count(*) FROM e WHERE source = target) AS self_loops, (SELECT count(*) FROM e WHERE source <> target) - (SELECT count(*) FROM a) AS parallel_links, (SELECT count(*) FROM g WHERE deg = 0) AS isolated,
   round((SELECT count(*) FROM a) / (nn * (nn - 1)), 9) AS density, (SELECT round(avg(deg), 9) FROM g) AS mean_degree, (SELECT median(deg) FROM g) AS median_degree, (SELECT max(deg) FROM g) AS max_degree,
   round((SELECT count(*) FROM a JOIN a q ON a.source = q.target AND a.target = q.source) / (SELECT count(*) FROM a), 9) AS reciprocity, (SELECT count(*) FROM s) AS components, (SELECT max(size) FROM s) AS largest_component,
   (SELECT round(avg(c / (k * (k - 1) / 2)) FILTER (k >= 2), 9) FROM m) AS mean_clustering, (SELECT round(sum(c) / sum(k * (k - 1) / 2), 9) FROM m) AS transitivity, (SELECT round(corr(x, y), 7) FROM w) AS assortativity,
   (SELECT CAST(sum(weight) AS DOUBLE) FROM e) AS total_weight, (SELECT round(avg(weight), 9) FROM e) AS mean_weight, (SELECT median(CAST(weight AS DOUBLE)) FROM e) AS median_weight, (SELECT CAST(max(weight) AS DOUBLE) FROM e) AS max_weight FROM z
 """)
 def net_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = network.summary(following(spark, sf_dir))
+    e = following(spark, sf_dir)
+    alone = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 10_000_000).cast("long").alias("id"))
+    out = network.summary(e.union(e.where("weight > 1")), network.nodes(e).union(alone))
     return out.withColumns({**{c: F.round(c, 9) for c in ("mean_clustering", "density", "reciprocity", "transitivity", "mean_degree", "mean_weight")}, "assortativity": F.round("assortativity", 7)})
 
 
@@ -250,12 +256,12 @@ def motif_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""
-WITH RECURSIVE e AS ({_NEXT}), r(id, layer) AS (SELECT DISTINCT id, 0 FROM (SELECT source AS id FROM e UNION SELECT target FROM e) WHERE id % 50 = 0 UNION SELECT e.target, r.layer + 1 FROM r JOIN e ON e.source = r.id WHERE e.source < e.target AND r.layer < 6)
+WITH RECURSIVE e AS ({_NEXT}), r(id, layer) AS (SELECT DISTINCT id, 0 FROM (SELECT source AS id FROM e UNION SELECT target FROM e) WHERE id % 50 = 0 UNION SELECT e.target, r.layer + 1 FROM r JOIN e ON e.source = r.id WHERE e.source <> e.target AND r.layer < 6)
 SELECT id, max(layer) AS layer FROM r GROUP BY 1
 """)
 def flow_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = following(spark, sf_dir)
-    return network.layers(every.where("source < target"), fiftieth(every), 6)
+    return network.layers(every, fiftieth(every), 6)
 
 
 @R.add(f"""
@@ -271,17 +277,22 @@ def partner_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""
-WITH e AS (SELECT o_orderstatus AS s, o_custkey, l_suppkey, count(*) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
-x AS (SELECT s, c_mktsegment AS pre_label, 'N' || s_nationkey AS post_label, sum(w) AS w FROM e JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)
-SELECT pre_label, post_label, CAST(coalesce(sum(w) FILTER (s = 'F'), 0) AS BIGINT) AS weight_F, CAST(coalesce(sum(w) FILTER (s = 'O'), 0) AS BIGINT) AS weight_O, CAST(coalesce(sum(w) FILTER (s = 'P'), 0) AS BIGINT) AS weight_P,
-  true AS present_F, true AS present_O, true AS present_P FROM x GROUP BY 1, 2
+WITH e AS (SELECT o_orderstatus AS s, c_mktsegment AS pre_label, 'S' || s_suppkey AS post_label, s_nationkey, count(*) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE (o_orderstatus <> 'O' OR s_nationkey >= 5) AND (o_orderstatus <> 'P' OR c_mktsegment <> 'BUILDING') GROUP BY 1, 2, 3, 4)
+SELECT pre_label, post_label, CAST(coalesce(sum(w) FILTER (s = 'F'), 0) AS BIGINT) AS weight_F, CASE WHEN s_nationkey >= 5 THEN CAST(coalesce(sum(w) FILTER (s = 'O'), 0) AS BIGINT) END AS weight_O,
+  CASE WHEN pre_label <> 'BUILDING' THEN CAST(coalesce(sum(w) FILTER (s = 'P'), 0) AS BIGINT) END AS weight_P, true AS present_F, s_nationkey >= 5 AS present_O, pre_label <> 'BUILDING' AS present_P FROM e GROUP BY pre_label, post_label, s_nationkey
 """)
 def compare_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three datasets of segments and suppliers; one never sampled the suppliers of some nations, one a segment."""
     met = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     met = met.select("o_orderstatus", F.col("o_custkey").alias("pre"), (F.col("l_suppkey") + BEYOND).alias("post"), F.lit(1).alias("weight"))
-    labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
-    labels = labels.union(table(spark, sf_dir, "supplier").select(F.col("s_suppkey") + BEYOND, F.concat(F.lit("N"), "s_nationkey")))
-    return joins.compare_connectivity({s: met.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in "FOP"}, dict.fromkeys("FOP", labels))
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+
+    def labels(c: DataFrame, s: DataFrame) -> DataFrame:
+        return c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label")).union(s.select(F.col("s_suppkey") + BEYOND, F.concat(F.lit("S"), "s_suppkey")))
+
+    sampled = {"F": labels(customers, suppliers), "O": labels(customers, suppliers.where("s_nationkey >= 5")), "P": labels(customers.where("c_mktsegment <> 'BUILDING'"), suppliers)}
+    return joins.compare_connectivity({s: met.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in "FOP"}, sampled)
 
 
 @R.add("""
@@ -332,17 +343,17 @@ def match_types_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.match_types(seen.union(alone), 3)[1]
 
 
-_SIDES = "SELECT o_custkey AS pre, 1000000 + l_suppkey AS post, CASE l_returnflag WHEN 'A' THEN 'axon' WHEN 'N' THEN 'dendrite' END AS a, CASE l_linestatus WHEN 'F' THEN 'axon' ELSE 'linker' END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+_SIDES = "SELECT o_custkey AS pre, 1000000 + l_suppkey AS post, CASE l_returnflag WHEN 'A' THEN 'axon' WHEN 'N' THEN 'dendrite' END AS a, CASE WHEN l_linestatus = 'F' THEN 'axon' WHEN l_quantity > 25 THEN 'linker' ELSE 'dendrite' END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
 @R.add(f"""
-WITH s AS ({_SIDES}) SELECT pre AS "preId", post AS "postId", count(*) AS weight, count(*) FILTER (a = 'axon' AND b = 'axon') AS "weightAxonAxon", CAST(0 AS BIGINT) AS "weightAxonDendrite",
-  count(*) FILTER (a = 'dendrite' AND b = 'axon') AS "weightDendriteAxon", CAST(0 AS BIGINT) AS "weightDendriteDendrite", count(*) FILTER (a IS NOT NULL AND b = 'linker') AS "weightLinker",
+WITH s AS ({_SIDES}) SELECT pre AS "preId", post AS "postId", count(*) AS weight, count(*) FILTER (a = 'axon' AND b = 'axon') AS "weightAxonAxon", count(*) FILTER (a = 'axon' AND b = 'dendrite') AS "weightAxonDendrite",
+  count(*) FILTER (a = 'dendrite' AND b = 'axon') AS "weightDendriteAxon", count(*) FILTER (a = 'dendrite' AND b = 'dendrite') AS "weightDendriteDendrite", count(*) FILTER (a IS NOT NULL AND b = 'linker') AS "weightLinker",
   count(*) FILTER (a IS NULL) AS "weightUnsplit", count(*) AS synapses FROM s GROUP BY 1, 2
 """)
 def connection_compartments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     a = F.when(F.col("l_returnflag") == "A", "axon").when(F.col("l_returnflag") == "N", "dendrite")
-    b = F.when(F.col("l_linestatus") == "F", "axon").otherwise("linker")
+    b = F.when(F.col("l_linestatus") == "F", "axon").when(F.col("l_quantity") > 25, "linker").otherwise("dendrite")
     synapses = lines.select(F.col("o_custkey").alias("pre"), (F.col("l_suppkey") + BEYOND).alias("post"), a.alias("pre_compartment"), b.alias("post_compartment"))
     return joins.connection_compartments(edges(spark, sf_dir).toDF("preId", "postId", "weight"), synapses)
