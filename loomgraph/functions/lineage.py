@@ -123,16 +123,24 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return held
 
 
+#: Distinct values, of all groups together, up to which percentiles rank them in a window instead of over ranges.
+FEW_VALUES = 20_000
+
+
 def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """by, n and q: an array of the exact percentiles of value, by linear interpolation between closest ranks.
 
-    Values are counted before they are moved, and ranks come from sums over ranges, so no task holds a group. Missing values and
+    Values are counted before they are moved, and where there are more than FEW_VALUES of them ranks come from sums over ranges, so no task holds a group. Missing values and
     those that are no number do not count; groups without a value have no row. A weight counts a row more than once.
     """
     by = by or []
     held = df.select(*by, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w")).where("_v is not null and not isnan(_v)")
     counts = held.groupBy(*by, "_v").agg(F.sum("_w").alias("_n"))
-    ranked = running(counts, [*map(F.col, by), F.col("_v")], {"_upto": F.col("_n")})
+    counts, seen = measured(counts, rows=F.count("*"))
+    if seen["rows"] <= FEW_VALUES:
+        ranked = counts.withColumn("_upto", F.sum("_n").over(W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        ranked = running(counts, [*map(F.col, by), F.col("_v")], {"_upto": F.col("_n")})
     totals = ranked.groupBy(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)]).agg(F.sum("_n").alias("_all"), F.min(F.col("_upto") - F.col("_n")).alias("_base"))
     placed = ranked.join(totals, same_keys(ranked, totals, by)) if by else ranked.crossJoin(F.broadcast(totals))  # one row
     first, last = F.col("_upto") - F.col("_n") - F.col("_base"), F.col("_upto") - 1 - F.col("_base")

@@ -136,6 +136,13 @@ def update_ids(df: DataFrame, lookup: DataFrame, column: str) -> DataFrame:
     return out.withColumn(column, F.coalesce("_new", column)).select(df.columns)
 
 
+def update_ids_by_supervoxel(df: DataFrame, lookup: DataFrame, column: str, supervoxel: str) -> DataFrame:
+    """Repoints ids to where each row's own supervoxel is now: lookup (supervoxel, new), a row a supervoxel. Rows without one, or with one that nobody knows, are left alone."""
+    now = lookup.select(F.col("supervoxel").alias("_sv"), F.col("new").alias("_new"))
+    out = df.join(now, df[supervoxel] == now["_sv"], "left")
+    return out.withColumn(column, F.coalesce("_new", column)).select(df.columns)
+
+
 #: What a synapse between two compartments is called, and the column that counts it.
 CONNECTIONS = {
     "axo-axonic": "weightAxonAxon", "axo-dendritic": "weightAxonDendrite", "dendro-axonic": "weightDendriteAxon", "dendro-dendritic": "weightDendriteDendrite",

@@ -434,12 +434,26 @@ def layers(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     return layer
 
 
-def motif(edges: DataFrame, pattern: list[tuple[str, str]], absent: list[tuple[str, str]] = ()) -> DataFrame:
+def motif(
+    edges: DataFrame, pattern: list[tuple[str, str]], absent: list[tuple[str, str]] = (), attributes: DataFrame | None = None,
+    nodes_where: dict[str, str] | None = None, edges_where: dict[tuple[str, str], str] | None = None,
+) -> DataFrame:
     """One row a match, a column a node of pattern: all its edges exist between distinct nodes, and none of absent.
 
-    The pattern must hang together: each of its edges is joined on nodes that are placed already.
+    nodes_where has conditions on the attributes (id and more) of nodes by their name in the pattern, edges_where such on the columns of edges, as SQL; an absent edge
+    with a condition may exist if it doesn't meet it. What a condition rules out is left out before anything is joined. The pattern must hang together: each of
+    its edges is joined on nodes that are placed already.
     """
-    arcs = edges.select("source", "target").distinct()
+    nodes_where, edges_where = nodes_where or {}, edges_where or {}
+
+    def arcs_of(a: str, b: str) -> DataFrame:
+        found = edges.where(edges_where[a, b]) if (a, b) in edges_where else edges
+        found = found.select("source", "target").distinct().toDF(a, b)
+        for name in (a, b):
+            if name in nodes_where:
+                found = found.join(attributes.where(nodes_where[name]).select(F.col("id").alias(name)).distinct(), name, "left_semi")
+        return found.select(a, b)
+
     found, names, todo, order = None, [], list(pattern), []
     while todo:
         known = {x for e in order for x in e}
@@ -449,7 +463,7 @@ def motif(edges: DataFrame, pattern: list[tuple[str, str]], absent: list[tuple[s
         order.append(following)
         todo.remove(following)
     for a, b in order:
-        side = arcs.toDF(a, b)
+        side = arcs_of(a, b)
         if found is None:
             found, names = side.where(F.col(a) != F.col(b)), [a, b]
             continue
@@ -460,7 +474,7 @@ def motif(edges: DataFrame, pattern: list[tuple[str, str]], absent: list[tuple[s
                 found = found.where(reduce(lambda p, q: p & q, [F.col(x) != F.col(y) for y in names]))
                 names.append(x)
     for a, b in absent:
-        found = found.join(arcs.toDF(a, b), [a, b], "left_anti")
+        found = found.join(arcs_of(a, b), [a, b], "left_anti")
     return found.select(*dict.fromkeys(x for e in pattern for x in e))
 
 

@@ -255,6 +255,29 @@ def motif_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.motif(following(spark, sf_dir), [("a", "b"), ("b", "c"), ("c", "a")], [("b", "a")])
 
 
+@R.add(f"""
+WITH e AS ({_NEXT}) SELECT p.source AS a, p.target AS b, q.target AS c FROM e p JOIN e q ON p.target = q.source JOIN part x ON x.p_partkey = p.source JOIN part y ON y.p_partkey = q.target
+WHERE p.source <> p.target AND q.source <> q.target AND p.source <> q.target AND x.p_size > 30 AND y.p_brand = 'Brand#11' AND p.weight > 1 AND NOT EXISTS (SELECT 1 FROM e z WHERE z.source = q.target AND z.target = p.source AND z.weight > 1)
+""")
+def motif_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains from a large part over a repeated step to a part of one brand, without a repeated step back."""
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    where = {("a", "b"): "weight > 1", ("c", "a"): "weight > 1"}
+    return network.motif(following(spark, sf_dir), [("a", "b"), ("b", "c")], [("c", "a")], parts, {"a": "p_size > 30", "c": "p_brand = 'Brand#11'"}, where)
+
+
+@R.add("""
+WITH n AS (SELECT 10 * l_orderkey + l_linenumber AS sv, min(l_suppkey) AS new FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, coalesce(n.new, l_suppkey) AS l_suppkey FROM lineitem LEFT JOIN n ON n.sv = CASE WHEN l_linestatus = 'F' THEN 10 * l_orderkey + l_linenumber END
+""")
+def update_ids_by_supervoxel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    place = (10 * F.col("l_orderkey") + F.col("l_linenumber")).alias("supervoxel")
+    lookup = lines.where("l_returnflag = 'R'").groupBy(place).agg(F.min("l_suppkey").alias("new"))
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linestatus") == "F", place).alias("sv"))
+    return joins.update_ids_by_supervoxel(rows, lookup, "l_suppkey", "sv").drop("sv")
+
+
 @R.add(f"""
 WITH RECURSIVE e AS ({_NEXT}), r(id, layer) AS (SELECT DISTINCT id, 0 FROM (SELECT source AS id FROM e UNION SELECT target FROM e) WHERE id % 50 = 0 UNION SELECT e.target, r.layer + 1 FROM r JOIN e ON e.source = r.id WHERE e.source <> e.target AND r.layer < 6)
 SELECT id, max(layer) AS layer FROM r GROUP BY 1

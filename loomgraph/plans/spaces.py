@@ -56,6 +56,16 @@ def distance_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.close_share(p, p, 3.0).where("row <> col").withColumn("share", F.round("share", 9))
 
 
+@R.add(f"""
+WITH p AS ({_POINTS}), d AS (SELECT a.id AS row, a.at, b.id AS col, min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d2 FROM p a JOIN p b ON a.id <> b.id
+WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 9 GROUP BY 1, 2, 3), m AS (SELECT row, col, avg(sqrt(d2)) AS value FROM d GROUP BY 1, 2)
+SELECT m.row, m.col, round((m.value + w.value) / 2, 6) AS value FROM m JOIN m w ON w.row = m.col AND w.col = m.row
+""")
+def distance_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    return geometry.nearest_distance(p, p, 3.0, "mean", "mean").where("row <> col").withColumn("value", F.round("value", 6))
+
+
 _BOXES = "SELECT n_name AS roi, n_nationkey - 15.0 AS x0, n_nationkey - 9.0 AS x1, -8.0 AS y0, 2.0 * n_regionkey AS y1, -20.0 AS z0, 20.0 AS z1 FROM nation"
 
 

@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import lineage
 from loomgraph.functions.columns import free_name, natural_key
 from loomgraph.functions.lineage import percentiles
 from loomgraph.operators import aggregates, charts, joins, network, rows, similarity, traces
@@ -329,3 +331,18 @@ def test_connection_compartments(spark):
     long = joins.connection_compartments(edges, synapses, layout="long")
     assert long.columns == ["preId", "postId", "weight", "connection"] and long.count() == 12
     assert {r.connection: r.weight for r in long.where("preId = 1").collect()}["axo-dendritic"] == 2
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_percentiles_by_window_and_by_ranges(spark, monkeypatch, few):
+    monkeypatch.setattr(lineage, "FEW_VALUES", few)
+    rows = [(k % 3, float((k * 37) % 50)) for k in range(200)] + [(7, None), (8, float("nan")), (9, 4.0)]
+    got = {r.g: (r.n, list(r.q)) for r in lineage.percentiles(spark.createDataFrame(rows, "g long, v double"), "v", [0.25, 0.5, 1.0], ["g"]).collect()}
+    held = {g: sorted(v for h, v in rows if h == g) for g in (0, 1, 2, 9)}
+    assert got == {g: (len(v), pytest.approx([float(x) for x in np.percentile(v, [25, 50, 100])])) for g, v in held.items()}
+
+
+def test_matches_of_columns(spark):
+    scores = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("a", "y", 2.0), ("b", "y", 1.0)], "row string, col string, value double")
+    got = {(r.query, r.target) for r in similarity.matches(scores, "top", 1, axis="column").collect()}
+    assert got == {("x", "b"), ("y", "a")}
