@@ -12,7 +12,7 @@ star a group and not its pairs, so the rows made stay in proportion to its membe
 
 ``near_duplicates`` links by fingerprints of word shingles alone. ``similar_texts`` asks for a similarity of texts: five-word shingles of two
 texts that share 0.8 of them differ in ten bits, which no few tables cover. So texts also meet by bands of a min-hash sketch, in tables beside those of the masks; in a bucket pairs
-are told by their sketches, and what they leave is compared shingle by shingle.
+are told by their sketches, and a spanning forest of the most alike is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ SIMILARITY = 0.8
 #: Min-hashes of a sketch, of which a byte each is kept, and bands of so many of them that make keys.
 SKETCH = 128
 BANDS, ROWS = 16, 4
-#: Standard deviations of a sketch's estimate below which a pair at the least similarity is still compared, and above which a pair need not be compared if others link it.
-DOUBT, SURE = 3.5, 4.0
+#: Standard deviations of a sketch's estimate by which a pair at the least similarity may fall short of it and is still compared.
+DOUBT = 3.5
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = 1 << 16
 
@@ -279,46 +279,69 @@ def text_marks(text: str | None, width: int = TEXT_WIDTH) -> tuple[bytes, int, b
     return xxhash.xxh3_128_digest(joined), len(shingles), least.astype(np.uint8).tobytes(), bands.astype("<u8").tobytes()
 
 
-def sketch_links(table: pa.Table, group: np.ndarray, similarity: float, whole: bool) -> Found:
-    """Pairs of members whose sketches leave it open that they are similar.
-
-    Of members that sketches surely link, a star a set is enough, unless ``whole`` asks for each pair; its pairs are marked as standing for others. Pairs in doubt go
-    unless such a star links their ends already.
+class Bucket:
+    """Members of one bucket: how many values of their sketches agree, where they may be similar."""
+
+    def __init__(self, marks: np.ndarray, size: np.ndarray, side: np.ndarray, low: float, similarity: float) -> None:
+        self.marks, self.size, self.side, self.low, self.similarity = marks, size, side, low, similarity
+
+    def row(self, i: int) -> np.ndarray:
+        """For each member the number of values in which it agrees with member i; -1 where the two cannot be similar or do not meet here."""
+        equal = (self.marks == self.marks[i]).sum(axis=1, dtype=np.int16)
+        may = (equal >= self.low) & (np.minimum(self.size, self.size[i]) >= self.similarity * np.maximum(self.size, self.size[i]))
+        may &= (self.side[i] == 0) | (self.side != self.side[i])
+        may[i] = False
+        return np.where(may, equal, -1)
+
+    def forest(self) -> tuple[list[int], list[int]]:
+        """The links of a spanning forest whose sketches agree most: from the members placed, the one that agrees most with any of them is placed next."""
+        n = len(self.size)
+        p, q = [], []
+        best, source = np.full(n, -1, np.int16), np.zeros(n, np.int64)
+        open_ = np.ones(n, bool)
+        while open_.any():
+            at = int(np.where(open_, best, -2).argmax())
+            if best[at] >= 0:
+                p.append(int(source[at]))
+                q.append(at)
+            open_[at] = False
+            row = self.row(at)
+            better = open_ & (row > best)
+            best[better], source[better] = row[better], at
+        return p, q
+
+
+def sketch_links(table: pa.Table, group: np.ndarray, similarity: float, apart: bool) -> Found:
+    """Pairs of members whose sketches leave it open that they are similar: of each bucket a spanning forest of the most alike, which stands for its other pairs.
+
+    With ``apart`` all pairs whose ends have different labels, none standing for others.
     """
     node, size, side = (table.column(c).to_numpy() for c in ("node", "size", "side"))
+    label = table.column("label").to_numpy() if apart else None
     marks = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch")), np.uint8).reshape(-1, SKETCH)
-    spread = (similarity * (1 - similarity) / SKETCH) ** 0.5
-    low, high = SKETCH * (similarity - DOUBT * spread), SKETCH * min(1.0, similarity + SURE * spread)
+    low = SKETCH * (similarity - DOUBT * (similarity * (1 - similarity) / SKETCH) ** 0.5)
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        label, doubt = np.arange(e - s), []
-        for i in range(s, e - 1, 64):
-            row = np.arange(i, min(i + 64, e - 1))
-            equal = np.zeros((len(row), e - i), np.int16)
-            for k in range(0, SKETCH, 16):
-                equal += (marks[row, None, k : k + 16] == marks[None, i:e, k : k + 16]).sum(axis=2, dtype=np.int16)
-            near = equal >= low
-            near &= np.minimum(size[row, None], size[None, i:e]) >= similarity * np.maximum(size[row, None], size[None, i:e])
-            near &= (side[row, None] == 0) | (side[row, None] != side[None, i:e])
-            near &= np.arange(i, e)[None, :] > row[:, None]
-            if not whole:
-                # Sure pairs only join their members' sets, so no bucket keeps them.
-                sure = near & (equal >= high)
-                for r in np.flatnonzero(sure.any(axis=1)):
-                    met = np.append(label[i - s :][sure[r]], label[i - s + r])
-                    if (met != met[0]).any():
-                        label[np.isin(label, met)] = met.min()
-                near &= ~sure
-            r, c = np.nonzero(near)
-            doubt.append((row[r], c + i))
-        far = np.flatnonzero(label != np.arange(e - s))
-        found.append((label[far] + s, far + s, np.ones(len(far), bool)))
-        for p, q in doubt:
-            open_ = whole | (label[p - s] != label[q - s])
-            found.append((p[open_], q[open_], np.zeros(int(open_.sum()), bool)))
+    starts, sizes = bounds[:-1], np.diff(bounds)
     none = np.zeros(0, np.int64)
-    p, q, stands = (np.concatenate(c) for c in zip(*found)) if found else (none, none, np.zeros(0, bool))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, np.zeros(0, bool))]
+    # Most buckets hold two: these are compared all at once.
+    two = starts[sizes == 2]
+    may = (marks[two] == marks[two + 1]).sum(axis=1) >= low
+    may &= np.minimum(size[two], size[two + 1]) >= similarity * np.maximum(size[two], size[two + 1])
+    may &= (side[two] == 0) | (side[two] != side[two + 1])
+    if apart:
+        may &= label[two] != label[two + 1]
+    found.append((two[may], two[may] + 1, np.zeros(int(may.sum()), bool)))
+    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        bucket = Bucket(marks[s : s + n], size[s : s + n], side[s : s + n], low, similarity)
+        if apart:
+            for i in range(n - 1):
+                q = np.flatnonzero((bucket.row(i)[i + 1 :] >= 0) & (label[s + i + 1 : s + n] != label[s + i])) + s + i + 1
+                found.append((np.full(len(q), s + i), q, np.zeros(len(q), bool)))
+        else:
+            p, q = bucket.forest()
+            found.append((np.array(p, np.int64) + s, np.array(q, np.int64) + s, np.ones(len(p), bool)))
+    p, q, stands = (np.concatenate(c) for c in zip(*found))
     return np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), stands
 
 
@@ -360,8 +383,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts of the same words are linked, and those whose sets of width-word shingles have a Jaccard similarity of at least ``similarity``. Such texts meet
     by a band of their sketches or by a covering table of their fingerprints (within radius bits); a pair at the least similarity is missed with a probability below one in a thousand. A pair is compared
-    once: in a bucket its sketches tell whether it is dissimilar, in doubt, or so alike that a star of such texts stands for it. Where a pair of a star turns out
-    dissimilar, all pairs of its texts' buckets are compared, in a second and last pass. component_id is the least doc_id that links reach. Null, empty and
+    once: of the pairs of a bucket whose sketches leave it open that they are similar, a spanning forest of the most alike is compared. Where one of its links turns out
+    dissimilar, the pairs of its ends' buckets that lie in what is then apart are compared, in a second and last pass. component_id is the least doc_id that links reach. Null, empty and
     blank texts have the same (no) words. Ids are integers and are taken to name one text each; rows with a null id have no part in links, and a null
     component_id unless others have their words. An empty table gives an empty one. Other columns are not looked at.
     """
@@ -383,17 +406,19 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = nodes.where("size > 0").select("node", F.posexplode(F.concat(F.array(*mask_keys(radius)), "bands")).alias("v", "key"))
     parts = nodes.select("node", "fp", "size", "sketch")
 
-    def pairs(keys: DataFrame, whole: bool) -> DataFrame:
-        chosen = bucket_links(bucket_members(parts, keys), radius, lambda table, group, _: sketch_links(table, group, similarity, whole))
-        return stored(chosen.groupBy("a", "b").agg(F.max("whole").alias("stands")), "pairs")
+    def pairs(keys: DataFrame, members: DataFrame, apart: bool) -> DataFrame:
+        chosen = bucket_links(bucket_members(members, keys), radius, lambda table, group, _: sketch_links(table, group, similarity, apart))
+        return chosen.groupBy("a", "b").agg(F.max("whole").alias("stands"))
 
-    told = similar_pairs(held, pairs(keys, False), similarity, width)
+    told = similar_pairs(held, stored(pairs(keys, parts, False), "pairs"), similarity, width)
     links = told.where("same").select("a", "b")
     failed = told.where("stands and not same").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if not failed.isEmpty():
-        # The star's texts may be linked by pairs that it stood for: those of all buckets that hold a text of a failed pair.
+        # Where a forest breaks, a pair that it stood for may link what it leaves apart: such pairs are in a bucket of the ends of a broken link.
+        at = stored(connected_components(links, "so-far"), "so-far")
+        labelled = parts.join(at.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         again = keys.join(keys.join(failed, "node", "left_semi").select("v", "key").distinct(), ["v", "key"], "left_semi")
-        more = stored(pairs(again, True).join(told, ["a", "b"], "left_anti"), "pairs")
+        more = stored(pairs(again, labelled, True).join(told, ["a", "b"], "left_anti"), "pairs")
         links = links.union(similar_pairs(held, more, similarity, width).where("same").select("a", "b"))
     components = connected_components(links, "components")
     classes = firsts.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

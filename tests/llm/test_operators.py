@@ -679,10 +679,10 @@ def missed_and_wrong(spark, texts, **more):
     return pairs, sum(got[a] != got[b] for a, b in pairs)
 
 
-@pytest.mark.parametrize("sure", [4.0, -3.0])
-def test_similar_texts_against_all_pairs(spark, monkeypatch, sure):
-    # Where sketches are trusted too early, stars break and the second pass has to find what they stood for.
-    monkeypatch.setattr(simhash, "SURE", sure)
+@pytest.mark.parametrize("doubt", [3.5, 8.0])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, doubt):
+    # With more doubt more forests break, and the second pass has to find what they stood for.
+    monkeypatch.setattr(simhash, "DOUBT", doubt)
     draw = random.Random(11)
     texts = {i: words(i, 40) for i in range(30)}
     for i in range(100, 300):
@@ -710,6 +710,19 @@ def test_templates_lose_no_link(spark, monkeypatch):
     assert len(pairs) > 100 and missed == 0 and sum(compared) < 255 * 254 / 2
 
 
+def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    draw, compared = random.Random(41), []
+    base, whole = words(6, 200).split(), simhash.similar_pairs
+    texts = {}
+    for i in range(400):
+        mine = list(base)
+        mine[draw.randrange(200)] = words(1_000 + draw.randrange(10**6), 1)
+        texts[i] = " ".join(mine)
+    monkeypatch.setattr(simhash, "similar_pairs", lambda docs, pairs, *a: compared.append(pairs.count()) or whole(docs, pairs, *a))
+    pairs, missed = missed_and_wrong(spark, texts)
+    assert len(pairs) > 70_000 and missed == 0 and sum(compared) < 400 * (simhash.BANDS + 31)
+
+
 def test_sketches_estimate_similarity():
     draw, off = random.Random(31), []
     for k in range(200):
