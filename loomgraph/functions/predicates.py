@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +119,15 @@ def all_rows(df: DataFrame, rows: list[dict]) -> Column:
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
+def runs_in_java(pattern: str) -> bool:
+    """Whether the JVM, which will match it, takes the pattern."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 _CLAUSE = re.compile(r"^(>=|<=|>|<|==|!=|~)?\s*(.*?)\s*$", re.S)
 
 
@@ -150,9 +161,7 @@ def cell_filter(df: DataFrame, column: str, typed: str) -> Column:
                 continue
             held = ordered(c.cast("double"), {">": "gt", ">=": "ge", "<": "lt", "<=": "le"}[sign], F.lit(as_number))
         elif sign == "~":
-            try:
-                re.compile(value)
-            except re.error:
+            if not runs_in_java(value):
                 continue
             held = F.coalesce(c.cast("string"), F.lit("")).rlike("(?i)" + value)
         elif sign in ("==", "!="):

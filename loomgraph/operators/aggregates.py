@@ -102,10 +102,11 @@ def normalize(matrix: DataFrame, mode: str) -> DataFrame:
     if mode == "max":
         top = matrix.agg(F.max(F.abs(v)).alias("_top"))
         return matrix.join(F.broadcast(top), how="cross").withColumn("value", F.when(F.col("_top") > 0, v / F.col("_top")).otherwise(v)).drop("_top")  # one row
-    line = W.partitionBy("row" if mode == "row" else "col")
-    total, zeros = F.sum(v).over(line), F.max(F.abs(v)).over(line) == 0
-    share = F.when(zeros, F.lit(0.0)).when(total > 0, v / total).otherwise(F.lit(float("nan")))
-    return matrix.withColumn("value", share)
+    # Totals are summed before they are moved, so no task holds a line.
+    line = "row" if mode == "row" else "col"
+    totals = matrix.groupBy(F.col(line).alias("_line")).agg(F.sum(v).alias("_total"), F.max(F.abs(v)).alias("_most"))
+    share = F.when(F.col("_most") == 0, F.lit(0.0)).when(F.col("_total") > 0, v / F.col("_total")).otherwise(F.lit(float("nan")))
+    return matrix.join(totals, matrix[line].eqNullSafe(totals["_line"])).withColumn("value", share).select(matrix.columns)
 
 
 def describe(df: DataFrame, id_column: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from loomgraph.functions import predicates
 from loomgraph.functions.predicates import all_rows, cell_filter, condition
 
 ROWS = [(1, "Red", 5.0, True), (2, "red", 0.0, False), (3, None, None, None), (4, "", float("nan"), True), (5, "r.d", -2.0, False), (6, "  ", 7.0, None)]
@@ -53,3 +54,10 @@ def test_mistakes_are_refused(df):
         condition(df, "x", "like", 1)
     with pytest.raises(ValueError):
         all_rows(df, [{"column": "x", "op": "isIn", "value": [1]}])
+
+
+def test_patterns_are_judged_by_what_runs_them(df):
+    # Python would take the first, Java the second; what Java refuses makes no sense as a clause.
+    kind = dict(df.dtypes)["t"]
+    assert kind == "string"
+    assert [predicates.runs_in_java(p) for p in ("(?P<x>r)", r"\p{Lu}ed", "(", "r.d")] == [False, True, False, True]
