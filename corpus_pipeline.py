@@ -6,6 +6,8 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,21 +17,41 @@ from loomgraph.llm.common import read, stored
 from loomgraph.llm.queries import END_ID
 
 
+#: Rows and bytes of texts that a task hands to its Python worker at once: what is in flight stays small beside an executor's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def in_small_batches(stage):
+    """The stage with BATCH set in its session, which plans read when they run."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in BATCH.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity rejects them go. Null and empty texts stay."""
     return toxicity.accepted(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+@in_small_batches
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays, once. Rows without an id stay."""
     return simhash.representatives(docs)
 
 
+@in_small_batches
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontamination.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix takes them. n_chars follows where a text is cut."""
     mixed = mixing.mixed(docs)
@@ -39,6 +61,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.select(docs.columns)
 
 
+@in_small_batches
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id files of the mix, and where each of its rows lies in them. Repetitions of a document follow each other."""
     return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
