@@ -38,6 +38,8 @@ CACHED_WORDS = 1_000_000
 SLICE_BYTES = 4 << 20
 #: Marks that stand alone after letters.
 ENDS = frozenset(".,;:!?")
+#: Words that the library encodes in one call.
+WORDS_AT_ONCE = 8192
 
 
 class Encoder:
@@ -139,8 +141,11 @@ class Encoder:
             if (f := old.get(words[i])) is not None:
                 found[i] = new[words[i]] = f
         missing = [i for i in missing if found[i] is None]
-        for i, f in zip(missing, self.encoded([words[i] for i in missing])):
-            found[i] = new[words[i]] = f
+        # The library's own record of what it encodes is many times its size.
+        for at in range(0, len(missing), WORDS_AT_ONCE):
+            some = missing[at : at + WORDS_AT_ONCE]
+            for i, f in zip(some, self.encoded([words[i] for i in some])):
+                found[i] = new[words[i]] = f
         return found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
