@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import keeps, let_go_of_others, new_path, part_starts, stored, tidy
+from loomgraph.llm.common import give_back, keeps, let_go_of_others, new_path, part_starts, stored, tidy
 
 #: Longest code word; the decoder's table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
@@ -186,6 +186,7 @@ def encoder(path: str, end_id: int | None) -> Encoder:
     if (path, end_id) not in _encoders:
         keeps("token_output", _encoders.clear)
         _encoders[path, end_id] = Encoder(path, end_id)
+        give_back()
     return _encoders[path, end_id]
 
 
