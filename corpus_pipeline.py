@@ -18,7 +18,7 @@ from loomgraph.llm.queries import END_ID
 
 
 #: Rows and bytes of texts that a task hands to its Python worker at once: what is in flight stays small beside an executor's memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
 def in_small_batches(stage):
