@@ -346,3 +346,18 @@ def test_matches_of_columns(spark):
     scores = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("a", "y", 2.0), ("b", "y", 1.0)], "row string, col string, value double")
     got = {(r.query, r.target) for r in similarity.matches(scores, "top", 1, axis="column").collect()}
     assert got == {("x", "b"), ("y", "a")}
+
+
+def test_similarity_moves_cells_and_not_products(spark, monkeypatch):
+    rows = [(o, f, float((o * f) % 7 + 1)) for o in range(40) for f in range(30) if (o + f) % 3]
+    long = spark.createDataFrame(rows, "obs int, feature int, value double")
+    want = {(r.row, r.col): round(r.value, 9) for r in similarity.similarity(long, "cosine").collect()}
+    plan = similarity.similarity(long, "cosine")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("REPARTITION_BY_COL")]
+    assert above.count("Exchange hashpartitioning") == 1  # the dealing of cells to pairs of blocks; their sums stay there
+    monkeypatch.setattr(similarity, "CHUNK", 7)
+    assert {(r.row, r.col): round(r.value, 9) for r in similarity.similarity(long, "cosine").collect()} == want
+    monkeypatch.setattr(similarity, "MOST_CELLS", 20)
+    assert {(r.row, r.col): round(r.value, 9) for r in similarity.similarity(long, "cosine").collect()} == want
+    both = similarity.both_halves(similarity.similarity(long, "cosine"))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
