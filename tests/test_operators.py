@@ -361,3 +361,62 @@ def test_similarity_moves_cells_and_not_products(spark, monkeypatch):
     assert {(r.row, r.col): round(r.value, 9) for r in similarity.similarity(long, "cosine").collect()} == want
     both = similarity.both_halves(similarity.similarity(long, "cosine"))
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+
+
+def ring_of_fans(n, leaves):
+    """A ring of n nodes, each with leaves: 100 * n + k is a leaf of n."""
+    return [(i, (i + 1) % n, 1) for i in range(n)] + [(i, 100 * (i + 1) + k, 1) for i in range(n) for k in range(leaves)]
+
+
+def distances(rows):
+    near = {}
+    for a, b, _ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for s in near:
+        far, front = {s: 0}, [s]
+        while front:
+            front = [y for x in front for y in sorted(near[x]) if far.setdefault(y, far[x] + 1) == far[x] + 1 and y != s]
+            front = list(dict.fromkeys(front))
+        out[s] = far
+    return out
+
+
+def rows_written(monkeypatch):
+    """How many rows each state has that a round of the network operators writes."""
+    written, whole = [], network.measured
+
+    def measured(df, **numbers):
+        state, seen = whole(df, **numbers)
+        written.append(state.count())
+        return state, seen
+
+    monkeypatch.setattr(network, "measured", measured)
+    return written
+
+
+def test_closeness_of_more_sources_than_a_word_has_bits(spark, monkeypatch):
+    rows = ring_of_fans(5, 14)
+    far = distances(rows)
+    written = rows_written(monkeypatch)
+    edges, ids = spark.createDataFrame(rows, "source int, target int, weight int"), spark.createDataFrame([(i,) for i in [*far, 5000]], "id int")
+    want = {s: [d for d in far[s].values() if 0 < d <= 3] for s in far}
+    got = {r.id: (r.reached, round(r.closeness, 9)) for r in network.closeness(edges, ids, 3).collect()}
+    assert got == {s: (len(d), round(len(d) / sum(d), 9)) for s, d in want.items()}
+    assert written and max(written) <= 2 * (len(far) + 1)  # a row a node and 64 sources
+
+
+def test_betweenness_of_more_sources_than_lanes(spark, monkeypatch):
+    rows = ring_of_fans(5, 8)
+    far, want = distances(rows), {}
+    written = rows_written(monkeypatch)
+    edges, ids = spark.createDataFrame(rows, "source int, target int, weight int"), spark.createDataFrame([(i,) for i in distances(rows)], "id int")
+    for s in far:
+        for t in far[s]:
+            for v in far[s]:
+                if v not in (s, t) and far[s][v] + far[v][t] == far[s][t]:  # an odd ring has one shortest way each
+                    want[v] = want.get(v, 0) + 1
+    got = {r.id: r.betweenness for r in network.betweenness(edges, ids).collect()}
+    assert got == {v: pytest.approx(want.get(v, 0) / 2) for v in far}
+    assert written and max(written) <= 2 * len(far)  # a row a node and LANES sources
