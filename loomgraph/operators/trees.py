@@ -9,8 +9,11 @@ A parent that no row of the skeleton has, or that is the node itself, makes a ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,11 +30,13 @@ def apart(a: str, b: str) -> Column:
 def climbed(links: DataFrame, weights: dict[str, Column]) -> DataFrame:
     """(id, node, top, weights) of links (id, node, up): where the way up ends, and the sums of weights along it. up is null at the end.
 
-    Each round doubles the part of the way that a row knows: it joins what is known of the place it has come to.
+    Links come in ranges of (id, node), and a stretch of them first goes as far up as it holds the way. What is left takes rounds, each of which doubles the part of
+    the way that a row knows: it joins what is known of the place it has come to.
     """
     ends = F.col("up").isNull()
     start = links.select("id", "node", F.coalesce("up", "node").alias("top"), (~ends).alias("far"), *[F.when(ends, F.lit(0)).otherwise(c).alias(n) for n, c in weights.items()])
-    state, seen = measured(start, rows=F.count("*"), far=F.count_if("far"))
+    start = start.repartitionByRange("id", "node").sortWithinPartitions("id", "node")
+    state, seen = measured(start.mapInArrow(gone_up(list(weights)), start.schema), rows=F.count("*"), far=F.count_if("far"))
     rounds = 0
     while seen["far"]:
         if 1 << rounds > seen["rows"]:
@@ -44,6 +49,66 @@ def climbed(links: DataFrame, weights: dict[str, Column]) -> DataFrame:
     return state.drop("far")
 
 
+#: Rows of a stretch in which ways are followed before anything is joined.
+STRETCH = 50_000
+
+
+def codes(columns: list[list[pa.Array]]) -> np.ndarray:
+    """A number for each row of columns, each given in parts, equal for equal rows. Structs count by their fields."""
+    out = None
+    while columns:
+        parts, *columns = columns
+        if pa.types.is_struct(parts[0].type):
+            columns = [[p.field(i) for p in parts] for i in range(parts[0].type.num_fields)] + columns
+            continue
+        one = pa.chunked_array(parts).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = one if out is None else np.unique(out * (int(one.max(initial=0)) + 1) + one, return_inverse=True)[1]
+    return out
+
+
+def followed(table: pa.Table, weights: list[str]) -> pa.Table:
+    """Rows (id, node, top, far, weights) after all steps that rows of the same table know, by doubling; ways in a circle stay as they are."""
+    n = table.num_rows
+    column = {c: table.column(c).combine_chunks() for c in table.column_names}
+    key = codes([[column["id"], column["id"]], [column["node"], column["top"]]])
+    at = np.full(int(key.max()) + 1, -1, np.int64)
+    at[key[:n]] = np.arange(n)
+    far, to, sums = column["far"].to_numpy(zero_copy_only=False).copy(), np.arange(n), {w: column[w].to_numpy(zero_copy_only=False).copy() for w in weights}
+    where = np.where(far, at[key[n:]], -1)
+    for _ in range(n.bit_length() + 1):
+        i = np.flatnonzero(where >= 0)
+        if not len(i):
+            break
+        j = where[i]
+        for w in weights:
+            sums[w][i] += sums[w][j]
+        to[i], far[i], where[i] = to[j], far[j], where[j]
+    else:
+        return table
+    made = {"top": column["top"].take(pa.array(to)), "far": pa.array(far), **{w: pa.array(v, column[w].type) for w, v in sums.items()}}
+    return pa.table([made.get(c, column[c]) for c in table.column_names], schema=table.schema)
+
+
+def gone_up(weights: list[str]):
+    """followed for stretches of sorted rows, which end with a skeleton where they can."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held, rows = [*held, batch], rows + batch.num_rows
+            if rows >= STRETCH:
+                whole = pa.Table.from_batches(held)
+                ids = codes([whole.column("id").chunks])
+                ends = np.flatnonzero(ids[1:] != ids[:-1])
+                cut = int(ends[-1]) + 1 if len(ends) else rows
+                yield from followed(whole.slice(0, cut), weights).to_batches()
+                held, rows = whole.slice(cut).to_batches(), rows - cut
+        if rows:
+            yield from followed(pa.Table.from_batches(held), weights).to_batches()
+
+    return go
+
+
 def rooted(nodes: DataFrame) -> DataFrame:
     """nodes with parent (null at roots), kids, step (the distance to the parent, 0 at roots), first (whether an unbranched run begins here).
 

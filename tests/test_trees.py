@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import trees
 
@@ -253,3 +254,19 @@ def test_segregation_of_known_mixtures(spark):
     rows = [(1, 0, "pre")] * 3 + [(1, 1, "post")] * 3 + [(2, k, p) for k in (0, 1) for p in ("pre", "post")] + [(3, 0, "pre")]
     got = trees.segregation(split, spark.createDataFrame(rows, "id long, node long, polarity string"))
     assert {r.id: r.segregation for r in got.collect()} == {1: pytest.approx(1.0), 2: pytest.approx(0.0), 3: 0.0}
+
+
+def test_ways_are_followed_where_they_lie_before_anything_is_joined(spark, monkeypatch):
+    rows = [(i, k, k - 1 if k else None) for i in range(3) for k in range(40)]
+    links = spark.createDataFrame(rows, "id int, node int, up int")
+    rounds, whole = [], trees.measured
+    monkeypatch.setattr(trees, "measured", lambda *a, **k: rounds.append(1) or whole(*a, **k))
+    want = {(i, k): (0, float(k)) for i, k, _ in rows}
+    for stretch, most in ((50_000, 3), (7, 7)):  # a skeleton is cut at the edge of a range of rows at most
+        rounds.clear()
+        monkeypatch.setattr(trees, "STRETCH", stretch)
+        got = {(r.id, r.node): (r.top, r.sum) for r in trees.climbed(links, {"sum": F.lit(1.0)}).collect()}
+        assert got == want and len(rounds) <= most
+    table = spark.createDataFrame([(1, 1, 2, True, 1), (1, 2, 3, True, 1), (1, 3, 9, True, 1), (1, 5, 5, False, 0)], "id int, node int, top int, far boolean, n long")
+    got = trees.followed(table.toArrow(), ["n"]).to_pylist()
+    assert [(r["top"], r["far"], r["n"]) for r in got] == [(9, True, 3), (9, True, 2), (9, True, 1), (5, False, 0)]
