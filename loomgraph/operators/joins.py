@@ -138,8 +138,11 @@ def update_ids(df: DataFrame, lookup: DataFrame, column: str) -> DataFrame:
 
 def update_ids_by_supervoxel(df: DataFrame, lookup: DataFrame, column: str, supervoxel: str) -> DataFrame:
     """Repoints ids to where each row's own supervoxel is now: lookup (supervoxel, new), a row a supervoxel. Rows without one, or with one that nobody knows, are left alone."""
-    now = lookup.select(F.col("supervoxel").alias("_sv"), F.col("new").alias("_new"))
-    out = df.join(now, df[supervoxel] == now["_sv"], "left")
+    nought = F.xxhash64("supervoxel").bitwiseAND(F.lit(0).cast("long"))  # a literal would be no key of the join
+    now = lookup.select(F.col("supervoxel").alias("_sv"), F.col("new").alias("_new"), nought.alias("_apart"))
+    # Rows without a supervoxel match nothing wherever they are; by null alone they would all come to one task.
+    held = df.withColumn("_spread", F.when(F.col(supervoxel).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0).cast("long")))
+    out = held.join(now, (held[supervoxel] == now["_sv"]) & (held["_spread"] == now["_apart"]), "left")
     return out.withColumn(column, F.coalesce("_new", column)).select(df.columns)
 
 

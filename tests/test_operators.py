@@ -420,3 +420,21 @@ def test_betweenness_of_more_sources_than_lanes(spark, monkeypatch):
     got = {r.id: r.betweenness for r in network.betweenness(edges, ids).collect()}
     assert got == {v: pytest.approx(want.get(v, 0) / 2) for v in far}
     assert written and max(written) <= 2 * len(far)  # a row a node and LANES sources
+
+
+def test_rows_without_a_supervoxel_are_spread_over_tasks(spark):
+    df = spark.range(4000).selectExpr("id", "id % 7 AS owner", "case when id % 2 = 0 then id end AS sv")
+    lookup = spark.range(0, 4000, 4).selectExpr("id AS supervoxel", "id + 10000 AS new")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = joins.update_ids_by_supervoxel(df, lookup, "owner", "sv")
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        got = {r.id: r.owner for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i + 10000 if i % 4 == 0 else i % 7 for i in range(4000)}
+    assert max(sizes) < 1500  # a quarter of the rows and a little more, not all those without one
