@@ -436,14 +436,17 @@ def closeness(edges: DataFrame, sources: DataFrame, max_hops: int | None = None)
 
 def layers(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     """(id, layer): the longest number of steps from the roots along edges, at most ``most`` (cycles stop there)."""
+    arcs = clustered(edges.where("source <> target").select("source", "target").distinct(), ["source"])
     layer = checkpointed(roots.select("id").distinct().withColumn("layer", F.lit(0)))
     for k in range(1, most + 1):
         front = layer.where(F.col("layer") == k - 1).select(F.col("id").alias("source"))
-        pushed = edges.join(front, "source", "left_semi").where("source <> target").select(F.col("target").alias("id")).distinct().withColumn("layer", F.lit(k))
-        after = checkpointed(layer.union(pushed).groupBy("id").agg(F.max("layer").alias("layer")))
-        if pushed.isEmpty():
-            break
+        pushed = arcs.join(front, "source", "left_semi").select(F.col("target").alias("id")).distinct().withColumn("layer", F.lit(k))
+        after, seen = measured(layer.union(pushed).groupBy("id").agg(F.max("layer").alias("layer")), pushed=F.count_if(F.col("layer") == k))
+        forget(layer)
         layer = after
+        if not seen["pushed"]:
+            break
+    forget(arcs)
     return layer
 
 

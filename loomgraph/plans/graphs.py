@@ -283,7 +283,7 @@ WITH RECURSIVE e AS ({_NEXT}), r(id, layer) AS (SELECT DISTINCT id, 0 FROM (SELE
 SELECT id, max(layer) AS layer FROM r GROUP BY 1
 """)
 def flow_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = following(spark, sf_dir)
+    every = checkpointed(following(spark, sf_dir))
     return network.layers(every, fiftieth(every), 6)
 
 
