@@ -45,10 +45,11 @@ def shortest_bridges(spots: DataFrame, size: float) -> DataFrame:
     parts = held.select(*grid, "part").distinct()
     around = parts.select("id", "part", *[f"g{c}" for c in AXES], F.explode(steps).alias("s")).select("id", "part", *[(F.col(f"g{c}") + F.col(f"s.{c}")).alias(f"g{c}") for c in AXES])
     mixed = around.groupBy(*grid).agg(F.min("part").alias("_p"), F.max("part").alias("_q")).where("_p <> _q").select(*grid)
-    near = checkpointed(held.join(mixed, grid, "left_semi"))
+    # Sizes are told from before rows are repeated for the cells around, so Spark would take these for small and gather them in the driver.
+    near = checkpointed(held.join(mixed.hint("merge"), grid, "left_semi"))
     looks = near.select("id", F.col("node").alias("a"), F.col("part").alias("p"), *[F.col(c).alias(f"a{c}") for c in AXES], *[f"g{c}" for c in AXES], F.explode(steps).alias("s"))
     looks = looks.select("id", "a", "p", "ax", "ay", "az", *[(F.col(f"g{c}") + F.col(f"s.{c}")).alias(f"g{c}") for c in AXES])
-    met = looks.join(near.select(*grid, F.col("node").alias("b"), F.col("part").alias("q"), *[F.col(c).alias(f"b{c}") for c in AXES]), grid).where("p <> q")
+    met = looks.join(near.select(*grid, F.col("node").alias("b"), F.col("part").alias("q"), *[F.col(c).alias(f"b{c}") for c in AXES]).hint("merge"), grid).where("p <> q")
     d = apart("a", "b")
     bridge = F.struct(d.alias("d"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.where(d <= size).groupBy("id", F.col("p").alias("part")).agg(F.min(bridge).alias("bridge"))

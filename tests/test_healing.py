@@ -103,3 +103,17 @@ def test_swc_files(spark, tmp_path):
     skeletons.write_swc(got.where("id = 'two'"), str(tmp_path / "out"))
     back = skeletons.read_swc(spark, str(tmp_path / "out" / "id=two"))
     assert sorted(map(tuple, back.drop("id").collect())) == [r[1:] for r in rows if r[0] == "two"]
+
+
+def test_rows_repeated_for_the_cells_around_are_not_broadcast(spark):
+    rows = [(i, k, k % 3, float(k), float(i), 0.0) for i in range(4) for k in range(30)]
+    spots = spark.createDataFrame(rows, "id long, node long, part long, x double, y double, z double")
+    frames, write = [], healing.checkpointed
+    try:
+        healing.checkpointed = lambda df: (frames.append(df), write(df))[1]
+        found = healing.shortest_bridges(spots, 2.0)
+    finally:
+        healing.checkpointed = write
+    for df in [*frames, found]:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert found.count() == 12
