@@ -1,6 +1,7 @@
 """Row, join, aggregate, chart, trace, network and similarity operators on small tables with known answers."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -438,3 +439,21 @@ def test_rows_without_a_supervoxel_are_spread_over_tasks(spark):
             spark.conf.set(k, v)
     assert got == {i: i + 10000 if i % 4 == 0 else i % 7 for i in range(4000)}
     assert max(sizes) < 1500  # a quarter of the rows and a little more, not all those without one
+
+
+def test_nearest_vectors_of_a_long_batch_take_the_memory_of_a_slice():
+    """Whole batches against a block of queries took memory by their rows; ties at the edge of a slice go to the lesser id."""
+    rng = np.random.default_rng(5)
+    ids, x = rng.permutation(20_000), rng.integers(-2, 3, (20_000, 8)).astype(float)
+    best = similarity.Best(ids[:100], x[:100], 5)
+    tracemalloc.start()
+    for at in range(0, len(ids), similarity.SLICE):
+        best.meet(ids[at : at + similarity.SLICE], x[at : at + similarity.SLICE])
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+    q, t, s = best.told()
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for i in range(100):
+        score = u[i] @ u.T
+        score[i] = -np.inf
+        assert np.allclose(np.sort(s[q == ids[i]])[::-1], np.sort(score)[::-1][:5]) and ids[i] not in t[q == ids[i]]
