@@ -11,6 +11,7 @@ from loomgraph.functions import lineage
 from loomgraph.functions.columns import free_name, natural_key
 from loomgraph.functions.lineage import percentiles
 from loomgraph.operators import aggregates, charts, joins, network, rows, similarity, traces
+from loomgraph.plans.registry import TASK_BYTES, Registry
 
 
 @pytest.fixture(scope="module")
@@ -334,6 +335,24 @@ def test_connection_compartments(spark):
     assert {r.connection: r.weight for r in long.where("preId = 1").collect()}["axo-dendritic"] == 2
 
 
+def test_registered_queries_bound_what_a_task_reads(spark):
+    held, (key, size) = Registry(), TASK_BYTES
+
+    @held.add()
+    def numbers(spark, sf_dir):
+        return spark.range(3)
+
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        assert held.queries["numbers"](spark, "").count() == 3 and spark.conf.get(key) == size
+        spark.conf.set(key, "1m")
+        held.queries["numbers"](spark, "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("few", [0, 20_000])
 def test_percentiles_by_window_and_by_ranges(spark, monkeypatch, few):
     monkeypatch.setattr(lineage, "FEW_VALUES", few)
