@@ -166,8 +166,8 @@ def connection_compartments(edges: DataFrame, synapses: DataFrame, pre: str = "p
     kind = F.when(~F.coalesce(known, F.lit(False)), F.lit("unsplit")).when((a == "linker") | (b == "linker"), F.lit("linker"))
     for (x, y), name in names.items():
         kind = kind.when((a == x) & (b == y), F.lit(name))
-    classed = synapses.join(edges.select(F.col(pre).alias("pre"), F.col(post).alias("post")).distinct(), ["pre", "post"], "left_semi").withColumn("_kind", kind)
-    counts = classed.groupBy(F.col("pre").alias("_pre"), F.col("post").alias("_post")).agg(*[F.count(F.when(F.col("_kind") == k, 1)).alias(c) for k, c in CONNECTIONS.items()])
+    # Pairs without an edge find none below. To look for their edge first would hold every pair once more in the task that counts it.
+    counts = synapses.withColumn("_kind", kind).groupBy(F.col("pre").alias("_pre"), F.col("post").alias("_post")).agg(*[F.count(F.when(F.col("_kind") == k, 1)).alias(c) for k, c in CONNECTIONS.items()])
     out = edges.join(counts, (F.col(pre) == F.col("_pre")) & (F.col(post) == F.col("_post")), "left").drop("_pre", "_post")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in CONNECTIONS.values()})
     if layout == "wide":

@@ -335,6 +335,15 @@ def test_connection_compartments(spark):
     assert {r.connection: r.weight for r in long.where("preId = 1").collect()}["axo-dendritic"] == 2
 
 
+def test_compartments_count_synapses_without_looking_for_their_edge(spark):
+    edges = spark.range(50).select(F.col("id").alias("preId"), (F.col("id") + 100).alias("postId"), F.lit(1).alias("weight"))
+    synapses = spark.range(600).select((F.col("id") % 60).alias("pre"), (F.col("id") % 60 + 100).alias("post"), F.lit("axon").alias("pre_compartment"), F.lit("axon").alias("post_compartment"))
+    got = joins.connection_compartments(edges, synapses)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Join") == 1
+    assert [(r.n, r.m) for r in got.groupBy("weightAxonAxon").agg(F.count("*").alias("n"), F.max("synapses").alias("m")).collect()] == [(50, 10)]
+
+
 def test_registered_queries_bound_what_a_task_reads(spark):
     held, (key, size) = Registry(), TASK_BYTES
 
