@@ -1,6 +1,7 @@
 """Row, join, aggregate, chart, trace, network and similarity operators on small tables with known answers."""
 
 import math
+import random
 import tracemalloc
 
 import numpy as np
@@ -335,6 +336,18 @@ def test_connection_compartments(spark):
     assert {r.connection: r.weight for r in long.where("preId = 1").collect()}["axo-dendritic"] == 2
 
 
+def test_components_go_on_with_fewer_edges_each_round(spark, monkeypatch):
+    draw, n = random.Random(5), 600
+    ids = draw.sample(range(10_000), n)
+    chain = [(ids[i], ids[i + 1]) for i in range(n - 1) if i % 200 != 199] + [(20_000, k) for k in range(20_001, 20_040)] + [(30_000, 30_000), (30_001, 30_000), (40_000, 40_000)]
+    held, kept = [], network.measured
+    monkeypatch.setattr(network, "measured", lambda df, **numbers: (out := kept(df, **numbers), held.append(out[1]["n"]))[0])
+    got = {r.id: (r.component, r["size"]) for r in network.components(spark.createDataFrame(chain, "source long, target long")).collect()}
+    groups = sorted([ids[:200], ids[200:400], ids[400:], list(range(20_000, 20_040)), [30_000, 30_001], [40_000]], key=lambda g: (-len(g), min(g)))
+    assert got == {i: (k, len(g)) for k, g in enumerate(groups, 1) for i in g}
+    assert held[0] == len({(min(e), max(e)) for e in chain if e[0] != e[1]}) and sum(held) < 4 * held[0] and len(held) < 30
+
+
 def test_compartments_count_synapses_without_looking_for_their_edge(spark):
     edges = spark.range(50).select(F.col("id").alias("preId"), (F.col("id") + 100).alias("postId"), F.lit(1).alias("weight"))
     synapses = spark.range(600).select((F.col("id") % 60).alias("pre"), (F.col("id") % 60 + 100).alias("post"), F.lit("axon").alias("pre_compartment"), F.lit("axon").alias("post_compartment"))
