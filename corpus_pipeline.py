@@ -6,33 +6,15 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, mixing, simhash, token_output, toxicity
-from loomgraph.llm.common import read, stored
+from loomgraph.llm.common import in_small_batches, read, stored
 from loomgraph.llm.queries import END_ID
 
 
-#: Rows and bytes of texts that a task hands to its Python worker at once: what is in flight stays small beside an executor's memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
-
-
-def in_small_batches(stage):
-    """The stage with BATCH set in its session, which plans read when they run."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for key, value in BATCH.items():
-            spark.conf.set(key, value)
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
 @in_small_batches
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity rejects them go. Null and empty texts stay."""

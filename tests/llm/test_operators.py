@@ -188,6 +188,27 @@ def test_edited_passages_against_brute_force(spark):
     assert got <= wanted and len(got) >= 0.97 * len(wanted) and len(wanted) > 100
 
 
+def test_classes_of_passages_leave_no_pair_apart(spark):
+    """Copies, edited copies and copies of these, all pairs compared: those of a pair are in one class, and classes hold no others."""
+    draw, rows = random.Random(12), []
+    for g in range(12):
+        passage, made = words(800 + g, 90).split(), []
+        for k in range(8):
+            own = passage[:]
+            for at in draw.sample(range(90), draw.randint(0, 2)):
+                own[at] = f"zz{k}"
+            made.append(f"{words(40_000 + 10 * g + k, draw.randint(0, 30))} {' '.join(own)} {words(50_000 + 10 * g + k, 20)}")
+        rows += [(100 * g + k, t, "s") for k, t in enumerate(made + made[:3])]
+    spell = substring_dedup.Shingler()
+    shingles = {d: spell(t) for d, t, _ in rows}
+    pairs = [(d, e) for d in shingles for e in shingles if d // 100 == e // 100 and d != e and substring_dedup.shared_stretches(shingles[d], shingles[e], 46, 0.8)]
+    got = substring_dedup.repeated_passages(make(spark, rows)).collect()
+    of = {r.doc_id: r.class_id for r in got}
+    assert len(pairs) > 1000 > len({(r.doc_id, r.partner_id) for r in got})
+    assert all(of[d] == of[e] for d, e in pairs)
+    assert all(c // 100 == d // 100 and c <= d for d, c in of.items())
+
+
 def test_short_stretches_against_brute_force():
     draw, spell = random.Random(3), substring_dedup.Shingler()
     seen = set()
