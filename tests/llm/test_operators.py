@@ -747,17 +747,17 @@ def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
 def test_pairs_in_doubt_are_no_rows(spark, monkeypatch):
     """Texts of one template that are nearly similar enough: what is compared in the second pass stays in its tasks."""
     draw, compared = random.Random(43), []
-    base, whole = words(8, 150).split(), simhash.similar_pairs
+    base, whole = words(8, 200).split(), simhash.similar_pairs
     texts = {}
     for i in range(300):
         mine = list(base)
-        for k in draw.sample(range(150), 2):
+        for k in draw.sample(range(200), 3):
             mine[k] = words(1_000 + draw.randrange(10**6), 1)
         texts[i] = " ".join(mine)
     monkeypatch.setattr(simhash, "similar_pairs", lambda docs, pairs, *a: compared.append(pairs.count()) or whole(docs, pairs, *a))
     monkeypatch.setattr(simhash, "CHUNK", 64)
     pairs, missed = missed_and_wrong(spark, texts)
-    assert len(pairs) > 100 and missed == 0 and sum(compared) < 300 * (simhash.BANDS + 31)
+    assert len(pairs) > 20 and missed == 0 and sum(compared) < 300 * 24, (len(pairs), missed, compared)
 
 
 def test_sketches_estimate_similarity():
