@@ -675,6 +675,15 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     assert [root(i) for i in range(len(prints))] == brute_components(range(len(prints)), prints)
 
 
+def test_buckets_of_few_nodes_with_many_keys_are_not_broadcast(spark, tmp_path):
+    spark.range(800).selectExpr("id AS node", "id % 50 AS fp").write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    keys = nodes.select("node", simhash.F.posexplode(simhash.F.array(*simhash.mask_keys(4))).alias("v", "key"))
+    members = simhash.bucket_members(nodes, keys)
+    assert members.count() == 800 * 31
+    assert "Broadcast" not in members._jdf.queryExecution().executedPlan().toString()
+
+
 def jaccard(x, y, width=5):
     def sets(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
