@@ -498,3 +498,50 @@ def test_nearest_vectors_of_a_long_batch_take_the_memory_of_a_slice():
         score = u[i] @ u.T
         score[i] = -np.inf
         assert np.allclose(np.sort(s[q == ids[i]])[::-1], np.sort(score)[::-1][:5]) and ids[i] not in t[q == ids[i]]
+
+
+@pytest.fixture
+def several_components(spark):
+    """A ring with fans, a random graph, a chain and many pairs, as edges; and all distances."""
+    draw = random.Random(3)
+    rows = [(a, b, 1) for a, b, *_ in ring_of_fans(5, 8)]
+    rows += [(20_000 + draw.randrange(60), 20_000 + draw.randrange(60), 1) for _ in range(150)] + [(30_000 + i, 30_001 + i, 1) for i in range(12)] + [(40_000 + 2 * i, 40_001 + 2 * i, 1) for i in range(90)]
+    rows = [r for r in rows if r[0] != r[1]]
+    return spark.createDataFrame(rows, "source long, target long, weight long"), distances(rows)
+
+
+@pytest.mark.parametrize("most", [1 << 30, 128, 1])
+def test_walks_in_tasks_and_by_joins(spark, several_components, monkeypatch, most):
+    """All components in one bundle; some in bundles, the largest by joins; all by joins, in turns."""
+    edges, far = several_components
+    monkeypatch.setattr(network.walks, "MOST_LINKS", most)
+    monkeypatch.setattr(network.walks, "FEW_NODES", 50)
+    monkeypatch.setattr(network.walks, "GATHERED", 64)
+    monkeypatch.setattr(network, "AT_ONCE", 400)
+    want = {s: [d for d in far[s].values() if 0 < d <= 5] for s in far}
+    got = {r.id: (r.reached, round(r.closeness, 9)) for r in network.closeness(edges, network.nodes(edges), 5).collect()}
+    assert got == {s: (len(d), round(len(d) / sum(d), 9)) for s, d in want.items()}
+    monkeypatch.setattr(network, "AT_ONCE", 20_000)
+    ids = network.nodes(edges).where("id % 3 = 0")
+    chosen, share = [s for s in far if s % 3 == 0], {}
+    links = {}
+    for r in edges.collect():
+        links.setdefault(r.source, set()).add(r.target)
+        links.setdefault(r.target, set()).add(r.source)
+    for s in chosen:
+        order = sorted(far[s], key=far[s].get)
+        paths, gain = {s: 1}, {}
+        for v in order[1:]:
+            paths[v] = sum(paths[u] for u in links[v] if far[s][u] == far[s][v] - 1)
+        for v in reversed(order[1:]):
+            gain[v] = sum(paths[v] / paths[u] * (1 + gain[u]) for u in links[v] if far[s][u] == far[s][v] + 1)
+            share[v] = share.get(v, 0) + gain[v]
+    got = {r.id: r.betweenness for r in network.betweenness(edges, ids).collect()}
+    assert got == {v: pytest.approx(share.get(v, 0) * len(far) / len(chosen) / 2) for v in far}
+
+
+def test_bits_are_counted_by_lane():
+    rows = np.random.default_rng(1).integers(0, 1 << 63, (100, 3), dtype=np.uint64)
+    for n in (1, 2, 3, 4, 100):
+        want = [sum(int(r[k // 64]) >> k % 64 & 1 for r in rows[:n]) for k in range(192)]
+        assert network.walks.bits_by_lane(rows[:n]).tolist() == want
