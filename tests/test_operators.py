@@ -545,3 +545,12 @@ def test_bits_are_counted_by_lane():
     for n in (1, 2, 3, 4, 100):
         want = [sum(int(r[k // 64]) >> k % 64 & 1 for r in rows[:n]) for k in range(192)]
         assert network.walks.bits_by_lane(rows[:n]).tolist() == want
+
+
+def test_closeness_of_every_node(spark):
+    """No node is left out as a source."""
+    from loomgraph.plans import graphs
+
+    e = graphs.following(spark, "/root/testdata/sf0.001").where("source <> target")
+    got = graphs.closeness(spark, "/root/testdata/sf0.001")
+    assert got.count() == network.nodes(e).count() > 190
