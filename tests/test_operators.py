@@ -405,6 +405,26 @@ def test_similarity_moves_cells_and_not_products(spark, monkeypatch):
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
 
 
+def test_products_are_no_rows(spark, monkeypatch):
+    """Sums of pairs are made in a task: nothing in the plan explodes cells by cells, and the tasks' rows are cells and pairs."""
+    monkeypatch.setattr(similarity, "CHUNK", 8)
+    rows = [(o, f if f else None, None if o == f else float((o * f) % 7)) for o in range(30) for f in range(40) if (o + f) % 3]
+    long = spark.createDataFrame(rows, "obs int, feature int, value double")
+    out = similarity.similarity(long, "cosine")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Aggregate" not in plan and "MapInArrow" in plan
+    held = {(o, f): v for o, f, v in rows if f is not None}
+    norm = {o: sum(v * v for x, _, v in rows if x == o and v) for o in range(30)}
+    for how, want in (("cosine", lambda a, b, v: v[0] / math.sqrt(norm[a] * norm[b]) if norm[a] * norm[b] else 0), ("euclidean", lambda a, b, v: math.sqrt(max(0, norm[a] + norm[b] - 2 * v[0])))):
+        got = {(r.row, r.col): r.value for r in similarity.similarity(long, how).collect()}
+        sums = {}
+        for (a, f), v in held.items():
+            for b in range(a + 1, 30):
+                if (b, f) in held:
+                    sums.setdefault((a, b), [0.0])[0] += (v or 0) * (held[b, f] or 0)
+        assert got == {(a, b): pytest.approx(want(a, b, v), abs=1e-6) for (a, b), v in sums.items()}, how
+
+
 def ring_of_fans(n, leaves):
     """A ring of n nodes, each with leaves: 100 * n + k is a leaf of n."""
     return [(i, (i + 1) % n, 1) for i in range(n)] + [(i, 100 * (i + 1) + k, 1) for i in range(n) for k in range(leaves)]
@@ -515,8 +535,6 @@ def test_walks_in_tasks_and_by_joins(spark, several_components, monkeypatch, mos
     """All components in one bundle; some in bundles, the largest by joins; all by joins, in turns."""
     edges, far = several_components
     monkeypatch.setattr(network.walks, "MOST_LINKS", most)
-    monkeypatch.setattr(network.walks, "FEW_NODES", 50)
-    monkeypatch.setattr(network.walks, "GATHERED", 64)
     monkeypatch.setattr(network, "AT_ONCE", 400)
     want = {s: [d for d in far[s].values() if 0 < d <= 5] for s in far}
     got = {r.id: (r.reached, round(r.closeness, 9)) for r in network.closeness(edges, network.nodes(edges), 5).collect()}
