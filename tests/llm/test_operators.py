@@ -209,6 +209,32 @@ def test_classes_of_passages_leave_no_pair_apart(spark):
     assert all(c // 100 == d // 100 and c <= d for d, c in of.items())
 
 
+def test_rare_shingles_tell_what_all_pairs_do(monkeypatch):
+    """Members that have a line alike and little else; some are copies of each other, edited or not, and sides keep members of one side apart."""
+    draw, rows = np.random.default_rng(4), []
+    line = draw.integers(0, 1 << 32, 30)
+    for k in range(60):
+        own = rows[k - 21]["own"].copy() if 21 <= k < 42 else np.concatenate([draw.integers(0, 1 << 32, draw.integers(0, 60)), line, draw.integers(0, 1 << 32, draw.integers(0, 60))])
+        if k % 3 == 0 and len(own) > 8:
+            own[:5] = draw.integers(0, 1 << 32, 5)
+        rows.append({"own": own, "doc": k, "c": 20, "lo": 0, "hi": len(own) - 1, "asks": True, "label": k, "seq": own.astype("<u4").tobytes(), "side": 1 + k % 2})
+    for sides in (True, False):
+        table = substring_dedup.pa.Table.from_pylist([{k: v for k, v in r.items() if k != "own"} | ({} if sides else {"side": 0}) for r in rows])
+        few = substring_dedup.Members(table, 46, 0.8).alike()
+        with monkeypatch.context() as m:
+            m.setattr(substring_dedup.Members, "candidates", lambda *_: None)
+            every = substring_dedup.Members(table, 46, 0.8).alike()
+        assert set(few) == set(every) and any(a != b for a, b in every)
+        assert substring_dedup.Members(table, 46, 0.8).alike() == few
+
+
+@pytest.mark.parametrize("large", [4, 16])
+def test_classes_of_crowded_runs_leave_no_pair_apart(spark, monkeypatch, large):
+    """Runs that more windows have than a task compares are cut into chunks, and nothing is left out."""
+    monkeypatch.setattr(substring_dedup, "LARGE", large)
+    test_classes_of_passages_leave_no_pair_apart(spark)
+
+
 def test_short_stretches_against_brute_force():
     draw, spell = random.Random(3), substring_dedup.Shingler()
     seen = set()
